@@ -1,0 +1,4 @@
+"""Operators for language-model training data.
+
+Nothing outside this sub-package imports it.
+"""
