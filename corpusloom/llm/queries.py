@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import p5
+from corpusloom.llm import p5, p7
 
-_MODULES = (p5,)
+_MODULES = (p5, p7)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
