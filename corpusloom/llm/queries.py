@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import p5, p7, p10
+from corpusloom.llm import p5, p7, p8, p10
 
-_MODULES = (p5, p7, p10)
+_MODULES = (p5, p7, p8, p10)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
