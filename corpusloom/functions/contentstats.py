@@ -30,7 +30,7 @@ def content_signature(text: Column) -> Column:
 
 def pow2_low(n: Column) -> Column:
     """Lower bound of the power-of-two bucket of a count: 0, 1, 2, 4, ..."""
-    return F.when(n <= 0, F.lit(0)).otherwise(F.shiftleft(F.lit(1).cast("bigint"), F.length(F.bin(n)) - 1)).cast("bigint")
+    return F.when(n <= 0, F.lit(0)).otherwise(F.pow(F.lit(2), F.length(F.bin(n)) - 1)).cast("bigint")
 
 
 def pow2_label(n: Column) -> Column:

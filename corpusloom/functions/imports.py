@@ -27,7 +27,7 @@ def is_repository_import(module: Column) -> Column:
 def file_imports(content: Column) -> Column:
     """Distinct imported modules that may be files of the same repository."""
     found = F.array_union(F.regexp_extract_all(content, F.lit("(?d)" + GRAPH_FROM), 1), F.regexp_extract_all(content, F.lit("(?d)" + GRAPH_IMPORT), 1))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), is_repository_import))
+    return F.array_distinct(F.filter(F.transform(found, lambda m: F.trim(m)), is_repository_import))
 
 
 def parsed_imports(content: Column) -> Column:

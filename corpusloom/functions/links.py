@@ -21,7 +21,7 @@ def link_targets(body: Column) -> Column:
 
 def link_identifiers(body: Column) -> Column:
     """Distinct normalised identifiers of the targets, sorted."""
-    return F.sort_array(F.array_distinct(F.transform(link_targets(body), normalize_identifier)))
+    return F.sort_array(F.array_distinct(F.transform(link_targets(body), lambda t: normalize_identifier(t))))
 
 
 def display_links(text: Column) -> Column:
@@ -34,7 +34,7 @@ def hrefs(page: Column) -> Column:
     return F.regexp_extract_all(page, F.lit('href="([^"]*)"'), 1)
 
 
-def detect_token_links(tokens: Sequence[int], decode: Callable[[Sequence[int]], str], opener: Callable[[str], bool] = lambda t: "](" in t, back: int = 100, ahead: int = 50) -> list[tuple[int, str]]:
+def detect_token_links(tokens: Sequence[int], decode: Callable[[Sequence[int]], str], back: int = 100, ahead: int = 50) -> list[tuple[int, str]]:
     """(end position, target) of Markdown links in a token sequence.
 
     A token that holds ``](`` with a ``[`` among the ``back`` tokens before it opens a
@@ -43,7 +43,7 @@ def detect_token_links(tokens: Sequence[int], decode: Callable[[Sequence[int]],
     pieces = [decode([t]) for t in tokens]
     out = []
     for k, piece in enumerate(pieces):
-        if not opener(piece):
+        if "](" not in piece:
             continue
         if not any("[" in p for p in pieces[max(0, k - back) : k]) and "[" not in piece.split("](")[0]:
             continue

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.identifiers import module_of_path
@@ -18,7 +18,7 @@ def module_table(files: DataFrame) -> DataFrame:
     return own.unionByName(packages).groupBy("repo", "module").agg(F.max_by("path", F.struct("ord", "path")).alias("path"))
 
 
-def _ancestors(module) -> F.Column:  # type: ignore[name-defined]
+def _ancestors(module: Column) -> Column:
     parts = F.split(module, r"\.")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
 

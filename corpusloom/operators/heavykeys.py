@@ -83,10 +83,12 @@ def key_dictionary(partials: DataFrame, key: str) -> DataFrame:
 
 def dense_totals(df: DataFrame, key: str, values: Sequence[str] = ()) -> DataFrame:
     """Record count ``n_records`` and the sum of each of ``values`` per key."""
-    partials = materialize(split_partials(df, key, list(values)), "key-partials")
-    names = ["n_records", *values]
-    coded = partials.join(key_dictionary(partials, key), key)
-    # map-side: sums per block and place; reduce-side: the blocks' dense arrays
+    # names of our own inside, so that no input name can clash
+    inner = [f"_v{i}" for i in range(len(values))]
+    renamed = df.select(F.col(key).cast("string").alias("_key"), *[F.col(v).alias(n) for v, n in zip(values, inner, strict=True)])
+    partials = materialize(split_partials(renamed, "_key", inner), "key-partials")
+    names = ["n_records", *inner]
+    coded = partials.join(key_dictionary(partials, "_key"), "_key")
     arrays = ", ".join(f"{n} array<bigint>" for n in names)
 
     def add_block(frame: pd.DataFrame) -> pd.DataFrame:
@@ -98,12 +100,14 @@ def dense_totals(df: DataFrame, key: str, values: Sequence[str] = ()) -> DataFra
             np.add.at(block, place, frame[name].to_numpy(np.int64))
             sums[name] = [block]
         keys = np.empty(size, dtype=object)
-        keys[place] = frame[key].to_numpy(object)
-        return pd.DataFrame({"block": [int(frame["block"].iloc[0])], key: [list(keys)]} | sums)
-
-    summed = coded.groupBy("block", "place", key).agg(*[F.sum(n).alias(n) for n in names])
-    blocks = summed.groupBy("block").applyInPandas(add_block, f"block int, {key} array<string>, {arrays}")
-    return blocks.select(F.explode(F.arrays_zip(key, *names)).alias("z")).select("z.*")
+        keys[place] = frame["_key"].to_numpy(object)
+        return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "_key": [list(keys)]} | sums)
+
+    # partial sums per place first: a block then has one row per key, however many splits there are
+    summed = coded.groupBy("block", "place", "_key").agg(*[F.sum(n).alias(n) for n in names])
+    blocks = summed.groupBy("block").applyInPandas(add_block, f"block int, _key array<string>, {arrays}")
+    out = blocks.select(F.explode(F.arrays_zip("_key", *names)).alias("z"))
+    return out.select(F.col("z._key").alias(key), "z.n_records", *[F.col(f"z.{n}").alias(v) for v, n in zip(values, inner, strict=True)])
 
 
 def heavy_keys(totals: DataFrame, key: str, share: float) -> DataFrame:

@@ -51,6 +51,7 @@ def orphan_references(refs: DataFrame, status: DataFrame, exempt: DataFrame) ->
     a hub that a third of all references name is split by AQE on the reference side.
     ``exempt`` (column ``target``) lists keys that are always valid.
     """
+    refs = refs.select(*[c for c in ("node_id", "normed_identifier", "field", "target", "ref_period", "ref_loaded_at") if c in refs.columns])
     known = refs.join(bounded(exempt.select("target").where("target is not null").distinct()), "target", "left_anti").join(status, "target", "left")
     has_line = F.coalesce("has_line", F.lit(False))
     deleted = F.col("has_removal") & (~has_line | (F.col("last_removed") > F.col("last_loaded")))
