@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textkernels as tk
-from corpusloom.session import materialize
 
 BLOCK_ITEMS = 512
 MAX_RANK = 384

@@ -112,7 +112,7 @@ def mix(counted: DataFrame, targets: DataFrame, total: float | None = None, seed
     ``counted``: doc_id, source (cleaned), n_tokens; ``targets``: source, target_share, max_repeat.
     """
     spark = counted.sparkSession
-    used = counted.where("source is not null and n_tokens > 0")
+    used = counted.select("doc_id", "source", "n_tokens").where("doc_id is not null and source is not null and n_tokens > 0").dropDuplicates(["doc_id"])
     have = used.groupBy("source").agg(F.sum("n_tokens").alias("available"), F.count("*").alias("n_docs"))
     table = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeat").alias("repeat"))
     rows = table.join(have, "source", "left").limit(MAX_SOURCES + 1).collect()

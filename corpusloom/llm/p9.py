@@ -15,7 +15,7 @@ def _mixed(spark: SparkSession, d: str, total_factor: float | None = None) -> tu
     # a source is cleaned as a split is: trimmed, lower case, "-" read as "_"
     docs = table(spark, d, "documents").select("doc_id", cleaned_split("source").alias("source"), "text").where("source is not null and text <> ''")
     targets = table(spark, d, "mix_target").select(cleaned_split("source").alias("source"), "target_share", "max_repeat")
-    counted = with_token_counts(docs).select("doc_id", "source", "n_tokens").dropDuplicates(["doc_id"])
+    counted = with_token_counts(docs).select("doc_id", "source", "n_tokens")
     counted = materialize(counted, "token-counts")
     total = None if total_factor is None else total_factor * (counted.agg(F.sum("n_tokens")).first()[0] or 0)
     return mix(counted, targets, total)

@@ -180,7 +180,8 @@ def lexical_packs(items: DataFrame, budgets: Mapping[int, int]) -> DataFrame:
     ``items``: doc_id, tok_len, terms (array of strings), place (a string whose equal values
     are lexically close, such as the repository); ``budgets``: capacity per config_id.
     """
-    clean = materialize(items.where("doc_id is not null and tok_len > 0").withColumn("place", F.coalesce("place", F.lit(""))).dropDuplicates(["doc_id"]), "pack-items")
+    wanted = items.select("doc_id", F.col("tok_len").cast("bigint").alias("tok_len"), "terms", F.coalesce("place", F.lit("")).alias("place"))
+    clean = materialize(wanted.where("doc_id is not null and tok_len > 0").dropDuplicates(["doc_id"]), "pack-items")
     sizes = clean.groupBy("place").agg(F.count("*").alias("n"))
     large = sizes.where(F.col("n") > SHARD_ITEMS).select("place", F.ceil(F.col("n") / SHARD_ITEMS).cast("int").alias("pieces"))
     few = sizes.where(F.col("n") <= SHARD_ITEMS).agg(F.sum("n")).first()[0] or 0

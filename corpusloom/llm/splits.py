@@ -17,8 +17,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.components import connected_components
 from corpusloom.llm.ranking import running_totals
+from corpusloom.operators.components import connected_components
 from corpusloom.operators.joins import bounded
 
 
@@ -36,7 +36,8 @@ def group_members(nodes: DataFrame, refs: DataFrame, key: str = "normed_identifi
 
 def mixed_groups(members: DataFrame, splits: DataFrame) -> DataFrame:
     """Members of groups whose records carry two or more different splits."""
-    tagged = members.join(splits, "node_id", "left")
+    members = members.select("group_id", "node_id")
+    tagged = members.join(splits.select("node_id", "split"), "node_id", "left")
     mixed = tagged.groupBy("group_id").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo <> hi").select("group_id")
     return members.join(mixed, "group_id", "left_semi")
 
@@ -126,6 +127,7 @@ def _exchange(owner: list[str], loads: list[int], target: Mapping[str, float]) -
 def assign_splits(members: DataFrame, shares: Mapping[str, float], seed: int = 13, bins: int = 50) -> DataFrame:
     """(node_id, group_id, split) with whole groups per split, near the target shares."""
     spark = members.sparkSession
+    members = members.select("node_id", "group_id")
     groups = members.groupBy("group_id").agg(F.count("*").alias("weight")).withColumn("h", F.xxhash64("group_id", F.lit(seed)))
     histogram = {int(r["weight"]): int(r["n"]) for r in groups.groupBy("weight").agg(F.count("*").alias("n")).collect()}
     if not histogram:
