@@ -103,7 +103,7 @@ def _local_best(rank: np.ndarray, ok: np.ndarray) -> np.ndarray:
 
 
 def grammar_sizes(symbols: np.ndarray, owner: np.ndarray, texts: int, rounds: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: symbols left at the end, rules made, and tokens covered by rules."""
+    """Per text: symbols left at the end, rules made, and the widest symbol's tokens."""
     rules = np.zeros(texts, dtype=np.int64)
     sym, own, width = symbols.copy(), owner.copy(), np.ones(len(symbols), dtype=np.int64)
     for _ in range(rounds):
@@ -114,22 +114,15 @@ def grammar_sizes(symbols: np.ndarray, owner: np.ndarray, texts: int, rounds: in
         uniq, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
         n = counts[inverse]
         ok = same & (n >= 2)
-        # overlapping occurrences in a run of one symbol count double; halving them is enough
-        twin = np.concatenate([[False], (key[1:] == key[:-1])])
-        ok &= ~(twin & (n < 4))
+        # in a run of one pair every other position is taken
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        since = np.arange(len(key)) - np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+        ok &= since % 2 == 0
         if not ok.any():
             break
         rank = (np.minimum(n, 0xFFFFFF).astype(U64) << U64(40)) | (key >> U64(24))
         best = _local_best(rank, ok)
         at = np.flatnonzero(best)
-        # in a run of equal pairs the ranks tie: take every other position
-        if len(at) > 1:
-            keep = np.ones(len(at), dtype=bool)
-            close = np.flatnonzero(np.diff(at) == 1)
-            for i in close:
-                if keep[i]:
-                    keep[i + 1] = False
-            at = at[keep]
         # a pair that this selection would use once only is no rule
         chosen, inv, used = np.unique(key[at], return_inverse=True, return_counts=True)
         at = at[used[inv] >= 2]
@@ -143,8 +136,9 @@ def grammar_sizes(symbols: np.ndarray, owner: np.ndarray, texts: int, rounds: in
         gone[at + 1] = False
         sym, own, width = sym[gone], own[gone], width[gone]
     left = np.bincount(own, minlength=texts)
-    covered = np.bincount(own[width > 1], width[width > 1], minlength=texts).astype(np.int64)
-    return left, rules, covered
+    widest = np.zeros(texts, dtype=np.int64)
+    np.maximum.at(widest, own, width)
+    return left, rules, widest
 
 
 def stable_rules(symbols: np.ndarray, owner: np.ndarray, least: int = 8, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

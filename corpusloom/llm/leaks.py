@@ -9,7 +9,8 @@ and by the passage's answer words.
 
 Windows have ``2 * run`` words and advance by ``run``, so each run of that many words lies
 within one.  A window can hold such a run only if ``run`` successive words belong to the
-passages' vocabulary; others are passed over, which loses nothing.
+passages' vocabulary; others are passed over, which loses nothing.  With paraphrases asked
+for, windows with ``run`` such words in any places are searched.
 
 Passages are taken in blocks of ``BLOCK_ITEMS``, each with its own model, so their number
 is not limited while what is broadcast stays bounded.
@@ -146,6 +147,13 @@ def _windows(ids: np.ndarray, run: int, oov: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) * run if parts else np.zeros(0, dtype=np.int64)
 
 
+def _loose_windows(ids: np.ndarray, run: int, oov: int) -> np.ndarray:
+    """Starts, on the grid of ``run``, of windows with ``run`` known words in any places."""
+    known = np.concatenate([[0], np.cumsum(ids != oov)])
+    starts = np.arange(0, len(ids), run)
+    return starts[known[np.minimum(starts + 2 * run, len(ids))] - known[starts] >= run]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, run: int = 12, min_cosine: float = 0.1, paraphrase_cosine: float | None = None) -> DataFrame:
     """(doc_id, item_id, kind, cosine, lcs_share, answer_share).
 
@@ -191,7 +199,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, run: int = 12, min_cosine: flo
                     if len(found) < run:
                         continue
                     ids = np.fromiter(map(get, found, repeat(oov)), dtype=np.int64, count=len(found))
-                    at = _windows(ids, run, oov)
+                    at = _windows(ids, run, oov) if paraphrase_cosine is None else _loose_windows(ids, run, oov)
                     if len(at):
                         padded = np.concatenate([ids, np.full(2 * run, oov, dtype=np.int64)])
                         pending += [(int(doc), padded, int(s)) for s in at]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import grammar
 
 #: Final grammar size per token up to which a file is one repeated structure.
-TABLE_RATIO = 0.24
+TABLE_RATIO = 0.2
 TABLE_TOKENS = 60
 #: Share of the characters other than blanks that stand in data literals.
 DATA_SHARE = 0.6
