@@ -221,28 +221,28 @@ def sample_packs(graph: Csr, seed: int, count: int, strategy: str, settings: Pac
 def sampled_packs(nodes: DataFrame, edges: DataFrame, seeds: Sequence[int], packs_per_seed: int, strategy: str, settings: PackSettings, max_nodes: int = 20_000_000) -> DataFrame:
     """(seed, pack, pos, node, length, cut) of seeded packs; one task per seed.
 
-    ``nodes``: dense ids 0..n-1 with lengths; ``edges``: src, dst.  Every task needs random
-    access to the whole graph, which is broadcast as compressed rows (16 bytes an edge and 24
-    a node); more than ``max_nodes`` nodes are refused.
+    ``nodes``: distinct ids with lengths; ``edges``: src, dst, of which those with unknown ends
+    are left out.  Every task needs random access to the whole graph, which is broadcast as
+    compressed rows (16 bytes an edge and 24 a node); more than ``max_nodes`` nodes are refused.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; known: {', '.join(sorted(STRATEGIES))}")
     n = nodes.count()
     if n > max_nodes:
         raise ValueError(f"the graph has {n} nodes; a broadcast graph may have {max_nodes}")
-    lengths = np.zeros(n, dtype=np.int64)
-    ids = nodes.select("node", "length").toPandas()
-    lengths[ids["node"].to_numpy()] = ids["length"].fillna(0).to_numpy()
-    pairs = edges.select("src", "dst").toPandas()
+    ids = nodes.select("node", "length").toPandas().sort_values("node", kind="stable")
+    names = ids["node"].to_numpy(np.int64)
+    pairs = edges.select("src", "dst").join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").toPandas()
+    src, dst = (np.searchsorted(names, pairs[c].to_numpy(np.int64)) for c in ("src", "dst"))
     spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast(Csr.build(n, pairs["src"].to_numpy(np.int64), pairs["dst"].to_numpy(np.int64), lengths))
+    shared = spark.sparkContext.broadcast((names, Csr.build(n, src, dst, ids["length"].fillna(0).to_numpy(np.int64))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for seed in frame["seed"]:
-                for k, pack in enumerate(sample_packs(shared.value, int(seed), packs_per_seed, strategy, settings)):
-                    rows += [(int(seed), k, pos, v, length, cut) for pos, (v, length, cut) in enumerate(pack)]
+                for k, pack in enumerate(sample_packs(shared.value[1], int(seed), packs_per_seed, strategy, settings)):
+                    rows += [(int(seed), k, pos, int(shared.value[0][v]), length, cut) for pos, (v, length, cut) in enumerate(pack)]
             yield pd.DataFrame(rows, columns=["seed", "pack", "pos", "node", "length", "cut"])
 
     start = spark.createDataFrame([(int(s),) for s in seeds], "seed bigint").repartition(max(1, len(seeds)), "seed")

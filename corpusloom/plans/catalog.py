@@ -600,12 +600,8 @@ def pack_order_targets_first(spark: SparkSession, d: str) -> DataFrame:
 
 def _sampled(spark: SparkSession, d: str, strategy: str) -> DataFrame:
     n = nodes(spark, d).select("node_id", "tok_len").where("node_id is not null")
-    # node ids of this table are unique but need not be gapless: the valid ones are numbered
-    dense = n.orderBy("node_id").select("node_id", "tok_len").rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1])).toDF("node_id bigint, length bigint, node bigint")
-    dense = materialize(dense, "dense-nodes")
-    e = id_edges(spark, d).join(dense.select(F.col("node_id").alias("src"), F.col("node").alias("a")), "src").join(dense.select(F.col("node_id").alias("dst"), F.col("node").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    out = traversal.sampled_packs(dense, e, list(range(8)), 4, strategy, packs.PackSettings(2048, 1024, order_mode="prefer_targets_first"))
-    return out.join(dense.select("node", "node_id"), "node").select("seed", "pack", "pos", F.col("node_id").alias("doc_id"), "length", "cut")
+    out = traversal.sampled_packs(n.select(F.col("node_id").alias("node"), F.col("tok_len").alias("length")), id_edges(spark, d), list(range(8)), 4, strategy, packs.PackSettings(2048, 1024, order_mode="prefer_targets_first"))
+    return out.withColumnRenamed("node", "doc_id")
 
 
 @query()
