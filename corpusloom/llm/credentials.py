@@ -222,6 +222,7 @@ class _Writer:
             lambda: self.chars(hexa, self.r.choice([32, 40, 64])), lambda: self.chars(an, 20, 40), lambda: self.chars(an + "+/", 24, 40) + self.r.choice(["", "=", "=="]),
             lambda: f"{w()}-{w()}-{self.r.randint(10, 9999)}", lambda: w().capitalize() + self.r.choice("!%#+_-") + str(self.r.randint(100, 9999)),
             lambda: str(self.r.randint(10, 99)) + w().upper() + self.r.choice("~&^") + w(), lambda: w()[:4] + self.chars(an, 4, 6) + self.r.choice("!?*") + w()[:3],
+            lambda: w()[:4] + self.chars(string.ascii_letters, 4, 6) + self.r.choice("!?*") + w()[:3],
             lambda: "-".join(self.chars(string.ascii_lowercase + string.digits, 6) for _ in range(self.r.randint(3, 5))), lambda: self.chars(an, 10, 16),
         ])()
 
@@ -242,7 +243,7 @@ class _Writer:
             return f"{n} = {q}{v[:cut]}{q} + {q}{v[cut:]}{q}", False, [v[:cut], v[cut:]]
         issued = v if literal_class(v)[0] == "issued" else "ghp_" + self.chars(string.ascii_letters + string.digits, 36)
         key = r.choice(["RSA ", "EC ", "OPENSSH ", "ENCRYPTED ", ""]) + "PRIVATE KEY"
-        pw = r.choice([self.chars(string.ascii_letters + string.digits, 9, 16), v if not set(v) & set("/+=#?%@:") else "a9" + self.word()])
+        pw = r.choice([self.chars(string.ascii_letters + string.digits, 9, 16), self.chars(string.ascii_lowercase + string.digits, 8, 14), self.chars(string.ascii_letters, 9, 14), v if not set(v) & set("/+=#?%@:") else "a9" + self.word()])
         host = f"{r.choice(['db', 'api', 'mq', 'cache', 'auth'])}.{self.word()}.example"
         marker = f"-----BEGIN {key}-----"
         body = self.chars(string.ascii_letters + string.digits + "+/", 60)
