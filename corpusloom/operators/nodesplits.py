@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ from corpusloom.session import discard, materialize
 # Bucket edges of degrees and of characters.
 DEGREE_EDGES = [2, 4, 8, 16]
 CHAR_EDGES = [1000, 5000, 20000]
+# States of a node in label propagation.
+MOVED, PUT_OFF = 1, 2
+#: Graphs of at most so many (src, dst) rows are worked through in one task; larger ones take
+#: joins in rounds, with the same result.
+TASK_EDGES = 2_000_000
 
 
 def eligible(nodes: DataFrame, edges: DataFrame, least: int, key: str = "id") -> DataFrame:
@@ -45,23 +52,101 @@ def random_split(nodes: DataFrame, fraction: float, seed: int, key: str = "id")
 
 
 def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10, key: str = "id") -> DataFrame:
-    """(id, community) by label propagation: each node takes its neighbours' most frequent
-    label, the smallest among equals; every second round only improves by smaller labels, so
-    that labels don't swing.  Nodes without neighbours are communities of their own."""
-    both = materialize(undirected_edges(internal_edges(nodes, edges, key)), "lpa-edges")
-    labels = materialize(nodes.select(F.col(key).alias("id"), F.col(key).alias("community")), "lpa")
-    for number in range(rounds):
-        votes = both.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.count("*").alias("n"))
-        w = Window.partitionBy("src").orderBy(F.desc("n"), "community")
-        best = votes.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(F.col("src").alias("id"), F.col("community").alias("best"))
-        take = F.coalesce("best", "community") if number % 2 == 0 else F.least("community", F.coalesce("best", "community"))
-        fresh = materialize(labels.join(best, "id", "left").select("id", take.alias("community")), "lpa")
-        changed = not fresh.join(labels.withColumnRenamed("community", "c0"), "id").where("community <> c0").isEmpty()
+    """(id, community) by label propagation to its fixpoint: each node has its neighbours' most
+    frequent label, the smallest among equals.  Nodes without neighbours are communities of
+    their own.
+
+    In the first ``rounds`` rounds all nodes move at once, every second round only to smaller
+    labels, so that labels don't swing.  Labels could still go round in circles that way, so
+    later rounds move only nodes that come first, by a hash, among their neighbours that want
+    to move.  No two neighbours then move together, and each move makes more edges join equal
+    labels or, at the same number, a label smaller: the loop ends on any graph.  A node is asked
+    again only when a neighbour has moved or its own move was put off.
+    """
+    both = materialize(undirected_edges(internal_edges(nodes, edges, key)).withColumn("part", F.lit(0)), "lpa-edges")
+    if both.count() <= TASK_EDGES:
+        kind = both.schema["src"].dataType.simpleString()
+        found = both.withColumn("hash", F.xxhash64("src")).groupBy("part").applyInPandas(lambda rows: _task_labels(rows, rounds), f"id {kind}, community {kind}")
+        return materialize(nodes.select(F.col(key).alias("id")).join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community")), "lpa")
+    return _label_rounds(nodes, both, rounds, key)
+
+
+def _label_rounds(nodes: DataFrame, both: DataFrame, rounds: int, key: str) -> DataFrame:
+    labels = materialize(nodes.select(F.col(key).alias("id"), F.col(key).alias("community"), F.lit(MOVED).alias("state")), "lpa")
+    number = 0
+    while True:
+        moved = labels.where(F.col("state") == MOVED).select(F.col("id").alias("dst"))
+        asked = both.join(moved, "dst", "left_semi").select("src").unionByName(labels.where(F.col("state") == PUT_OFF).select(F.col("id").alias("src"))).distinct()
+        votes = both.join(asked, "src", "left_semi").join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.count("*").alias("n"))
+        best = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("b")).select(F.col("src").alias("id"), F.col("b.community").alias("best"))
+        wish = materialize(best.join(labels.select("id", "community"), "id").where("best <> community"), "lpa-wish")
+        if wish.isEmpty():
+            break
+        if number < rounds:
+            moves = wish.select("id", "best", (F.lit(number % 2 == 0) | (F.col("best") < F.col("community"))).alias("goes"))
+        else:
+            turn = number % 63 + 1
+            rank = F.struct(F.shiftleft(F.xxhash64("id"), turn).bitwiseOR(F.shiftrightunsigned(F.xxhash64("id"), 64 - turn)), "id")
+            rivals = both.join(wish.select(F.col("id").alias("src"), rank.alias("a")), "src").join(wish.select(F.col("id").alias("dst"), rank.alias("b")), "dst")
+            moves = wish.select("id", "best").join(rivals.where("b > a").select(F.col("src").alias("id"), F.lit(False).alias("goes")).distinct(), "id", "left").na.fill(True, ["goes"])
+        state = F.when(F.col("goes"), MOVED).when(~F.col("goes"), PUT_OFF).otherwise(0)
+        fresh = materialize(labels.join(moves, "id", "left").select("id", F.when(F.col("goes"), F.col("best")).otherwise(F.col("community")).alias("community"), state.alias("state")), "lpa")
         discard(labels)
+        discard(wish)
         labels = fresh
-        if not changed:
-            break
-    return labels
+        number += 1
+    discard(both)
+    return labels.select("id", "community")
+
+
+def _csr(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order, starts of their rows, neighbours' numbers and the rows in that order."""
+    ids = np.array(sorted(rows["src"].unique()), dtype=object)
+    place = pd.Series(np.arange(len(ids)), index=ids)
+    src, dst = place.loc[rows["src"]].to_numpy(np.int64), place.loc[rows["dst"]].to_numpy(np.int64)
+    order = np.argsort(src, kind="stable")
+    return ids, np.searchsorted(src[order], np.arange(len(ids) + 1)), dst[order], order
+
+
+def _around(start: np.ndarray, dst: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The asked nodes and their neighbours, pair by pair."""
+    sizes = start[asked + 1] - start[asked]
+    at = np.repeat(start[asked] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    return np.repeat(asked, sizes), dst[at]
+
+
+def _task_labels(rows: pd.DataFrame, rounds: int) -> pd.DataFrame:
+    """The rounds of ``_label_rounds`` in one task."""
+    ids, start, dst, order = _csr(rows)
+    n = len(ids)
+    hashes = rows["hash"].to_numpy(np.int64)[order][start[:-1]].view(np.uint64)
+    labels = asked = np.arange(n)
+    number = 0
+    while True:
+        node, near = _around(start, dst, asked)
+        pair, votes = np.unique(node * n + labels[near], return_counts=True)
+        node, label = pair // n, pair % n
+        best = np.lexsort((label, -votes, node))
+        node, label = node[best], label[best]
+        wants = np.r_[True, node[1:] != node[:-1]][: len(node)] & (label != labels[node])
+        # only a node's first row, its best label, counts
+        node, label = node[wants], label[wants]
+        if not len(node):
+            return pd.DataFrame({"id": ids, "community": ids[labels]})
+        if number < rounds:
+            goes = (label < labels[node]) | (number % 2 == 0)
+        else:
+            turn = np.uint64(number % 63 + 1)
+            rank = ((hashes << turn) | (hashes >> (np.uint64(64) - turn))).view(np.int64)
+            wish = np.zeros(n, dtype=bool)
+            wish[node] = True
+            a, b = _around(start, dst, node)
+            lost = wish[b] & ((rank[b] > rank[a]) | ((rank[b] == rank[a]) & (b > a)))
+            goes = ~np.isin(node, a[lost])
+        labels = labels.copy()
+        labels[node[goes]] = label[goes]
+        asked = np.union1d(_around(start, dst, node[goes])[1], node[~goes])
+        number += 1
 
 
 def bucket_profiles(nodes: DataFrame, group: str, degree: str = "degree", chars: str = "char_count") -> DataFrame:

@@ -165,6 +165,23 @@ def test_split_nodes(spark):
         nodesplits.eligible(n, e.limit(0), 1)
 
 
+def test_label_communities_reach_the_fixpoint(spark, monkeypatch):
+    rng = random.Random(11)
+    pairs = [(f"c{k:03}", f"c{k + 1:03}") for k in range(60)] + [(f"r{rng.randrange(150):03}", f"r{rng.randrange(150):03}") for _ in range(190)]
+    ids = sorted({x for p in pairs for x in p} | {"lonely"})
+    n, e = spark.createDataFrame([(x,) for x in ids], "id string"), spark.createDataFrame(pairs, "src string, dst string")
+    near = {x: {b for p in pairs for a, b in (p, p[::-1]) if a == x and b != x} for x in ids}
+    got = {r.id: r.community for r in nodesplits.label_communities(n, e).collect()}
+    assert set(got) == set(ids) and got["lonely"] == "lonely"
+    for x in ids:
+        votes = [got[y] for y in near[x]]
+        assert not votes or got[x] == min(votes, key=lambda c: (-votes.count(c), c))
+    few = e.where("src in ('c000', 'c001', 'c002', 'c003', 'c004', 'r001', 'r002', 'r003')")
+    task = {tuple(r) for r in nodesplits.label_communities(n, few, rounds=1).collect()}
+    monkeypatch.setattr(nodesplits, "TASK_EDGES", 0)
+    assert {tuple(r) for r in nodesplits.label_communities(n, few, rounds=1).collect()} == task
+
+
 def test_shards_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([("a", [0, 1, 2, 3, 4]), ("b", [10, 11, 12]), ("c", list(range(20, 26))), ("d", None)], "normed_identifier string, tokens array<int>")
     places = shards.write_shards(docs, str(tmp_path), "uint16", "chars", capacity=1024 + 18)
