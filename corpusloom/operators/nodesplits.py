@@ -18,6 +18,8 @@ DEGREE_EDGES = [2, 4, 8, 16]
 CHAR_EDGES = [1000, 5000, 20000]
 # States of a node in label propagation.
 MOVED, PUT_OFF = 1, 2
+#: How far, as a share of the eligible nodes, val_community may be from its fraction.
+TOLERANCE = 0.01
 #: Graphs of at most so many (src, dst) rows are worked through in one task; larger ones take
 #: joins in rounds, with the same result.
 TASK_EDGES = 2_000_000
@@ -164,50 +166,88 @@ def profile_distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
     return sum(gaps[1:], gaps[0])
 
 
-def choose_communities(profiles: Sequence[tuple[str, int, Sequence[int]]], target: int, whole: Sequence[int], tolerance: float = 0.01) -> list[str]:
-    """Communities whose joint profile comes nearest to the whole's, up to ``target`` nodes.
+def choose_profiles(kinds: np.ndarray, sizes: np.ndarray, free: np.ndarray, held: np.ndarray, total: int, everyone: int, whole: np.ndarray, fraction: float, tolerance: float = TOLERANCE) -> np.ndarray:
+    """How many communities to take of each kind, that is of each profile.
 
-    Greedy on the profiles alone (a row per community): the community that brings the chosen
-    profile nearest is taken next; one that would pass the target by more than the tolerance
-    is passed over.
+    Greedy from ``held``, the profile of the ``total`` nodes there are: the community that
+    brings the joint profile nearest to the whole's is taken next, until ``fraction`` of
+    ``everyone`` is reached.  One that would pass it by more than the tolerance is passed over
+    once the total is within the tolerance below it.
     """
+    goal, taken, open_ = whole / whole.sum(), np.zeros(len(kinds), dtype=np.int64), free > 0
+    target, nearly = round(fraction * everyone), round((fraction - tolerance) * everyone)
+    while total < target and open_.any():
+        at = np.flatnonzero(open_)
+        trial = held + kinds[at]
+        best = at[np.argmin(np.abs(trial / trial.sum(axis=1, keepdims=True) - goal).sum(axis=1))]
+        if (total + sizes[best]) / everyone > fraction + tolerance and total >= nearly:
+            open_[best] = False  # nor will another of its kind fit, as the total only grows
+            continue
+        taken[best] += 1
+        total += int(sizes[best])
+        held = held + kinds[best]
+        open_[best] = taken[best] < free[best]
+    return taken
 
-    def scaled(v: Sequence[float]) -> list[float]:
-        s = sum(v)
-        return [x / s for x in v] if s else [0.0 for _ in v]
 
-    goal, chosen, held, total = scaled(whole), [], [0.0] * len(whole), 0
-    rest = sorted(profiles)
-    while rest and total < target:
-        best = min(rest, key=lambda p: (sum(abs(x - y) for x, y in zip(scaled([h + q for h, q in zip(held, p[2], strict=True)]), goal, strict=True)), p[0]))
-        rest.remove(best)
-        if total + best[1] > target * (1 + tolerance) and chosen:
-            continue
-        chosen.append(best[0])
-        total += best[1]
-        held = [h + q for h, q in zip(held, best[2], strict=True)]
-    return chosen
+def _task_core(rows: pd.DataFrame, least: int, key: str) -> pd.DataFrame:
+    ids, start, dst, _ = _csr(rows)
+    alive, degree = np.ones(len(ids), dtype=bool), np.diff(start)
+    while len(drop := np.flatnonzero(alive & (degree < least))):
+        alive[drop] = False
+        degree = degree - np.bincount(_around(start, dst, drop)[1], minlength=len(ids))
+    return pd.DataFrame({key: ids[alive]})
+
 
+def _prune(picked: DataFrame, pool: DataFrame, least: int, key: str, in_task: bool) -> DataFrame:
+    if not in_task:
+        return materialize(k_core(picked, pool, least, key), "val-community")
+    # the rows' one group is a stored column, as constants can't be grouped by
+    both = undirected_edges(internal_edges(picked, pool, key)).join(F.broadcast(pool.select("part").limit(1)))
+    kind = both.schema["src"].dataType.simpleString()
+    return materialize(both.groupBy("part").applyInPandas(lambda rows: _task_core(rows, least, key), f"{key} {kind}"), "val-community")
 
-def split_nodes(nodes: DataFrame, edges: DataFrame, least: int, random_fraction: float, community_fraction: float, seed: int = 0, key: str = "id", max_profiles: int = 20_000) -> DataFrame:
+
+def split_nodes(nodes: DataFrame, edges: DataFrame, least: int, random_fraction: float, community_fraction: float, seed: int = 0, key: str = "id") -> DataFrame:
     """(id, split): val_random by hash, val_community by whole communities whose induced
     subgraph is pruned to its ``least``-core, train for the rest of the eligible nodes.
 
-    Only the largest ``max_profiles`` communities compete for selection (a documented bound of
-    what reaches the driver); the others stay in train.
+    Only distinct profiles and the numbers of
+    communities that have them reach the driver; all communities compete.
     """
     ok = materialize(eligible(nodes, edges, least, key).join(nodes.select(key, "char_count"), key), "eligible")
     n = ok.count()
     rand = materialize(random_split(ok, random_fraction, seed, key), "val-random")
-    left = ok.join(rand, key, "left_anti")
-    labels = label_communities(left, edges, key=key).withColumnRenamed("id", key)
+    left = materialize(ok.join(rand, key, "left_anti"), "left")
+    pool = materialize(internal_edges(left, edges, key).withColumn("part", F.lit(0)), "pool-edges")
+    in_task = 2 * pool.count() <= TASK_EDGES
+    labels = label_communities(left, pool, key=key).withColumnRenamed("id", key)
     profiles = bucket_profiles(left.join(labels, key), "community")
     names = [c for c in profiles.columns if c.startswith(("degree_", "chars_"))]
-    rows = profiles.orderBy(F.desc("n_nodes"), "community").limit(max_profiles).collect()
-    whole = bucket_profiles(ok.withColumn("g", F.lit(1)), "g").first()
-    chosen = choose_communities([(str(r["community"]), r["n_nodes"], [r[c] for c in names]) for r in rows], round(community_fraction * n), [whole[c] for c in names])
-    picked = labels.where(F.col("community").cast("string").isin(chosen)).select(key) if chosen else labels.limit(0).select(key)
-    core = materialize(k_core(picked, edges, least, key), "val-community")
+    profiles = materialize(profiles.na.fill(0, names), "profiles")
+    rank = F.row_number().over(Window.partitionBy(*names).orderBy("community"))
+    members = materialize(labels.join(profiles.withColumn("_rank", rank), "community").select(key, *names, "_rank"), "members")
+    rows = profiles.groupBy("n_nodes", *names).agg(F.count("*").alias("n")).orderBy(*names).collect()
+    kinds = np.array([[r[c] for c in names] for r in rows], dtype=np.int64).reshape(-1, len(names))
+    sizes, free = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("n_nodes", "n"))
+
+    def profile(part: DataFrame) -> tuple[int, np.ndarray]:
+        row = bucket_profiles(part.withColumn("g", F.lit(1)), "g").first()
+        return (row["n_nodes"], np.array([row[c] or 0 for c in names])) if row else (0, np.zeros(len(names), dtype=np.int64))
+
+    whole, core = profile(ok)[1], labels.limit(0).select(key)
+    total, held, done = 0, np.zeros(len(names), dtype=np.int64), np.zeros(len(kinds), dtype=np.int64)
+    while total < (community_fraction - TOLERANCE) * n or not done.any():
+        taken = choose_profiles(kinds, sizes, free - done, held, total, n, whole, community_fraction)
+        if not taken.any():
+            break
+        wanted = [(*map(int, kinds[k]), int(done[k]), int(done[k] + taken[k])) for k in np.flatnonzero(taken)]
+        chosen = ok.sparkSession.createDataFrame(wanted, ", ".join(f"{c} bigint" for c in [*names, "_low", "_high"]))
+        fresh = members.join(F.broadcast(chosen), names).where("_rank > _low and _rank <= _high").select(key)
+        core = _prune(core.unionByName(fresh), pool, least, key, in_task)
+        total, held = profile(left.join(core, key))
+        done = done + taken
+        break
     tagged = ok.select(key).join(rand.withColumn("_r", F.lit(True)), key, "left").join(core.withColumn("_c", F.lit(True)), key, "left")
     return tagged.select(key, F.when(F.col("_r"), "val_random").when(F.col("_c"), "val_community").otherwise("train").alias("split"))
 

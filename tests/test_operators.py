@@ -165,6 +165,15 @@ def test_split_nodes(spark):
         nodesplits.eligible(n, e.limit(0), 1)
 
 
+def test_every_community_competes():
+    kinds = np.array([[2, 0], [1, 1], [0, 2]])
+    taken = nodesplits.choose_profiles(kinds, np.array([2, 2, 2]), np.array([30_000, 30_000, 30_000]), np.zeros(2), 0, 180_000, np.array([3, 1]), 0.5)
+    assert taken.sum() * 2 == 90_000 and abs((taken @ kinds)[0] / 90_000 - 0.75) < 0.001
+    # far from the target an overshooting community is taken, near it passed over
+    assert nodesplits.choose_profiles(np.array([[9]]), np.array([9]), np.array([1]), np.zeros(1), 0, 100, np.array([1]), 0.05).tolist() == [1]
+    assert nodesplits.choose_profiles(np.array([[9]]), np.array([9]), np.array([1]), np.array([4]), 4, 100, np.array([1]), 0.05).tolist() == [0]
+
+
 def test_label_communities_reach_the_fixpoint(spark, monkeypatch):
     rng = random.Random(11)
     pairs = [(f"c{k:03}", f"c{k + 1:03}") for k in range(60)] + [(f"r{rng.randrange(150):03}", f"r{rng.randrange(150):03}") for _ in range(190)]
