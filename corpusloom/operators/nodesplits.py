@@ -212,7 +212,8 @@ def split_nodes(nodes: DataFrame, edges: DataFrame, least: int, random_fraction:
     """(id, split): val_random by hash, val_community by whole communities whose induced
     subgraph is pruned to its ``least``-core, train for the rest of the eligible nodes.
 
-    Only distinct profiles and the numbers of
+    Communities are selected, pruned and refilled until val_community is within the tolerance
+    of its fraction or no community is left.  Only distinct profiles and the numbers of
     communities that have them reach the driver; all communities compete.
     """
     ok = materialize(eligible(nodes, edges, least, key).join(nodes.select(key, "char_count"), key), "eligible")
@@ -247,7 +248,6 @@ def split_nodes(nodes: DataFrame, edges: DataFrame, least: int, random_fraction:
         core = _prune(core.unionByName(fresh), pool, least, key, in_task)
         total, held = profile(left.join(core, key))
         done = done + taken
-        break
     tagged = ok.select(key).join(rand.withColumn("_r", F.lit(True)), key, "left").join(core.withColumn("_c", F.lit(True)), key, "left")
     return tagged.select(key, F.when(F.col("_r"), "val_random").when(F.col("_c"), "val_community").otherwise("train").alias("split"))
 

@@ -165,6 +165,18 @@ def test_split_nodes(spark):
         nodesplits.eligible(n, e.limit(0), 1)
 
 
+def test_val_community_is_refilled_after_pruning(spark):
+    # triangles, and many more rings with tails that lose nodes when pruned
+    pairs = [(f"{a}{k:03}", f"{b}{k:03}") for k in range(60) for a, b in ("ab", "bc", "ca")]
+    pairs += [(f"p{k:03}", f"p{k + 1:03}") for k in range(300)]
+    ids = sorted({x for p in pairs for x in p})
+    n, e = spark.createDataFrame([(x, 500) for x in ids], "id string, char_count bigint"), spark.createDataFrame(pairs, "src string, dst string")
+    out = {r.id: r.split for r in nodesplits.split_nodes(n, e, 2, 0.05, 0.1, seed=7).collect()}
+    held = {x for x, s in out.items() if s == "val_community"}
+    assert 0.09 <= len(held) / len(out) <= 0.115
+    assert all(sum(x in p and set(p) <= held for p in pairs) >= 2 for x in held)
+
+
 def test_every_community_competes():
     kinds = np.array([[2, 0], [1, 1], [0, 2]])
     taken = nodesplits.choose_profiles(kinds, np.array([2, 2, 2]), np.array([30_000, 30_000, 30_000]), np.zeros(2), 0, 180_000, np.array([3, 1]), 0.5)
