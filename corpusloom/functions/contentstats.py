@@ -17,15 +17,23 @@ def line_lengths(text: Column) -> Column:
     return F.transform(kept, F.length)
 
 
+def length_summary(lengths: Column) -> Column:
+    """(n, total, longest) of an array of lengths, in one pass over it."""
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("longest"))
+    return F.aggregate(lengths, start, lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["total"] + x).alias("total"), F.greatest(a["longest"], x.cast("bigint")).alias("longest")))
+
+
 def non_alnum_ratio(text: Column) -> Column:
     kept = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}_]", ""))
     return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(1 - kept / F.length(text))
 
 
 def content_signature(text: Column) -> Column:
-    """Signature of the first 4,096 characters with white space squeezed (md5 in place of a
-    64-bit BLAKE2 digest, which Spark lacks; equal texts agree under either)."""
-    return F.md5(F.substring(F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r" +", " "), 1, 4096))
+    """Signature of the first 4,096 characters, white space squeezed after the cut; empty for
+    an empty text (md5 in place of a 64-bit BLAKE2 digest, which Spark lacks; equal texts agree
+    under either)."""
+    prefix = F.substring(text, 1, 4096)
+    return F.when(text == "", "").otherwise(F.md5(F.trim(F.regexp_replace(prefix, r"[\s\x0b\x1c-\x1f\x85\p{Z}]+", " "))))
 
 
 def pow2_low(n: Column) -> Column:

@@ -1,46 +1,59 @@
-"""Connected components of a graph by parent hooking and pointer jumping.
+"""Connected components of a graph by randomised contraction.
 
-Labels converge to the smallest id of a component in a number of rounds that grows
-with the logarithm of its diameter.  Every step is a join or a minimum per key with
-map-side combination; each round is a table in the shared folder.
+In every round each node takes that one of itself and its neighbours which comes first in
+a salted hash order; edges move to the nodes taken, loops and repeats go.  A constant share
+of the edges is expected to vanish in a round, so all rounds together cost a few times the
+first.  What is left below ``TASK_EDGES`` is finished in one task.  The rounds' tables are
+then put one after the other to give each node its component.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.onetask import in_one_task, undirected_labels
 from corpusloom.session import discard, materialize
 
+#: Contracted graphs of at most so many edges are finished in one task; results are the same.
+TASK_EDGES = 500_000
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+
+def connected_components(edges: DataFrame, task_edges: int | None = None) -> DataFrame:
     """(id, label) for every id that occurs in ``edges`` (a, b); label is the smallest id.
 
     Null ends and self loops are ignored, repeated edges count once, an empty edge
     table gives an empty result.
     """
-    both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    # f: parent, g: grandparent; the first parent is the smallest neighbour or oneself
-    first = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("f"))
-    state = materialize(_grand(first), "cc-0")
-    for number in range(1, max_rounds + 1):
-        near = both.join(state.select(F.col("id").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("m"))
-        joined = state.join(near, state["id"] == near["a"], "left")
-        hooks = joined.select(F.explode(F.array(F.struct(F.col("f").alias("id"), F.col("m").alias("c")), F.struct("id", F.least("f", "g", "m").alias("c")))).alias("h")).select("h.*")
-        least = hooks.where("c is not null").groupBy("id").agg(F.min("c").alias("c"))
-        parents = state.select("id", F.col("f").alias("f0")).join(least, "id").select("id", F.least("f0", "c").alias("f"))
-        fresh = materialize(_grand(parents), f"cc-{number}")
-        moved = fresh.select("id", F.col("g").alias("g1"), F.col("f").alias("f1")).join(state.select("id", "g"), "id").where("g <> g1 or f1 <> g1")
-        settled = moved.isEmpty()
-        discard(state)
-        state = fresh
-        if settled:
-            discard(both)
-            return state.select("id", F.col("g").alias("label"))
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
-
-
-def _grand(parents: DataFrame) -> DataFrame:
-    up = parents.select(F.col("id").alias("p"), F.col("f").alias("g"))
-    return parents.join(up, parents["f"] == up["p"]).select("id", "f", "g")
+    limit = TASK_EDGES if task_edges is None else task_edges
+    kept = edges.where("a is not null and b is not null and a <> b")
+    work = materialize(kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    kind = work.schema["a"].dataType.simpleString()
+    steps: list[DataFrame] = []
+    n = work.count()
+    while n > limit:
+        salt = F.lit(len(steps))
+        both = work.unionByName(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min_by("b", F.xxhash64("b", salt)).alias("b"))
+        first = F.when(F.xxhash64("b", salt) < F.xxhash64("a", salt), F.col("b")).otherwise(F.col("a"))
+        step = materialize(near.select(F.col("a").alias("id"), first.alias("taken")), "cc-step")
+        steps.append(step)
+        moved = work.join(step.select(F.col("id").alias("a"), F.col("taken").alias("x")), "a").join(step.select(F.col("id").alias("b"), F.col("taken").alias("y")), "b")
+        moved = moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        fresh = materialize(moved, "cc-edges")
+        discard(work)
+        work, n = fresh, fresh.count()
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        codes, ids = pd.factorize(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]))
+        half = len(rows)
+        return pd.DataFrame({"id": ids, "taken": ids[undirected_labels(codes[:half], codes[half:], len(ids))]})
+
+    labels = in_one_task(work, finish, f"id {kind}, taken {kind}") if n else work.select(F.col("a").alias("id"), F.col("b").alias("taken"))
+    for step in reversed(steps):
+        labels = step.join(labels.select(F.col("id").alias("taken"), F.col("taken").alias("last")), "taken", "left").select("id", F.coalesce("last", "taken").alias("taken"))
+    labels = materialize(labels, "cc-labels")
+    least = labels.groupBy("taken").agg(F.min("id").alias("label"))
+    return labels.join(least, "taken").select("id", "label")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.onetask import in_one_task, strong_labels
 from corpusloom.session import discard, materialize
 
+#: Strong components of so few edges are found in one task; larger graphs take rounds of joins.
+TASK_EDGES = 1_000_000
+
 
 def last_lines(rows: DataFrame, key: str, line: str) -> DataFrame:
     """One row per key, the one of the highest line: later lines replace earlier ones."""
@@ -96,54 +102,80 @@ def bfs_levels(edges: DataFrame, seeds: DataFrame, depth: int | None = None) ->
         fresh = materialize(fresh, "bfs-new")
         if fresh.isEmpty():
             break
-        seen = materialize(seen.unionByName(fresh), f"bfs-{level}")
+        both = materialize(seen.unionByName(fresh), f"bfs-{level}")
+        discard(fresh)
+        discard(seen)
+        seen = both
+    discard(steps)
     return seen
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(id, label) of strongly connected components by forward colouring.
+def strong_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(id, label) of strongly connected components.
 
-    Every node takes the largest id that reaches it; from the roots (nodes coloured by
-    themselves) the nodes of their colour that reach back form a component, which is then
-    removed.  Nodes without both kinds of edges are components of their own.
+    Graphs of more than ``task_edges`` edges are taken apart by forward colouring: every node
+    takes the colour that comes first, in a hash order salted by the round, among those that
+    reach it; from the nodes coloured by themselves those of their colour that reach back form
+    a component, which is removed.  The salt keeps chains of components from giving up only one
+    in each round.  Rounds go on until no edge is left or one task can finish the rest.  Nodes
+    without both kinds of edges are components of their own.  The label is the largest id.
     """
-    work = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "scc-edges")
-    found: DataFrame | None = None
-    for _ in range(max_rounds):
-        if work.isEmpty():
-            break
-        # trim: nodes on a cycle have edges in and out
-        while True:
-            trimmed = work.join(work.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(work.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            trimmed = materialize(trimmed, "scc-edges")
-            smaller = trimmed.count() < work.count()
-            work = trimmed
-            if not smaller:
+    pairs = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    work = materialize(pairs.where("src <> dst"), "scc-edges")
+    kind = work.schema["src"].dataType.simpleString()
+    parts: list[DataFrame] = []
+    number = 0
+
+    def replace(fresh: DataFrame, old: DataFrame) -> DataFrame:
+        discard(old)
+        return fresh
+
+    while (n := work.count()) > task_edges:
+        number += 1
+        while True:  # nodes on a cycle have edges in and out
+            kept = work.join(work.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(work.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            work, before, n = replace(materialize(kept, "scc-edges"), work), n, 0
+            n = work.count()
+            if n > 0.9 * before:
                 break
-        if work.isEmpty():
-            break
+        if n <= task_edges:
+            continue
         ids = work.select(F.col("src").alias("id")).unionByName(work.select(F.col("dst").alias("id"))).distinct()
-        colour = materialize(ids.withColumn("c", F.col("id")), "scc-colour")
+        colour = materialize(ids.select("id", F.struct(F.xxhash64("id", F.lit(number)).alias("h"), "id").alias("c"), F.lit(True).alias("fresh")), "scc-colour")
         while True:
-            pushed = work.join(colour.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("m"))
-            fresh = materialize(colour.join(pushed, "id", "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c")), "scc-colour")
-            same = fresh.join(colour.withColumnRenamed("c", "c0"), "id").where("c <> c0").isEmpty()
-            colour = fresh
-            if same:
+            pushed = work.join(colour.where("fresh").select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("m"))
+            better = F.coalesce(F.col("m") > F.col("c"), F.lit(False))
+            fresh = colour.join(pushed, "id", "left").select("id", F.when(better, F.col("m")).otherwise(F.col("c")).alias("c"), better.alias("fresh"))
+            colour = replace(materialize(fresh, "scc-colour"), colour)
+            if colour.where("fresh").isEmpty():
                 break
-        reached = materialize(colour.where("id = c"), "scc-reach")
+        colours = colour.select("id", F.col("c.id").alias("c"))
+        reached = materialize(colours.where("id = c").withColumn("step", F.lit(0)), "scc-reach")
+        step = 0
         while True:
-            back = work.join(reached.select(F.col("id").alias("dst"), "c"), "dst").select(F.col("src").alias("id"), "c")
-            fresh = back.join(colour, ["id", "c"], "left_semi").distinct().join(reached, ["id", "c"], "left_anti")
-            fresh = materialize(fresh.select("id", "c"), "scc-new")
+            back = work.join(reached.where(F.col("step") == step).select(F.col("id").alias("dst"), "c"), "dst").select(F.col("src").alias("id"), "c")
+            fresh = back.join(colours, ["id", "c"], "left_semi").distinct().join(reached, ["id", "c"], "left_anti").select("id", "c", F.lit(step + 1).alias("step"))
+            fresh = materialize(fresh, "scc-new")
             if fresh.isEmpty():
+                discard(fresh)
                 break
-            reached = materialize(reached.unionByName(fresh), "scc-reach")
-        part = reached.select("id", F.col("c").alias("label"))
-        found = part if found is None else found.unionByName(part)
+            both = materialize(reached.unionByName(fresh), "scc-reach")
+            discard(fresh)
+            reached, step = replace(both, reached), step + 1
+        parts.append(reached.select("id", F.col("c").alias("root")))
         gone = reached.select("id")
-        work = materialize(work.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc-edges")
-    every = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    if found is None:
-        return every.withColumn("label", F.col("id"))
-    return every.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+        work = replace(materialize(work.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc-edges"), work)
+        discard(colour)
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        codes, ids = pd.factorize(np.concatenate([rows["src"].to_numpy(), rows["dst"].to_numpy()]))
+        return pd.DataFrame({"id": ids, "root": ids[strong_labels(codes[: len(rows)], codes[len(rows) :], len(ids))]})
+
+    parts.append(in_one_task(work, finish, f"id {kind}, root {kind}"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    found = materialize(found, "scc-found")
+    every = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
+    largest = found.groupBy("root").agg(F.max("id").alias("label"))
+    return every.join(found.join(largest, "root"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))

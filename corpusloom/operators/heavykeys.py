@@ -1,10 +1,11 @@
 """Per-key results when a few keys hold most records.
 
 ``dense_totals`` works on equal input splits, whatever their keys: every split
-dictionary-encodes its own keys and sums its values with ``numpy.bincount``; the
-splits' partial arrays are then placed into blocks of a global dense id space and
-the blocks are summed.  No task ever holds the rows of one key, and the data that
-is shuffled has at most one row per split and key.
+dictionary-encodes its own keys and sums its values with ``numpy.bincount``.  The sums
+are packed into array blocks by a hash of the key, and the blocks of ``FAN_IN`` splits at
+a time are added at the places of their common dictionary until one block of each number
+is left.  No task ever holds the rows of one key; what is shuffled is one row per split
+and block.
 
 Defined results: rows with a null key or an empty one after cleaning are left to the
 caller's filter (a null key here is dropped); null values count as 0; an empty table
@@ -24,6 +25,8 @@ from corpusloom.session import materialize
 
 #: Keys per dense block; one block's arrays are a few hundred kB.
 BLOCK_KEYS = 16_384
+#: Lanes (scan splits of the partial sums) whose blocks are added in one group.
+FAN_IN = 32
 
 
 def split_partials(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
@@ -67,18 +70,21 @@ def split_partials(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     return df.select(F.col(key).cast("string").alias(key), *values).where(F.col(key).isNotNull()).mapInPandas(encode, schema)
 
 
-def key_dictionary(partials: DataFrame, key: str) -> DataFrame:
-    """Every distinct key with a block and a place within it.
+def _scatter(keys: np.ndarray, sums: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys and, at their places, dense arrays into which the sums are added."""
+    place, uniques = pd.factorize(keys)
+    out = []
+    for values in sums:
+        total = np.zeros(len(uniques), dtype=np.int64)
+        np.add.at(total, place, values.astype(np.int64))
+        out.append(total)
+    return uniques, out
 
-    The block comes from the key's hash and the place from the rank within the block,
-    so ids are dense per block without a global sort.
-    """
-    n = partials.select(F.approx_count_distinct(key)).first()[0]
-    blocks = max(1, -(-2 * int(n) // BLOCK_KEYS))
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    keys = partials.groupBy(key).agg(F.lit(1).alias("_one")).select(key, block.alias("block"))
-    grouped = keys.groupBy("block").agg(F.sort_array(F.collect_list(key)).alias("keys"))
-    return grouped.select("block", F.posexplode("keys").alias("place", key))
+
+def _add_blocks(frame: pd.DataFrame, names: Sequence[str]) -> pd.DataFrame:
+    """The sum of the array blocks of one group."""
+    keys, sums = _scatter(np.concatenate(list(frame["_key"])), [np.concatenate(list(frame[n])) for n in names])
+    return pd.DataFrame({"block": [frame["block"].iloc[0]], "lane": [frame["lane"].iloc[0]], "_key": [keys]} | {n: [t] for n, t in zip(names, sums, strict=True)})
 
 
 def dense_totals(df: DataFrame, key: str, values: Sequence[str] = ()) -> DataFrame:
@@ -88,25 +94,33 @@ def dense_totals(df: DataFrame, key: str, values: Sequence[str] = ()) -> DataFra
     renamed = df.select(F.col(key).cast("string").alias("_key"), *[F.col(v).alias(n) for v, n in zip(values, inner, strict=True)])
     partials = materialize(split_partials(renamed, "_key", inner), "key-partials")
     names = ["n_records", *inner]
-    coded = partials.join(key_dictionary(partials, "_key"), "_key")
-    arrays = ", ".join(f"{n} array<bigint>" for n in names)
-
-    def add_block(frame: pd.DataFrame) -> pd.DataFrame:
-        size = int(frame["place"].max()) + 1
-        place = frame["place"].to_numpy(np.int64)
-        sums = {}
-        for name in names:
-            block = np.zeros(size, dtype=np.int64)
-            np.add.at(block, place, frame[name].to_numpy(np.int64))
-            sums[name] = [block]
-        keys = np.empty(size, dtype=object)
-        keys[place] = frame["_key"].to_numpy(object)
-        return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "_key": [list(keys)]} | sums)
-
-    # partial sums per place first: a block then has one row per key, however many splits there are
-    summed = coded.groupBy("block", "place", "_key").agg(*[F.sum(n).alias(n) for n in names])
-    blocks = summed.groupBy("block").applyInPandas(add_block, f"block int, _key array<string>, {arrays}")
-    out = blocks.select(F.explode(F.arrays_zip("_key", *names)).alias("z"))
+    blocks = max(1, -(-2 * int(partials.select(F.approx_count_distinct("_key")).first()[0]) // BLOCK_KEYS))
+    schema = "block int, lane int, _key array<string>, " + ", ".join(f"{n} array<bigint>" for n in names)
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame.sort_values("block", kind="stable")
+            block, lane, keys = (frame[c].to_numpy() for c in ("block", "lane", "_key"))
+            values = [frame[n].to_numpy() for n in names]
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            rows = []
+            for lo, hi in zip(starts, [*starts[1:], len(block)], strict=True):
+                own, sums = _scatter(keys[lo:hi], [v[lo:hi] for v in values])
+                rows.append((block[lo], lane[lo], own, *sums))
+            yield pd.DataFrame(rows, columns=["block", "lane", "_key", *names])
+
+    # lanes are scan splits of the partial sums
+    lanes = max(1, len(partials.inputFiles()))
+    lane = F.pmod(F.spark_partition_id(), F.lit(lanes)).alias("lane")
+    coded = partials.select(F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int").alias("block"), lane, "_key", *names)
+    arrays = coded.mapInPandas(pack, schema)
+    # a group never holds more than FAN_IN lanes' blocks: lanes are merged level by level
+    while True:
+        arrays = arrays.withColumn("lane", F.floor(F.col("lane") / FAN_IN).cast("int")).groupBy("block", "lane").applyInPandas(lambda f: _add_blocks(f, names), schema)
+        lanes = -(-lanes // FAN_IN)
+        if lanes <= 1:
+            break
+    out = arrays.select(F.explode(F.arrays_zip("_key", *names)).alias("z"))
     return out.select(F.col("z._key").alias(key), "z.n_records", *[F.col(f"z.{n}").alias(v) for v, n in zip(values, inner, strict=True)])
 
 

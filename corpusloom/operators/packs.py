@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -65,27 +66,29 @@ def truncate_packs(placements: DataFrame, budget: int, side: str = "tail", pack:
 
 
 def targets_first(ids: Sequence[int], edges: Iterable[tuple[int, int]]) -> list[int]:
-    """Stable topological order with link targets before the linking documents; documents on
-    cycles, linking themselves or behind such ones keep their order at the end."""
+    """Topological order with link targets before the linking documents.
+
+    Of the documents that wait for nothing the one placed first goes next, also if it was
+    unlocked late; documents on cycles, linking themselves or behind such ones keep their
+    order at the end.
+    """
     at = {d: k for k, d in enumerate(ids)}
-    pairs = {(s, t) for s, t in edges if s in at and t in at}
-    waits = dict.fromkeys(ids, 0)
-    unlocks: dict[int, list[int]] = {}
-    for source, target in pairs:
+    waits = [0] * len(ids)
+    unlocks: list[list[int]] = [[] for _ in ids]
+    for source, target in {(at[s], at[t]) for s, t in edges if s in at and t in at}:
         waits[source] += 1
-        unlocks.setdefault(target, []).append(source)
-    ready = [d for d in ids if waits[d] == 0]
-    out: list[int] = []
-    k = 0
-    while k < len(ready):
-        out.append(ready[k])
-        for source in sorted(unlocks.get(ready[k], ()), key=at.__getitem__):
+        unlocks[target].append(source)
+    ready = [k for k, n in enumerate(waits) if n == 0]  # ascending, so a heap already
+    order: list[int] = []
+    while ready:
+        first = heapq.heappop(ready)
+        order.append(first)
+        for source in unlocks[first]:
             waits[source] -= 1
             if waits[source] == 0:
-                ready.append(source)
-        k += 1
-    done = set(out)
-    return out + [d for d in ids if d not in done]
+                heapq.heappush(ready, source)
+    placed = set(order)
+    return [ids[k] for k in order] + [d for k, d in enumerate(ids) if k not in placed]
 
 
 def order_packs(placements: DataFrame, edges: DataFrame) -> DataFrame:

@@ -44,15 +44,19 @@ def target_status(all_lines: DataFrame, removals: DataFrame, key: str = "normed_
     return lines.join(gone, "target", "full")
 
 
-def orphan_references(refs: DataFrame, status: DataFrame, exempt: DataFrame) -> DataFrame:
+def without_exempt(refs: DataFrame, exempt: DataFrame) -> DataFrame:
+    """References but for those to keys of ``exempt`` (column ``target``), which are always valid."""
+    return refs.join(bounded(exempt.select("target").where("target is not null").distinct()), "target", "left_anti")
+
+
+def orphan_references(refs: DataFrame, status: DataFrame) -> DataFrame:
     """References without a live record behind them, with ``reason``.
 
     ``refs`` has field, target and ref_loaded_at; ``status`` is unique per target, so
     a hub that a third of all references name is split by AQE on the reference side.
-    ``exempt`` (column ``target``) lists keys that are always valid.
     """
     refs = refs.select(*[c for c in ("node_id", "normed_identifier", "field", "target", "ref_period", "ref_loaded_at") if c in refs.columns])
-    known = refs.join(bounded(exempt.select("target").where("target is not null").distinct()), "target", "left_anti").join(status, "target", "left")
+    known = refs.join(status, "target", "left")
     has_line = F.coalesce("has_line", F.lit(False))
     deleted = F.col("has_removal") & (~has_line | (F.col("last_removed") > F.col("last_loaded")))
     reason = (
@@ -63,34 +67,53 @@ def orphan_references(refs: DataFrame, status: DataFrame, exempt: DataFrame) ->
     return known.withColumn("reason", reason).where("reason is not null").drop("first_loaded", "last_loaded", "has_line", "last_removed", "has_removal")
 
 
-def orphan_cascade(refs: DataFrame, direct: DataFrame, key: str = "normed_identifier", max_rounds: int = 50) -> DataFrame:
-    """Records orphaned directly (round 0) or by reference to an orphan (round n).
+def orphan_cascade(refs: DataFrame, direct: DataFrame, key: str = "normed_identifier") -> DataFrame:
+    """(field, key, round) of records orphaned directly (round 0) or by reference to an orphan
+    (round n), each list field being followed for itself.
 
-    Each round semi-joins the references with the last round's orphans and takes off
-    those already found; every round is a table in the shared folder.  The loop ends
-    when a round adds nothing; ``max_rounds`` guards against running for ever and
-    raises rather than leave out rows.
+    Each round semi-joins the references with the last round's orphans and takes off those
+    already found; every round is a table in the shared folder.  The loop ends when a round
+    adds nothing, however long the chains are.
     """
-    edges = materialize(refs.select(F.col(key).alias("child"), F.col("target").alias("parent")).where("child <> parent").distinct(), "orphan-edges")
-    found = materialize(direct.select(F.col(key).alias("key")).distinct().withColumn("round", F.lit(0)), "orphans-0")
-    frontier, parts = found, [found]
-    for number in range(1, max_rounds + 1):
-        hit = edges.join(frontier.select(F.col("key").alias("parent")), "parent", "left_semi").select(F.col("child").alias("key")).distinct()
+    edges = materialize(refs.select("field", F.col(key).alias("child"), F.col("target").alias("parent")).where("child <> parent").distinct(), "orphan-edges")
+    frontier = materialize(direct.select("field", F.col(key).alias("key")).distinct().withColumn("round", F.lit(0)), "orphans")
+    parts, number = [frontier], 0
+    while True:
+        number += 1
+        hit = edges.join(frontier.select("field", F.col("key").alias("parent")), ["field", "parent"], "left_semi").select("field", F.col("child").alias("key")).distinct()
         for part in parts:
-            hit = hit.join(part.select("key"), "key", "left_anti")
-        frontier = materialize(hit.withColumn("round", F.lit(number)), f"orphans-{number}")
+            hit = hit.join(part.select("field", "key"), ["field", "key"], "left_anti")
+        frontier = materialize(hit.withColumn("round", F.lit(number)), "orphans")
         if frontier.isEmpty():
             discard(frontier)
             break
         parts.append(frontier)
         if len(parts) > 6:  # keep the plan short: one table instead of many
-            merged = parts[0]
-            for part in parts[1:]:
-                merged = merged.unionByName(part)
-            parts = [materialize(merged, "orphans-all")]
-    else:
-        raise RuntimeError(f"the cascade did not end within {max_rounds} rounds")
+            merged = materialize(_union(parts[:-1]), "orphans")
+            for part in parts[:-1]:
+                discard(part)
+            parts = [merged, frontier]
+    discard(edges)
+    return _union(parts)
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def orphaned_references(refs: DataFrame, direct: DataFrame, key: str = "normed_identifier") -> DataFrame:
+    """References without a live record behind them, direct and inherited.
+
+    round 0 are the direct ones with their reason; a reference of round n + 1 names a record
+    that the cascade orphans in round n, and its reason is ``inherited``.
+    """
+    direct = materialize(direct, "direct")
+    orphans = orphan_cascade(refs, direct, key)
+    names = ["node_id", key, "field", "target", "ref_period"]
+    own = direct.select(*names, "reason", F.lit(0).alias("round"))
+    rest = refs.select(*names).distinct().join(direct.select(key, "field", "target").distinct(), [key, "field", "target"], "left_anti")
+    inherited = rest.join(orphans.select("field", F.col("key").alias("target"), (F.col("round") + 1).alias("round")), ["field", "target"]).select(*names, F.lit("inherited").alias("reason"), "round")
+    return own.unionByName(inherited)

@@ -50,15 +50,33 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return valid_lines(table(spark, d, "tokenized_graph"), *columns).withColumnRenamed("normed_identifier", "id")
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    listed = nodes(spark, d).select(F.col("id").alias("src"), F.explode("outgoing").alias("dst"))
+def lines(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The valid lines' wanted columns as a table, for plans that read them more than once."""
+    return materialize(nodes(spark, d).select("id", *columns), "valid-lines")
+
+
+def edges_of(valid: DataFrame) -> DataFrame:
+    listed = valid.select(F.col("id").alias("src"), F.explode("outgoing").alias("dst"))
     return listed.select("src", trimmed("dst").alias("dst")).where("dst <> ''").distinct()
 
 
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    return edges_of(nodes(spark, d).select("id", "outgoing"))
+
+
+def linked(spark: SparkSession, d: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes with the wanted columns, edges by identifier), from one table."""
+    valid = lines(spark, d, *columns, "outgoing")
+    return valid.select("id", *columns), edges_of(valid)
+
+
+def id_edges_of(valid: DataFrame) -> DataFrame:
+    e = edges_of(valid).join(valid.select(F.col("id").alias("src"), F.col("node_id").alias("a")), "src")
+    return e.join(valid.select(F.col("id").alias("dst"), F.col("node_id").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
 def id_edges(spark: SparkSession, d: str) -> DataFrame:
-    ids = nodes(spark, d).select("id", "node_id")
-    e = edges(spark, d).join(ids.select(F.col("id").alias("src"), F.col("node_id").alias("a")), "src")
-    return e.join(ids.select(F.col("id").alias("dst"), F.col("node_id").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return id_edges_of(lines(spark, d, "node_id", "outgoing"))
 
 
 def placed(spark: SparkSession, d: str) -> DataFrame:
@@ -68,10 +86,13 @@ def placed(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(known, "doc_id").withColumn("length", F.least("tok_len", F.col("effective_len").cast("bigint"))).where("length > 0")
 
 
-def code_files(spark: SparkSession, d: str) -> DataFrame:
-    rows = latest_files(table(spark, d, "stack_file"), "max_stars_repo_name", "max_stars_repo_path", "content")
-    kept = rows.where("trim(max_stars_repo_name) <> '' and max_stars_repo_path <> '' and content <> ''")
-    return kept.select("file_id", F.lower(F.trim("max_stars_repo_name")).alias("repo"), F.col("max_stars_repo_path").alias("path"), "content", F.col("file_id").alias("ord"))
+def code_files(spark: SparkSession, d: str, **derived: Column) -> DataFrame:
+    """One row per file with text: repository, path and what is derived from its ``content``."""
+    rows = latest_files(
+        table(spark, d, "stack_file"), repo=F.lower(F.trim("max_stars_repo_name")), path=F.col("max_stars_repo_path"), ord=F.col("file_id"),
+        _text=F.coalesce(F.col("content") != "", F.lit(False)), **derived,
+    )
+    return rows.where("repo <> '' and path <> '' and _text").drop("_text")
 
 
 def row_logits(spark: SparkSession, d: str) -> DataFrame:
@@ -113,8 +134,7 @@ def _norm(x: str) -> str:
  from valid v left join o using (id) left join i using (id) where coalesce(o.n, 0) + coalesce(i.n, 0) >= 2""")
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Nodes with sorted adjacency and at least two links."""
-    base = nodes(spark, d).select("id", "char_count")
-    full = graph.adjacency(base, edges(spark, d)).withColumn("links", (F.size("outgoing") + F.size("incoming")).cast("bigint")).where("links >= 2")
+    full = graph.adjacency(*linked(spark, d, "char_count")).withColumn("links", (F.size("outgoing") + F.size("incoming")).cast("bigint")).where("links >= 2")
     return full.select("id", "char_count", F.array_join("outgoing", "|").alias("outgoing"), F.array_join("incoming", "|").alias("incoming"), "links")
 
 
@@ -126,16 +146,17 @@ def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_IE}, n as (select count(*) as n from valid), m as (select count(*) as m from inner_edge) select n.n as n_nodes, m.m as n_edges, round(m.m / (n.n * (n.n - 1)), 12) as density from n, m")
 def graph_density(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).select("id")
-    return graph.internal_edges(n, edges(spark, d)).agg(F.count("*").alias("n_edges")).withColumn("n_nodes", F.lit(n.count()).cast("bigint")).select(
+    n, e = linked(spark, d)
+    return graph.internal_edges(n, e).agg(F.count("*").alias("n_edges")).withColumn("n_nodes", F.lit(n.count()).cast("bigint")).select(
         "n_nodes", "n_edges", F.round(F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1)), 12).alias("density")
     )
 
 
 @query(f"with {_E} select dst as target, count(*) as n_sources from edge where dst not in (select id from valid) group by 1")
 def dangling_targets(spark: SparkSession, d: str) -> DataFrame:
-    known = nodes(spark, d).select(F.col("id").alias("dst"))
-    return edges(spark, d).join(known, "dst", "left_anti").groupBy(F.col("dst").alias("target")).agg(F.count("*").alias("n_sources"))
+    n, e = linked(spark, d)
+    known = n.select(F.col("id").alias("dst"))
+    return e.join(known, "dst", "left_anti").groupBy(F.col("dst").alias("target")).agg(F.count("*").alias("n_sources"))
 
 
 _DEG = f"""{_IE}, deg as (select v.id, coalesce(o.n, 0) as out_degree, coalesce(i.n, 0) as in_degree from valid v
@@ -145,7 +166,7 @@ _DEG = f"""{_IE}, deg as (select v.id, coalesce(o.n, 0) as out_degree, coalesce(
 @query(f"""with {_DEG} select count(*) as n_nodes, round(avg(out_degree), 6) as mean_out, max(out_degree) as max_out, median(out_degree) as median_out,
  round(avg(in_degree), 6) as mean_in, max(in_degree) as max_in, median(in_degree) as median_in, round(100.0 * avg(case when in_degree = 0 then 1 else 0 end), 6) as zero_in_pct from deg""")
 def degree_stats(spark: SparkSession, d: str) -> DataFrame:
-    deg = graph.degrees(nodes(spark, d).select("id"), edges(spark, d))
+    deg = graph.degrees(*linked(spark, d))
     half = lambda c: F.percentile(c, F.lit(0.5))
     return deg.agg(
         F.count("*").alias("n_nodes"), F.round(F.avg("out_degree"), 6).alias("mean_out"), F.max("out_degree").alias("max_out"), half("out_degree").alias("median_out"),
@@ -156,24 +177,24 @@ def degree_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_DEG} select case when in_degree = 0 then 0 else cast(pow(2, floor(log2(in_degree))) as bigint) end as bucket, count(*) as n from deg group by 1")
 def degree_hist_pow2(spark: SparkSession, d: str) -> DataFrame:
-    deg = graph.degrees(nodes(spark, d).select("id"), edges(spark, d))
+    deg = graph.degrees(*linked(spark, d))
     return deg.groupBy(cs.pow2_low(F.col("in_degree")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 @query(f"with {_DEG}, w as (select greatest(max(out_degree), 1) / 50.0 as w from deg) select cast(least(floor(out_degree / w), 49) as int) as bin, count(*) as n from deg, w group by 1")
 def degree_histogram(spark: SparkSession, d: str) -> DataFrame:
-    deg = materialize(graph.degrees(nodes(spark, d).select("id"), edges(spark, d)), "degrees")
+    deg = materialize(graph.degrees(*linked(spark, d)), "degrees")
     return sinks.degree_histogram(deg, "out_degree").select("bin", "n")
 
 
 @query(f"with {_DEG} select id, in_degree from deg order by in_degree desc, id limit 10")
 def degree_topk(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degrees(nodes(spark, d).select("id"), edges(spark, d)).select("id", "in_degree").orderBy(F.desc("in_degree"), "id").limit(10)
+    return graph.degrees(*linked(spark, d)).select("id", "in_degree").orderBy(F.desc("in_degree"), "id").limit(10)
 
 
 @query(f"with {_UE} select v.id, count(u.b) as degree from valid v left join ue u on u.a = v.id group by 1")
 def undirected_degree(spark: SparkSession, d: str) -> DataFrame:
-    return graph.undirected_degrees(nodes(spark, d).select("id"), edges(spark, d))
+    return graph.undirected_degrees(*linked(spark, d))
 
 
 def _core_sql(rounds: int, least: int) -> str:
@@ -186,20 +207,20 @@ def _core_sql(rounds: int, least: int) -> str:
 
 @query(_core_sql(3, 3))
 def kcore_three_rounds(spark: SparkSession, d: str) -> DataFrame:
-    return graph.k_core(nodes(spark, d).select("id"), edges(spark, d), 3, rounds=3)
+    return graph.k_core(*linked(spark, d), 3, rounds=3)
 
 
 @query(_core_sql(40, 3).replace("select a as id, count(*) as degree from c40 group by 1", "select distinct a as id from c40"))
 def kcore(spark: SparkSession, d: str) -> DataFrame:
     """Fixpoint of the pruning (the SQL unrolls more rounds than it takes)."""
-    return graph.k_core(nodes(spark, d).select("id"), edges(spark, d), 3)
+    return graph.k_core(*linked(spark, d), 3)
 
 
 @query(f"""with recursive {_IE}, lv(id, level) as (select min(node_id), 0 from valid union select e.dst, l.level + 1 from lv l join idedge e on e.src = l.id where l.level < 4)
  select id, min(level) as level from lv group by 1""")
 def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
-    start = nodes(spark, d).agg(F.min("node_id").alias("id"))
-    return graph.bfs_levels(id_edges(spark, d), start, 4)
+    valid = lines(spark, d, "node_id", "outgoing")
+    return graph.bfs_levels(id_edges_of(valid), valid.agg(F.min("node_id").alias("id")), 4)
 
 
 @query(f"""with recursive {_UE}, up as (select a.node_id as a, b.node_id as b from ue join valid a on a.id = ue.a join valid b on b.id = ue.b),
@@ -325,13 +346,13 @@ _FILE_IMPORTS = rf"""{_F}, fi as (select distinct file_id, repo, path, trim(m) a
 
 @query(f"with {_FILE_IMPORTS} select file_id, import from fi")
 def py_file_imports(spark: SparkSession, d: str) -> DataFrame:
-    return code_files(spark, d).select("file_id", F.explode(imp.file_imports(F.col("content"))).alias("import"))
+    return code_files(spark, d, imports=imp.file_imports(F.col("content"))).select("file_id", F.explode("imports").alias("import"))
 
 
 @query()
 def py_parsed_imports(spark: SparkSession, d: str) -> DataFrame:
     """All absolute imports with names and candidate paths (multi-line statements included)."""
-    rows = code_files(spark, d).select("file_id", F.explode(imp.parsed_imports(F.col("content"))).alias("p"))
+    rows = code_files(spark, d, pairs=imp.parsed_imports(F.col("content"))).select("file_id", F.explode("pairs").alias("p"))
     return rows.select("file_id", "p.module", "p.name", F.array_join(imp.candidate_paths(F.col("p.module"), F.col("p.name")), "|").alias("candidates")).distinct()
 
 
@@ -357,10 +378,15 @@ _MODS = f"""{_FILE_IMPORTS}, raw as (select repo, path, file_id, trim(replace(re
  res as (select repo, path, import, target from (select *, row_number() over (partition by repo, path, import order by rank, target) as n from ranked where target <> path) where n = 1)"""
 
 
+def _import_files(spark: SparkSession, d: str) -> DataFrame:
+    content = F.col("content")
+    return materialize(code_files(spark, d, char_count=F.length(content), imports=imp.file_imports(content)), "file-imports")
+
+
 @query(f"with {_MODS} select repo, path, import, target from res")
 def import_resolution(spark: SparkSession, d: str) -> DataFrame:
-    files = code_files(spark, d)
-    asked = files.select("repo", "path", F.explode(imp.file_imports(F.col("content"))).alias("import")).distinct()
+    files = _import_files(spark, d)
+    asked = files.select("repo", "path", F.explode("imports").alias("import")).distinct()
     return codegraph.resolve_imports(files, asked, codegraph.module_table(files))
 
 
@@ -370,10 +396,10 @@ def import_resolution(spark: SparkSession, d: str) -> DataFrame:
  from (select distinct repo || ':' || path as id from files where repo in (select repo from files group by 1 having count(*) >= 2)) f left join o using (id) left join i using (id)
  where coalesce(o.n, 0) + coalesce(i.n, 0) >= 2""")
 def code_graph(spark: SparkSession, d: str) -> DataFrame:
-    files = code_files(spark, d)
-    asked = files.select("repo", "path", F.explode(imp.file_imports(F.col("content"))).alias("import")).distinct()
+    files = _import_files(spark, d)
+    asked = files.select("repo", "path", F.explode("imports").alias("import")).distinct()
     resolved = codegraph.resolve_imports(files, asked, codegraph.module_table(files))
-    sized = files.select("repo", "path", F.length("content").alias("char_count"), F.size(imp.file_imports(F.col("content"))).alias("import_count"))
+    sized = files.select("repo", "path", "char_count", F.size("imports").alias("import_count"))
     out = codegraph.code_graph(sized, resolved)
     return out.select("id", F.array_join("outgoing", "|").alias("outgoing"), F.array_join("incoming", "|").alias("incoming"), F.col("links_in_repo").cast("bigint").alias("links_in_repo"))
 
@@ -382,8 +408,8 @@ def code_graph(spark: SparkSession, d: str) -> DataFrame:
  select count(*) as n_nodes, count(distinct split_part(raw_identifier, ':', 1)) as n_repos, round(avg(import_count), 6) as mean_imports, median(import_count) as median_imports,
  round(100.0 * avg(case when coalesce(import_count, 0) = 0 then 1 else 0 end), 6) as zero_import_pct, round(avg(out_degree), 6) as mean_out, round(100.0 * avg(case when regexp_matches(lower(split_part(raw_identifier, ':', 2)), '(^|/)tests?/|(^|/)test_[^/]*$|_test\\.py$') then 1 else 0 end), 6) as test_pct from s""")
 def code_graph_stats(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).where(F.contains("raw_identifier", F.lit(":"))).select("id", "raw_identifier", "import_count")
-    s = n.join(graph.degrees(nodes(spark, d).select("id"), edges(spark, d)), "id")
+    n, e = linked(spark, d, "raw_identifier", "import_count")
+    s = n.where(F.contains("raw_identifier", F.lit(":"))).join(graph.degrees(n.select("id"), e), "id")
     path = F.split_part("raw_identifier", F.lit(":"), F.lit(2))
     return s.agg(
         F.count("*").alias("n_nodes"), F.countDistinct(F.substring_index("raw_identifier", ":", 1)).alias("n_repos"), F.round(F.avg("import_count"), 6).alias("mean_imports"),
@@ -415,12 +441,12 @@ _STATS = """st as (select file_id, length(content) as chars, len(regexp_extract_
 
 @query(f"with {_F}, {_STATS} select file_id, chars, words, len(ll) as n_lines, coalesce(list_max(ll), 0) as longest_line, round(coalesce(list_avg(ll), 0), 6) as mean_line, round(odd, 6) as odd_share from st")
 def content_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = code_files(spark, d).select("file_id", "content", cs.line_lengths(F.col("content")).alias("ll"))
-    mean = F.when(F.size("ll") > 0, F.aggregate("ll", F.lit(0).cast("bigint"), lambda a, x: a + x) / F.size("ll")).otherwise(0.0)
-    return rows.select(
-        "file_id", F.length("content").cast("bigint").alias("chars"), cs.word_count(F.col("content")).cast("bigint").alias("words"), F.size("ll").cast("bigint").alias("n_lines"),
-        F.coalesce(F.array_max("ll"), F.lit(0)).cast("bigint").alias("longest_line"), F.round(mean, 6).alias("mean_line"), F.round(cs.non_alnum_ratio(F.col("content")), 6).alias("odd_share"),
+    lengths = cs.line_lengths(F.col("content"))
+    rows = code_files(
+        spark, d, chars=F.length("content").cast("bigint"), words=cs.word_count(F.col("content")).cast("bigint"), lines=cs.length_summary(lengths), odd=cs.non_alnum_ratio(F.col("content"))
     )
+    mean = F.when(F.col("lines.n") > 0, F.col("lines.total") / F.col("lines.n")).otherwise(0.0)
+    return rows.select("file_id", "chars", "words", F.col("lines.n").alias("n_lines"), F.col("lines.longest").alias("longest_line"), F.round(mean, 6).alias("mean_line"), F.round("odd", 6).alias("odd_share"))
 
 
 @query(f"""with {_F}, {_STATS} select count(*) as n_files, cast(sum(chars) as bigint) as total_chars, max(chars) as max_chars, cast(sum(words) as bigint) as total_words,
@@ -428,7 +454,7 @@ def content_stats(spark: SparkSession, d: str) -> DataFrame:
  round(100.0 * avg(case when odd > 0.35 then 1 else 0 end), 6) as odd_pct, median(chars) as median_chars from st""")
 def content_totals(spark: SparkSession, d: str) -> DataFrame:
     """Totals over the files, with the counters of suspicious ones."""
-    s = code_files(spark, d).select(F.length("content").cast("bigint").alias("chars"), cs.word_count(F.col("content")).alias("words"), F.array_max(cs.line_lengths(F.col("content"))).alias("longest"), cs.non_alnum_ratio(F.col("content")).alias("odd"))
+    s = code_files(spark, d, chars=F.length("content").cast("bigint"), words=cs.word_count(F.col("content")), longest=cs.length_summary(cs.line_lengths(F.col("content")))["longest"], odd=cs.non_alnum_ratio(F.col("content")))
     share = lambda c: F.round(100 * F.avg(F.coalesce(c, F.lit(False)).cast("int")), 6)
     return s.agg(
         F.count("*").alias("n_files"), F.sum("chars").alias("total_chars"), F.max("chars").alias("max_chars"), F.sum("words").alias("total_words"), share(F.col("chars") < 200).alias("tiny_pct"),
@@ -441,8 +467,8 @@ _HIST = f"with {_F}, h as (select cast(pow(2, floor(log2(length(content)))) as b
 
 @query(f"{_HIST} select low || '-' || (2 * low - 1) as bucket, low, n from h")
 def content_hist_pow2(spark: SparkSession, d: str) -> DataFrame:
-    n = F.length("content").cast("bigint")
-    return code_files(spark, d).groupBy(cs.pow2_label(n).alias("bucket"), cs.pow2_low(n).alias("low")).agg(F.count("*").alias("n"))
+    n = F.col("chars")
+    return code_files(spark, d, chars=F.length("content").cast("bigint")).groupBy(cs.pow2_label(n).alias("bucket"), cs.pow2_low(n).alias("low")).agg(F.count("*").alias("n"))
 
 
 @query(f"""{_HIST}, c as (select low, sum(n) over (order by low) as cum, sum(n) over () as total from h)
@@ -453,10 +479,10 @@ def hist_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return c.select("low", "cum", "total", F.explode(F.array(*[F.lit(q).cast("double") for q in (0.5, 0.9, 0.99)])).alias("q")).where("cum >= total * q").groupBy("q").agg(F.min("low").alias("low"))
 
 
-@query(f"""with {_F}, s as (select md5(substr(regexp_replace(trim(regexp_replace(content, '\\s+', ' ', 'g')), ' +', ' ', 'g'), 1, 4096)) as sig, count(*) as n from files group by 1)
+@query(f"""with {_F}, s as (select md5(trim(regexp_replace(substr(content, 1, 4096), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+', ' ', 'g'))) as sig, count(*) as n from files group by 1)
  select cast(sum(n) as bigint) as n_files, cast(sum(n - 1) as bigint) as n_repeats, round(sum(n - 1) / sum(n), 9) as rate from s""")
 def dup_signature_rate(spark: SparkSession, d: str) -> DataFrame:
-    s = code_files(spark, d).groupBy(cs.content_signature(F.col("content")).alias("sig")).agg(F.count("*").alias("n"))
+    s = code_files(spark, d, sig=cs.content_signature(F.col("content"))).groupBy("sig").agg(F.count("*").alias("n"))
     return s.agg(F.sum("n").alias("n_files"), F.sum(F.col("n") - 1).alias("n_repeats"), F.round(F.sum(F.col("n") - 1) / F.sum("n"), 9).alias("rate"))
 
 
@@ -471,12 +497,12 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_UE}, u as (select v.id, count(ue.b) as degree from valid v left join ue on ue.a = v.id group by 1) select id, degree from u where degree >= 2")
 def split_eligible(spark: SparkSession, d: str) -> DataFrame:
-    return nodesplits.eligible(nodes(spark, d).select("id"), edges(spark, d), 2)
+    return nodesplits.eligible(*linked(spark, d), 2)
 
 
 @query(f"with {_UE}, u as (select v.id, count(ue.b) as degree from valid v left join ue on ue.a = v.id group by 1), r as (select id, row_number() over (order by md5('7:' || id), id) as rn, count(*) over () as n from u where degree >= 2) select id from r where rn <= round_even(0.1 * n, 0)")
 def split_random(spark: SparkSession, d: str) -> DataFrame:
-    ok = materialize(nodesplits.eligible(nodes(spark, d).select("id"), edges(spark, d), 2).select("id"), "eligible")
+    ok = materialize(nodesplits.eligible(*linked(spark, d), 2).select("id"), "eligible")
     return nodesplits.random_split(ok, 0.1, 7)
 
 
@@ -484,19 +510,19 @@ def split_random(spark: SparkSession, d: str) -> DataFrame:
  b as (select kind, case when degree < 2 then 0 when degree < 4 then 1 when degree < 8 then 2 when degree < 16 then 3 else 4 end as db, case when char_count < 1000 then 0 when char_count < 5000 then 1 when char_count < 20000 then 2 else 3 end as cb from u)
  select kind, count(*) as n_nodes, {', '.join(f'count(*) filter (db = {k}) as degree_{k}' for k in range(5))}, {', '.join(f'count(*) filter (cb = {k}) as chars_{k}' for k in range(4))} from b group by 1""")
 def bucket_profiles(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).select("id", "char_count")
-    u = graph.undirected_degrees(n, edges(spark, d)).join(n, "id").withColumn("kind", F.when(F.contains("id", F.lit(":")), "code").otherwise("wiki"))
+    n, e = linked(spark, d, "char_count")
+    u = graph.undirected_degrees(n, e).join(n, "id").withColumn("kind", F.when(F.contains("id", F.lit(":")), "code").otherwise("wiki"))
     return nodesplits.bucket_profiles(u, "kind")
 
 
 @query()
 def split_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return nodesplits.split_nodes(nodes(spark, d).select("id", "char_count"), edges(spark, d), 2, 0.05, 0.05, seed=7)
+    return nodesplits.split_nodes(*linked(spark, d, "char_count"), 2, 0.05, 0.05, seed=7)
 
 
 @query()
 def lpa_communities(spark: SparkSession, d: str) -> DataFrame:
-    labels = nodesplits.label_communities(nodes(spark, d).select("id"), edges(spark, d))
+    labels = nodesplits.label_communities(*linked(spark, d))
     return labels.groupBy("community").agg(F.count("*").alias("n_nodes"))
 
 
@@ -507,8 +533,9 @@ _SPLIT = f"sp as (select id, replace(lower(trim(split, {_T})), '-', '_') as spli
  select sp.split, count(*) as n_nodes, (select count(*) from pr where s = t and s = sp.split) as internal_edges,
  (select count(*) from pr where s <> t and ((s = 'train' and t = sp.split) or (t = 'train' and s = sp.split))) as edges_to_train from sp group by 1""")
 def split_stats(spark: SparkSession, d: str) -> DataFrame:
-    assigned = nodes(spark, d).select("id", cleaned_split("split").alias("split")).where("split is not null")
-    return nodesplits.split_stats(assigned, graph.internal_edges(nodes(spark, d).select("id"), edges(spark, d)))
+    n, e = linked(spark, d, "split")
+    assigned = n.select("id", cleaned_split("split").alias("split")).where("split is not null")
+    return nodesplits.split_stats(assigned, graph.internal_edges(n.select("id"), e))
 
 
 @query(f"with {_V}, {_SPLIT} select split, substr(sha256(string_agg(id, ',' order by id)), 1, 16) as node_list_hash from sp group by 1")
@@ -524,7 +551,7 @@ def node_list_hash(spark: SparkSession, d: str) -> DataFrame:
 def budgeted_lengths(spark: SparkSession, d: str) -> DataFrame:
     docs = nodes(spark, d).where("tok_len is not null").select("node_id", "tok_len")
     parts = None
-    for c in table(spark, d, "pack_config").limit(1000).collect():
+    for c in table(spark, d, "pack_config").collect():
         part = docs.select(F.lit(c["config_id"]).alias("config_id"), "node_id", packs.budgeted_length(F.col("tok_len"), c["doc_budget"], c["overflow_policy"]).cast("bigint").alias("budgeted"))
         parts = part if parts is None else parts.unionByName(part)
     return parts
@@ -599,8 +626,8 @@ def pack_order_targets_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sampled(spark: SparkSession, d: str, strategy: str) -> DataFrame:
-    n = nodes(spark, d).select("node_id", "tok_len").where("node_id is not null")
-    out = traversal.sampled_packs(n.select(F.col("node_id").alias("node"), F.col("tok_len").alias("length")), id_edges(spark, d), list(range(8)), 4, strategy, packs.PackSettings(2048, 1024, order_mode="prefer_targets_first"))
+    valid = lines(spark, d, "node_id", "tok_len", "outgoing").where("node_id is not null")
+    out = traversal.sampled_packs(valid.select(F.col("node_id").alias("node"), F.col("tok_len").alias("length")), id_edges_of(valid), list(range(8)), 4, strategy, packs.PackSettings(2048, 1024, order_mode="prefer_targets_first"))
     return out.withColumnRenamed("node", "doc_id")
 
 
@@ -773,13 +800,13 @@ def lm_shift(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------------------- texts
 
 # wikitext assembled from titles, the same on both engines
-_WIKI = """(select doc_id, '<!-- ' || title || ' -->''''''' || title || ''''''' is [[' || title || '|' || lower(title) || ']]s.<ref name="a">x</ref> ''''italic'''' (19271949) {{val|' || doc_id || '|u}}' || chr(10) ||
+_WIKI = """(select doc_id, '<!-- ' || title || ' -->''''''' || title || ''''''' is [[' || title || '|' || lower(title) || ']]s.<ref name="a">x</ref> ''''italic'''' (18081877) {{val|' || doc_id || '|u}}' || chr(10) ||
  '* one' || chr(10) || '** two' || chr(10) || ': quote' || chr(10) || ';Term' || chr(10) || '[http://a.example/x ' || title || '] <math>a=b</math> H<sub>2</sub>O<br/>end' || chr(10) || 'File:x.png|y' as t from documents where title is not null)"""
 
 
 def _wiki(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("title")
-    parts = [F.lit("<!-- "), t, F.lit(" -->'''"), t, F.lit("''' is [["), t, F.lit("|"), F.lower(t), F.lit("]]s.<ref name=\"a\">x</ref> ''italic'' (19271949) {{val|"), F.col("doc_id").cast("string"), F.lit("|u}}\n* one\n** two\n: quote\n;Term\n[http://a.example/x "), t, F.lit("] <math>a=b</math> H<sub>2</sub>O<br/>end\nFile:x.png|y")]
+    parts = [F.lit("<!-- "), t, F.lit(" -->'''"), t, F.lit("''' is [["), t, F.lit("|"), F.lower(t), F.lit("]]s.<ref name=\"a\">x</ref> ''italic'' (18081877) {{val|"), F.col("doc_id").cast("string"), F.lit("|u}}\n* one\n** two\n: quote\n;Term\n[http://a.example/x "), t, F.lit("] <math>a=b</math> H<sub>2</sub>O<br/>end\nFile:x.png|y")]
     return table(spark, d, "documents").where("title is not null").select("doc_id", F.concat(*parts).alias("t"))
 
 

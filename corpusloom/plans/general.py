@@ -21,34 +21,27 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     refs = references.explode_references(lines, FIELDS)
     status = references.target_status(graph, table(spark, d, "node_removal"))
     hubs = table(spark, d, "hub_node").select(F.col("normed_identifier").alias("target"))
-    return refs, references.orphan_references(refs, status, hubs)
+    refs = materialize(references.without_exempt(refs, hubs), "references")
+    return refs, references.orphan_references(refs, status)
+
+
+def _orphaned(spark: SparkSession, d: str) -> DataFrame:
+    return references.orphaned_references(*_references(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    _, direct = _references(spark, d)
-    return direct.select("node_id", "field", "target", "ref_period", "reason").distinct()
+    """Round 0 of the cascade: references that are dead themselves."""
+    return _orphaned(spark, d).where("round = 0").select("node_id", "field", "target", "ref_period", "reason").distinct()
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per list field, month and reason: direct dead references."""
-    _, direct = _references(spark, d)
-    return direct.groupBy("field", "ref_period", "reason").agg(F.count("*").alias("n_references"), F.countDistinct("target").alias("n_targets"))
+    """Per list field, month and reason (``inherited`` for the cascade's): dead references."""
+    return _orphaned(spark, d).groupBy("field", "ref_period", "reason").agg(F.count("*").alias("n_references"), F.countDistinct("target").alias("n_targets"))
 
 
 def p3_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Per list field and month: nodes' references that are dead themselves and those
-    to nodes which are orphaned (directly or by inheritance) along ``outgoing``."""
-    refs, direct = _references(spark, d)
-    refs, direct = materialize(refs, "references"), materialize(direct, "direct")
-    out_refs, out_direct = refs.where("field = 'outgoing'"), direct.where("field = 'outgoing'")
-    orphans = references.orphan_cascade(out_refs, out_direct)
-    dead = direct.select("node_id", "field", "target").withColumn("dead", F.lit(1))
-    marked = refs.join(dead, ["node_id", "field", "target"], "left").join(orphans.select(F.col("key").alias("target"), "round"), "target", "left")
-    return marked.groupBy("field", "ref_period").agg(
-        F.count("*").alias("n_references"),
-        F.sum(F.coalesce("dead", F.lit(0))).alias("n_direct"),
-        F.sum(F.when(F.col("dead").isNull() & F.col("round").isNotNull(), 1).otherwise(0)).alias("n_inherited"),
-    )
+    """Per list field and round: orphaned references; round 0 are the direct ones."""
+    return _orphaned(spark, d).groupBy("field", "round").agg(F.count("*").alias("n_references"), F.countDistinct("normed_identifier").alias("n_records"))
 
 
 def _clean_repo(col: str):
@@ -70,7 +63,7 @@ def _incoming_pairs(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for field, pairs in (("repo_name", _import_pairs(spark, d).select("key_value")), ("incoming", _incoming_pairs(spark, d).select("key_value"))):
-        totals = heavykeys.dense_totals(pairs, "key_value")
+        totals = materialize(heavykeys.dense_totals(pairs, "key_value"), "key-totals")
         parts.append(heavykeys.heavy_keys(totals, "key_value", HEAVY_SHARE).select(F.lit(field).alias("field"), "key_value"))
     return parts[0].unionByName(parts[1])
 
@@ -116,6 +109,15 @@ orphans as (
   where r.target not in (select normed_identifier from hub_node where normed_identifier is not null))
 """
 
+# rounds are walked one by one: only records that were new in the round before go on
+_CASCADE = _ORPHANS.replace("with valid", "with recursive valid", 1) + """, seed as (select distinct field, ident from orphans where reason is not null),
+walk(field, ident, round) using key (field, ident) as (select field, ident, 0 from seed
+  union select r.field, r.ident, min(w.round) + 1 from orphans r join walk w on w.field = r.field and w.ident = r.target
+  where r.ident <> r.target and not exists (select 1 from recurring.walk k where k.field = r.field and k.ident = r.ident) group by all),
+orphaned as (select node_id, ident, field, target, ref_period, reason, 0 as round from orphans where reason is not null
+  union all select o.node_id, o.ident, o.field, o.target, o.ref_period, 'inherited', w.round + 1 from orphans o join walk w on w.field = o.field and w.ident = o.target where o.reason is null)
+"""
+
 _PAIRS = """pairs as (select lower(trim(repo_name, ' ' || chr(9))) as key_value, file_path, count(*) as deliveries, max(char_count) as chars
   from import_record where trim(repo_name, ' ' || chr(9)) <> '' group by all)"""
 
@@ -124,14 +126,8 @@ _INCOMING = f"""{_VALID}, inc as (select distinct node_id, tok_len, trim(item, '
 
 ORACLES = {
     "p3_found": _ORPHANS + "select distinct node_id, field, target, ref_period, reason from orphans where reason is not null",
-    "p3_report": _ORPHANS + "select field, ref_period, reason, count(*) as n_references, count(distinct target) as n_targets from orphans where reason is not null group by all",
-    "p3_cascade": _ORPHANS.replace("with valid", "with recursive valid", 1)
-    + """, reach(ident) as (select distinct ident from orphans where reason is not null and field = 'outgoing'
-      union select r.ident from refs r join reach on reach.ident = r.target where r.field = 'outgoing')
-    select r.field, r.ref_period, count(*) as n_references, cast(sum(case when o.reason is not null then 1 else 0 end) as bigint) as n_direct,
-      cast(sum(case when o.reason is null and reach.ident is not null then 1 else 0 end) as bigint) as n_inherited
-    from refs r left join orphans o on o.node_id = r.node_id and o.field = r.field and o.target = r.target
-    left join reach on reach.ident = r.target group by all""",
+    "p3_report": _CASCADE + "select field, ref_period, reason, count(*) as n_references, count(distinct target) as n_targets from orphaned group by all",
+    "p3_cascade": _CASCADE + "select field, round, count(*) as n_references, count(distinct ident) as n_records from orphaned group by all",
     "p4_found": f"with {_PAIRS}, {_INCOMING}" + """
       select 'repo_name' as field, key_value from pairs group by key_value having count(*) >= 0.02 * (select count(*) from pairs)
       union all select 'incoming', key_value from inc group by key_value having count(*) >= 0.02 * (select count(*) from inc)""",

@@ -7,10 +7,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: list[str] = []
+#: Intermediate tables that are still there.
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def build_session(app: str = "corpusloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,12 +37,15 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a local folder is
-    made, set on the session and removed at exit.
+    Only where the setting is absent and the master is local (tests on one machine) a
+    local folder is made, set on the session and removed at exit.  On a cluster a missing
+    setting is an error, as executors could not read each other's local folders.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
     spark.conf.set("spark.checkpoint.dir", path)
     _LOCAL_DIRS.append(path[7:])
@@ -59,6 +66,7 @@ def materialize(df: DataFrame, label: str = "stage", partition_by: str | None =
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path  # type: ignore[attr-defined]
+    _TABLES.append((spark, path))
     return out
 
 
@@ -66,14 +74,38 @@ def discard(df: DataFrame) -> None:
     """Delete the table behind a ``materialize`` result that nothing reads any more."""
     path = getattr(df, "_loom_path", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+        _delete(df.sparkSession, path)
+        _TABLES[:] = [t for t in _TABLES if t[1] != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete at its end all intermediate tables made inside.
+
+    Results are lazy, so what is wanted of them has to be written or collected inside.
+    """
+    before = {path for _, path in _TABLES}
+    try:
+        yield
+    finally:
+        for spark, path in [t for t in _TABLES if t[1] not in before]:
+            _delete(spark, path)
+        _TABLES[:] = [t for t in _TABLES if t[1] in before]
 
 
 @atexit.register
 def _clean() -> None:
+    for spark, path in _TABLES:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session has ended; its folder is the cluster's to clean
+            break
     for path in _LOCAL_DIRS:
         if os.path.isdir(path):
             shutil.rmtree(path, ignore_errors=True)

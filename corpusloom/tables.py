@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Blanks and tabs, the characters that "trimmed" removes in this project's data.
@@ -43,13 +43,12 @@ def valid_lines(graph: DataFrame, *columns: str) -> DataFrame:
     return out.select("normed_identifier", "b.*")
 
 
-def latest_files(files: DataFrame, *columns: str) -> DataFrame:
-    """One row per ``file_id``: the delivery loaded last (content is the same in all)."""
-    body = F.struct(*[c for c in columns if c != "file_id"])
-    rank = F.struct(F.coalesce(F.col("loaded_at"), F.lit("1970-01-01").cast("timestamp")))
-    return files.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.max_by(body, rank).alias("b")).select("file_id", "b.*")
+def latest_files(files: DataFrame, **columns: Column) -> DataFrame:
+    """One row per ``file_id`` with the given columns of the delivery loaded last.
 
-
-def distinct_rows(df: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last())
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    The columns are computed in the scan, before rows meet: ask for what is derived from a
+    text (statistics, imports, a signature), not for the text, and no text is shuffled.
+    """
+    rank = F.coalesce(F.col("loaded_at"), F.lit("1970-01-01").cast("timestamp")).alias("_rank")
+    narrow = files.where(F.col("file_id").isNotNull()).select("file_id", rank, F.struct(*[c.alias(n) for n, c in columns.items()]).alias("_b"))
+    return narrow.groupBy("file_id").agg(F.max_by("_b", "_rank").alias("_b")).select("file_id", "_b.*")

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,35 +16,45 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"{n} string" for n in names)).select(column.alias("r")).first().r
 
 
-@pytest.mark.parametrize(("raw", "want"), [("Python", "python_23eeeb"), ("water", "water_946037"), ("A+B", "a_b_65c884"), ("A-B", "a-b_8ca2ed"), ("Sunshine Coast, Queensland", "sunshine_coast_queensland_3a1f2e")])
-def test_identifiers(spark, raw, want):
+@pytest.mark.parametrize("raw", ["Harbour", "K+L", "k-l", "North  Quay, Outer (1901)", "Red/Blue"])
+def test_identifiers(spark, raw):
+    canonical = raw.strip().lower().replace(" ", "_")
+    bare = re.sub("__+", "_", re.sub(r"[^a-z0-9_\-]", "_", canonical)).strip("_")
+    want = f"{bare}_{hashlib.md5(canonical.encode()).hexdigest()[:6]}"
     assert one(spark, idn.normalize_identifier("x"), x=raw) == want == idn.python_normalize_identifier(raw)
 
 
 def test_other_identifiers(spark):
-    assert one(spark, idn.normalize_repository("x"), x="user/repo-alpha") == "user_repo_alpha_0284a2"
-    assert one(spark, idn.generation_identifier("x"), x="A+B") == "ab_470c3f"
-    assert one(spark, idn.generation_identifier("x"), x="Python") == "python_a7f5f3"
-    assert one(spark, idn.strip_hash("x"), x="python_a7f5f3") == "python"
-    assert one(spark, idn.module_of_path("x"), x="foo/bar.py") == "foo.bar"
-    assert one(spark, idn.span_key("x", "python"), x="repo:a/b.py") == "a/b.py"
-    assert one(spark, idn.det_hash32("x"), x="ab") == 12805
-    assert one(spark, idn.normalize_identifier("x", unescape=True), x="A&amp;B") == "a_b_" + hashlib.md5(b"a&b").hexdigest()[:6]
-    assert one(spark, idn.extension("x"), x="a/b.TXT") == ".txt" and one(spark, idn.extension("x"), x="a/Makefile") == "<none>"
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()[:6]
+    assert one(spark, idn.normalize_repository("x"), x="Port/tug-boat") == "port_tug_boat_" + digest("port_tug_boat")
+    assert one(spark, idn.generation_identifier("x"), x="K+L m") == "kl_m_" + digest("K+L m")
+    assert one(spark, idn.strip_hash("x"), x="tug_a7f5f3") == "tug"
+    assert one(spark, idn.module_of_path("x"), x="dock/crane.py") == "dock.crane"
+    assert one(spark, idn.span_key("x", "python"), x="port:dock/crane.py") == "dock/crane.py"
+    assert one(spark, idn.det_hash32("x"), x="ab") == ord("a") * 131 + ord("b")
+    assert one(spark, idn.normalize_identifier("x", unescape=True), x="K&amp;L") == "k_l_" + digest("k&l")
+    assert one(spark, idn.extension("x"), x="dock/b.TXT") == ".txt" and one(spark, idn.extension("x"), x="dock/Makefile") == "<none>"
 
 
 def test_links_and_imports(spark):
-    body = "Here [a](Target%20Doc) and [b](x+y) ![img](z) [c!](no)."
-    assert one(spark, F.array_join(lnk.link_targets(F.col("x")), "|"), x=body) == "Target Doc|x+y|z"
-    code = "import os, sys\nfrom foo.bar import (\n    baz,  # note\n    qux,\n)\nfrom . import x\nimport a.b as c\nfrom m import *\n"
+    body = "See [the pier](Old%20Pier) or [quay](n+s) ![img](z) [c!](no)."
+    assert one(spark, F.array_join(lnk.link_targets(F.col("x")), "|"), x=body) == "Old Pier|n+s|z"
+    code = "import re, zlib\nfrom dock.crane import (\n    hook,  # note\n    chain,\n)\nfrom . import x\nimport a.b as c\nfrom m import *\n"
     pairs = one(spark, F.transform(imp.parsed_imports(F.col("x")), lambda p: F.concat_ws(":", p["module"], p["name"])), x=code)
-    assert set(pairs) == {"os:", "sys:", "foo.bar:baz", "foo.bar:qux", "a.b:", "m:*"}
-    assert one(spark, imp.candidate_paths(F.lit("foo.bar"), F.lit("baz")), x="") == ["foo/bar/baz.py", "foo/bar/baz/__init__.py", "foo/bar.py", "foo/bar/__init__.py"]
+    assert set(pairs) == {"re:", "zlib:", "dock.crane:hook", "dock.crane:chain", "a.b:", "m:*"}
+    assert one(spark, imp.candidate_paths(F.lit("dock.crane"), F.lit("hook")), x="") == ["dock/crane/hook.py", "dock/crane/hook/__init__.py", "dock/crane.py", "dock/crane/__init__.py"]
     assert set(one(spark, imp.file_imports(F.col("x")), x="import os\nimport mine\nfrom .rel import q\n")) == {"mine", ".rel"}
     tokens = ["See ", "[Foo", "](", "Bar", " Baz", ")", " end"]
     assert lnk.detect_token_links(range(7), lambda t: tokens[t[0]]) == [(6, "Bar Baz")]
 
 
+def test_content_signature(spark):
+    long = " " * 5000
+    assert one(spark, cs.content_signature(F.col("x")), x=long + "a") == one(spark, cs.content_signature(F.col("x")), x=long + "b")
+    assert one(spark, cs.content_signature(F.col("x")), x="p \n\tq ") == hashlib.md5(b"p q").hexdigest() != one(spark, cs.content_signature(F.col("x")), x="p q r")
+    assert one(spark, cs.content_signature(F.col("x")), x="") == ""
+
+
 def test_statistics(spark):
     assert one(spark, cs.line_lengths(F.col("x")), x="ab\r\nc\n") == [2, 1]
     assert one(spark, cs.line_lengths(F.col("x")), x="") == []
@@ -52,21 +63,28 @@ def test_statistics(spark):
 
 
 def test_cleaning_steps():
-    assert txt.drop_nested("a {{b {{c}} d}} e", "{{", "}}") == "a  e"
-    assert txt.drop_nested("x }} {{a}} y", "{{", "}}") == "x }} {{a}} y"
-    assert txt.internal_links("[[apple]]s [[A b|c]] [[File:x.png|y]] [[:Image:q.jpg|L]] [[wikt:word]]") == "[apple](apple)s [c](A b)  L [word](word)"
-    assert txt._run("broken_links")("See [[Link] here.") == "See [Link] here."
-    assert txt._run("number_templates")("Val {{val|1.23}}") == "Val 1.23"
-    assert txt._run("reference_tags")("Statement<ref name='x' />.") == "Statement."
-    assert txt.html_lists("<ul><li>a</li><li class='x'>b</ul>") == "- a\n- b"
-    assert txt.sections("intro\n== References ==\nx\n== Keep ==\ny\n== Empty ==\n") == "intro\n\n## Keep\ny"
-    assert txt.squeeze_blank_lines("\n\na\n\n\n\n\nb\n\n") == "a\n\n\nb"
-    assert txt.leftover_mediawiki_links("[[File:a [[b]] c]]x") == "x"
+    assert txt.drop_nested("p {{q {{r}} s}} t", "{{", "}}") == "p  t"
+    assert txt.drop_nested("p }} {{q}} t", "{{", "}}") == "p }} {{q}} t"
+    assert txt.internal_links("[[harbour]]s [[North Quay|quay]] [[File:map.png|m]] [[:Image:buoy.jpg|Buoy]] [[wikt:keel]]") == "[harbour](harbour)s [quay](North Quay)  Buoy [keel](keel)"
+    assert txt._run("broken_links")("The [[Keel] of it.") == "The [Keel] of it."
+    assert txt._run("number_templates")("Draught {{val|4.5}} m") == "Draught 4.5 m"
+    assert txt._run("reference_tags")("It sank<ref name='log' />. Twice") == "It sank. Twice" and txt._run("reference_tags")("Twice.<ref>log</ref>") == "Twice."
+    assert txt.html_lists("<ol><li>bow</li><li class='k'>stern<li> </ol>") == "- bow\n- stern"
+    assert txt.html_quotes("x<blockquote cite=y> one \n\n two</blockquote>z") == "x\n> one\n> two\nz"
+    assert txt.sections("lead\n== Notes ==\nn\n== Hull ==\nsteel \n\n=== Empty ===\n \n== Deck ==\nwood") == "lead\n\n## Hull\nsteel\n\n## Deck\nwood"
+    # uneven marks open a section that shares the fate of the one before
+    assert txt.sections("== Notes ==\nn\n == Aft ==\nx\n== Hull ==\nsteel\n == Rib ==\noak") == "## Hull\nsteel\n\n== Rib ==\noak"
+    assert txt.leftover_mediawiki_links("[[Image:deck [[plan]] a]]z") == "z"
     assert txt.clean_text("") == ""
 
 
+@pytest.mark.parametrize(("raw", "want"), [("\n\nk\n\n\n \n\nm\n\n", "k\n\n\nm"), (" \n\t", ""), ("  k\n\n\nm  ", "  k\n\n\nm  "), ("k\n \n\t\n\nm", "k\n \n\t\nm"), ("", "")])
+def test_blank_lines(spark, raw, want):
+    assert txt._run("blank_lines")(raw) == want == one(spark, txt.step("blank_lines", F.col("x")), x=raw)
+
+
 def test_steps_agree_between_column_and_python(spark):
-    text = "''a'' '''b''' * x\n* y\n; T\nFile:a.png\n<sup>2</sup> ****x** ***w*** (19001950) [http://x.example/a b]"
+    text = "''low'' '''high''' * x\n* tide\n; Ebb\nFile:chart.png\n<sup>3</sup> ****x** ***w*** (18401902) [http://sea.example/p q]"
     for name in txt.STEPS:
         assert one(spark, txt.step(name, F.col("x")), x=text) == txt._run(name)(text), name
 

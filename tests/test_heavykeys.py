@@ -17,6 +17,14 @@ def test_totals_match_a_plain_count_under_skew(spark):
     assert got == {k: (count[k], total[k]) for k in count}
 
 
+def test_blocks_are_reduced_over_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(hk, "FAN_IN", 2)
+    monkeypatch.setattr(hk, "BLOCK_KEYS", 8)
+    df = spark.createDataFrame([(f"k{n % 40}", n) for n in range(900)], "k string, v bigint").repartition(9)
+    got = {r.k: (r.n_records, r.v) for r in hk.dense_totals(df, "k", ["v"]).collect()}
+    assert got == {f"k{j}": (len(range(j, 900, 40)), sum(range(j, 900, 40))) for j in range(40)}
+
+
 def test_heavy_keys_and_empty(spark):
     df = spark.createDataFrame([("a",)] * 98 + [("b",)] * 2, "k string")
     assert {r.k for r in hk.heavy_keys(hk.dense_totals(df, "k"), "k", 0.02).collect()} == {"a", "b"}

@@ -28,6 +28,8 @@ def test_components_match_union_find(spark):
             parent[max(x, y)] = min(x, y)
     got = {r.id: r.label for r in connected_components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for x in parent}
+    rounds = connected_components(spark.createDataFrame(pairs, "a bigint, b bigint"), task_edges=3)
+    assert {r.id: r.label for r in rounds.collect()} == got
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
@@ -37,6 +39,18 @@ def test_strong_components(spark):
     for r in graph.strong_components(e).collect():
         got.setdefault(r.label, set()).add(r.id)
     assert sorted(map(sorted, got.values())) == [[1, 2, 3], [4, 5], [6], [7]]
+    rounds = graph.strong_components(e, task_edges=0)
+    assert {(r.id, r.label) for r in rounds.collect()} == {(x, k) for k, m in got.items() for x in m}
+
+
+def test_strong_components_of_a_long_chain(spark):
+    # 150 cycles of two whose ids fall along the chain
+    e = [(2 * k, 2 * k + 1) for k in range(150)] + [(2 * k + 1, 2 * k) for k in range(150)] + [(2 * k, 2 * k - 1) for k in range(1, 150)]
+    got = {r.id: r.label for r in graph.strong_components(spark.createDataFrame(e, "src bigint, dst bigint")).collect()}
+    assert got == {x: x | 1 for x in range(300)}
+    few = [p for p in e if max(p) < 12]
+    got = {r.id: r.label for r in graph.strong_components(spark.createDataFrame(few, "src bigint, dst bigint"), task_edges=0).collect()}
+    assert got == {x: x | 1 for x in range(12)}
 
 
 def test_adjacency_keeps_dangling_targets_and_isolated_nodes(spark):
@@ -79,6 +93,8 @@ def test_truncation_closed_form_equals_the_sequential_one(spark):
 def test_ordering_and_layout(spark):
     assert packs.targets_first([0, 1, 2], [(0, 1), (1, 2)]) == [2, 1, 0]
     assert packs.targets_first([0, 1, 2], [(0, 0), (1, 0), (2, 5)]) == [2, 0, 1]
+    # an unlocked document goes before later ones that waited for nothing
+    assert packs.targets_first([0, 1, 2, 3], [(0, 1)]) == [1, 0, 2, 3]
     with pytest.raises(ValueError):
         packs.make_layout("nope")
     with pytest.raises(ValueError):
