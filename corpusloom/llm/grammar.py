@@ -1,15 +1,14 @@
 """Re-Pair grammars over token sequences, inferred for many texts at once.
 
-Tokens are found on bytes without a loop over them.  ``Grammars`` replaces repeated pairs
-of symbols by rules, round by round: in every round all pairs that occur twice or more in
-their text and are more frequent than the pairs they overlap are replaced at once, so a
-batch of texts takes as many rounds as the deepest of them.  ``stable_rules`` builds the
-rules by a priority that depends on the symbols alone; equal passages then give equal
-rules in whatever text they stand, which is what comparing texts needs.
+Tokens are found on bytes without a loop over them.  ``infer`` makes a grammar for every
+text of a batch by replacing repeated pairs, frequent ones first, until none is left.
+``passages`` does the same with frequencies that all texts share, so that a passage gets
+the same rules in whatever text it stands, which is what comparing texts needs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,60 +101,72 @@ def _local_best(rank: np.ndarray, ok: np.ndarray) -> np.ndarray:
     return ok & (rank > left) & (rank >= right)
 
 
-def grammar_sizes(symbols: np.ndarray, owner: np.ndarray, texts: int, rounds: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: symbols left at the end, rules made, and the widest symbol's tokens."""
-    rules = np.zeros(texts, dtype=np.int64)
-    sym, own, width = symbols.copy(), owner.copy(), np.ones(len(symbols), dtype=np.int64)
-    for _ in range(rounds):
-        if len(sym) < 2:
-            break
-        same = own[1:] == own[:-1]
+def _pair_counts(key: np.ndarray) -> np.ndarray:
+    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+    return counts[inverse]
+
+
+def infer(symbols: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair grammars of many texts at once: per text the symbols left and the rules made,
+    and per input symbol whether no rule took it in.
+
+    In a round the pairs of each text are taken by falling frequency: a pair is replaced
+    where it is more frequent than the pairs it overlaps, and only if that happens twice or
+    more.  A text is done when no pair is left; rounds go on until all texts are done.
+    """
+    left, rules = np.zeros(texts, dtype=np.int64), np.zeros(texts, dtype=np.int64)
+    alone = np.zeros(len(symbols), dtype=bool)
+    sym, own, at_first = symbols.copy(), owner, np.arange(len(symbols))
+    single = np.ones(len(symbols), dtype=bool)
+    while len(sym):
         key = tk.mix(_pair_hash(sym[:-1], sym[1:]) + own[:-1].astype(U64) * U64(0xD6E8FEB86659FD93))
-        uniq, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-        n = counts[inverse]
-        ok = same & (n >= 2)
+        n = _pair_counts(key)
+        ok = (own[1:] == own[:-1]) & (n >= 2)
         # in a run of one pair every other position is taken
-        fresh = np.concatenate([[True], key[1:] != key[:-1]])
-        since = np.arange(len(key)) - np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-        ok &= since % 2 == 0
-        if not ok.any():
-            break
-        rank = (np.minimum(n, 0xFFFFFF).astype(U64) << U64(40)) | (key >> U64(24))
-        best = _local_best(rank, ok)
-        at = np.flatnonzero(best)
+        places = np.arange(len(key))
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        ok &= (places - np.maximum.accumulate(np.where(fresh, places, 0))) % 2 == 0
+        at = np.flatnonzero(_local_best((np.minimum(n, 0xFFFFFF).astype(U64) << U64(40)) | (key >> U64(24)), ok))
         # a pair that this selection would use once only is no rule
-        chosen, inv, used = np.unique(key[at], return_inverse=True, return_counts=True)
-        at = at[used[inv] >= 2]
-        if not len(at):
-            break
-        made = np.unique(key[at], return_index=True)[1]
-        rules += np.bincount(own[at[made]], minlength=texts)
+        at = at[_pair_counts(key[at]) >= 2]
+        active = np.zeros(texts, dtype=bool)
+        active[own[at]] = True
+        done = ~active[own]
+        left += np.bincount(own[done], minlength=texts)
+        alone[at_first[done & single]] = True
+        rules += np.bincount(own[at[np.unique(key[at], return_index=True)[1]]], minlength=texts)
         sym[at] = key[at]
-        width[at] += width[at + 1]
-        gone = np.ones(len(sym), dtype=bool)
-        gone[at + 1] = False
-        sym, own, width = sym[gone], own[gone], width[gone]
-    left = np.bincount(own, minlength=texts)
-    widest = np.zeros(texts, dtype=np.int64)
-    np.maximum.at(widest, own, width)
-    return left, rules, widest
+        single[at] = False
+        keep = ~done
+        keep[at + 1] = False
+        sym, own, at_first, single = sym[keep], own[keep], at_first[keep], single[keep]
+    return left, rules, alone
 
 
-def stable_rules(symbols: np.ndarray, owner: np.ndarray, least: int = 8, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Buckets of a table of pair frequencies, and rounds that have a table of their own.
+PAIR_BUCKETS = 1 << 16
+PAIR_TABLES = 4
+
+
+def passages(symbols: np.ndarray, owner: np.ndarray, tables: Sequence[np.ndarray], least: int = 8, count_round: int | None = None) -> tuple[np.ndarray, ...]:
     """(rule, owner, width) of the occurrences that first span ``least`` tokens.
 
-    They part each text into content-determined passages; texts with a common passage have
-    the rules in its inside in common.
+    Re-Pair with frequencies that all texts share: ``tables[r]`` says how frequent the pairs of
+    round r are among the known packages, frequent pairs are replaced before rare ones, equally
+    frequent ones in hash order.  As the order does not depend on the text, equal passages get
+    equal rules wherever they stand.  With ``count_round`` the pair buckets of that round are
+    returned instead.
     """
-    sym, own, width = symbols.copy(), owner.copy(), np.ones(len(symbols), dtype=np.int64)
-    out_r, out_o, out_w = [], [], []
-    for _ in range(rounds):
-        if len(sym) < 2:
-            break
+    sym, own, width = symbols.copy(), owner, np.ones(len(symbols), dtype=np.int64)
+    out_r, out_o, out_w = [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    number = 0
+    while len(sym) > 1:
         key = _pair_hash(sym[:-1], sym[1:])
         ok = (own[1:] == own[:-1]) & (width[:-1] < least) & (width[1:] < least)
-        best = _local_best((key >> U64(1)) | U64(1), ok)
-        at = np.flatnonzero(best)
+        if count_round == number:
+            return ((key[ok] % U64(PAIR_BUCKETS)).astype(np.int64),)
+        often = tables[number][key % U64(PAIR_BUCKETS)].astype(U64) if number < len(tables) else U64(0)
+        at = np.flatnonzero(_local_best((often << U64(56)) | (key >> U64(8)) | U64(1), ok))
         if not len(at):
             break
         sym[at] = key[at]
@@ -167,6 +178,7 @@ def stable_rules(symbols: np.ndarray, owner: np.ndarray, least: int = 8, rounds:
         gone = np.ones(len(sym), dtype=bool)
         gone[at + 1] = False
         sym, own, width = sym[gone], own[gone], width[gone]
-    if not out_r:
-        return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        number += 1
+    if count_round is not None:
+        return (np.zeros(0, dtype=np.int64),)
     return np.concatenate(out_r), np.concatenate(out_o), np.concatenate(out_w)

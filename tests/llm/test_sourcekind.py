@@ -40,23 +40,46 @@ def test_kinds(spark):
     assert sourcekind.kinds(files.limit(0), known.limit(0)).count() == 0
 
 
-def test_grammar_of_repetition_is_small_and_covers():
-    texts = ["a b c " * 200, " ".join(f"w{k}" for k in range(600)), ""]
+def _tokens(texts):
     data, offsets = grammar.batch_bytes(texts)
-    t = grammar.tokenize(data, offsets)
-    left, rules, widest = grammar.grammar_sizes(t.exact, t.owner, 3)
-    assert left[0] + 2 * rules[0] < 60 and widest[0] >= 192
-    assert left[1] == 600 and rules[1] == 0 and left[2] == 0
+    return grammar.tokenize(data, offsets)
+
+
+def test_grammar_of_repetition_is_small_and_covers():
+    t = _tokens(["a b c " * 200, " ".join(f"w{k}" for k in range(600)), "", "p q x p q y p q z"])
+    left, rules, alone = grammar.infer(t.exact, t.owner, 4)
+    assert left[0] + 2 * rules[0] < 60 and not alone[t.owner == 0].any()
+    assert left[1] == 600 and rules[1] == 0 and alone[t.owner == 1].all() and left[2] == 0
+    assert (left[3], rules[3], alone[t.owner == 3].sum()) == (6, 1, 3)
+
+
+def test_frequent_pairs_are_replaced_first():
+    # "b c" is more frequent than "a b" and takes the b they share
+    t = _tokens(["a b c 1 a b c 2 b c 3"])
+    left, rules, alone = grammar.infer(t.exact, t.owner, 1)
+    assert rules[0] == 2 and left[0] == 6
+
+
+def test_deep_repetition_is_shortened_to_the_end():
+    t = _tokens(["k l " * (1 << 16)])
+    left, rules, _ = grammar.infer(t.exact, t.owner, 1)
+    assert left[0] + 2 * rules[0] < 80
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_stable_rules_of_a_common_passage(seed):
+def test_rules_of_a_common_passage(seed):
     rng = random.Random(seed)
     words = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(n))
     common = words(200)
-    texts = [words(50) + " " + common + " " + words(70), common + " " + words(9)]
-    data, offsets = grammar.batch_bytes(texts)
-    t = grammar.tokenize(data, offsets)
-    rule, owner, width = grammar.stable_rules(t.exact, t.owner)
+    t = _tokens([words(50) + " " + common + " " + words(70), common + " " + words(9)])
+    tables = [np.random.default_rng(seed).integers(0, 6, grammar.PAIR_BUCKETS).astype(np.uint8) for _ in range(3)]
+    rule, owner, width = grammar.passages(t.exact, t.owner, tables)
     shared = np.intersect1d(rule[owner == 0], rule[owner == 1])
     assert width[(owner == 0) & np.isin(rule, shared)].sum() > 120
+
+
+def test_small_copies_count_only_as_a_whole(spark):
+    text = "x = alpha(beta)\ny = gamma\n"
+    files = spark.createDataFrame([(1, "o/p", text), (2, "o/p", text.replace("gamma", "delta")), (3, "h/h", text), (4, "o/p", "x = 1")], "file_id bigint, repo string, content string")
+    known = spark.createDataFrame([("h/h", text)], "home_repo string, content string")
+    assert {r.file_id for r in sourcekind.kinds(files, known).collect()} == {1}
