@@ -33,6 +33,33 @@ def test_runs_equal_brute_force(spark):
     assert len(want) > 40 and len(got & want) / len(want) >= 0.99 and got <= want
 
 
+def test_longest_runs():
+    windows = np.array([[1, 2, 3, 4, 5, 6], [9, 3, 4, 5, 9, 1], [7, 7, 7, 7, 7, 7]])
+    assert leaks.longest_runs(windows, np.array([2, 3, 4, 5, 1])).tolist() == [4, 3, 0]
+
+
+def test_recall_of_projections_and_several_blocks(spark, monkeypatch):
+    # more passages than the space has directions, in several blocks
+    monkeypatch.setattr(leaks, "MAX_RANK", 96)
+    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 150)
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(900)]
+    items = [(k, [rng.choice(vocabulary) for _ in range(40)]) for k in range(300)]
+    docs = []
+    for k in range(240):
+        passage = rng.choice(items)[1]
+        s = rng.randrange(25)
+        docs.append((k, " ".join([rng.choice(vocabulary) for _ in range(30)] + passage[s : s + 14] + ["other"] * 9)))
+    found = leaks.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, passage string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    grams = {}
+    for k, w in items:
+        for i in range(len(w) - 11):
+            grams.setdefault(tuple(w[i : i + 12]), set()).add(k)
+    want = {(d, k) for d, t in docs for i in range(len(t.split()) - 11) for k in grams.get(tuple(t.split()[i : i + 12]), ())}
+    assert got <= want and len(got) >= 0.9 * len(want) > 200
+
+
 def test_lcs_and_paraphrase(spark):
     assert leaks.lcs_length(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 1])) == 2
     passage = "amber bridge crosses delta every february giving homeward islanders joyful karma lately making numerous old people quite relaxed"
