@@ -1,10 +1,11 @@
 """Credentials in source code: candidate lines, a linear-chain CRF and exact redaction.
 
-Lines that name a credential, carry a well-known token prefix, a key block's marker or an
-address with user information are cut into lexical tokens; shape and context features of
-every token go through a linear-chain conditional random field, and the Viterbi spans are
-the characters that count as credential values.  Lines without any such evidence hold
-nothing that the field's features could label and are passed over.
+Lines are cut into lexical tokens; shape and context features of every token go through a
+linear-chain conditional random field, and the Viterbi spans are the characters that count
+as credential values.  To save time the field only sees lines with evidence of one: a word
+that names credentials, a well-known token prefix, a key block's marker, an address with
+user information, or a literal whose shape (mixed cases, digits and signs, hex, encoded) is
+that of a key or a chosen password.  README says what the field finds in the other lines.
 
 The field is trained when first used, from ``credential_samples``: a seeded generator of
 labelled lines (``SAMPLES`` of them, the documented bound) that writes credentials and
@@ -101,12 +102,12 @@ def literal_class(text: str) -> tuple[str, str]:
         return "hex", str(len(text)) if len(text) in (32, 40, 64) else "n"
     if re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", low):
         return "uuid", "uuid"
-    if "/" in text and (text.startswith(("/", "./", "//")) or re.fullmatch(r"[a-z]+(?:/[a-z_.\-]+)+", text)):
+    if "/" in text and "+" not in text and not text.endswith("=") and (text.startswith(("/", "./", "//")) or re.fullmatch(r"[a-z]+(?:/[a-z_.\-]+)+", text)):
         return "path", runs
     digits, upper, lower = any(c.isdigit() for c in text), any(c.isupper() for c in text), any(c.islower() for c in text)
     special = any(not c.isalnum() and c not in "_.=" for c in core)
     if len(core) >= 20 and digits + upper + lower >= 2 and _entropy(core) > 3.6 and not re.fullmatch(r"[A-Za-z_.\-]+", core):
-        return "random", runs
+        return "random", runs[:2]
     if text.endswith("=") and len(core) >= 10:
         return "random", "pad"
     if re.fullmatch(r"[a-z]+(?:-[a-z]+)+-[0-9]+", text):
@@ -258,7 +259,7 @@ class _Writer:
             lambda: (f"{self.plain()} = {{{q}Authorization{q}: {q}{r.choice(['Bearer', 'token', 'Basic'])} {v}{q}}}", [v]), lambda: (f"curl -H {q}Authorization: Bearer {v}{q} https://{host}/{self.word()}", [v]),
             lambda: (f"curl -u {self.word()}:{pw} https://{host}/{self.word()}", [pw]), lambda: (f"mysql -h {host} -p{pw} {self.word()}", [pw]),
             lambda: (f"machine {host} login {self.word()} password {v}", [v]), lambda: (f"DSN=Server={host};User Id={self.word()};{r.choice(['Password', 'Pwd'])}={v};", [v]), lambda: (f"//{host}/:_authToken={v}", [v]),
-            lambda: (f"# creds: {self.word()} / {v}", [v]), lambda: (f"# {v} ({r.choice(['token', 'password', 'passwd', 'pass', 'login pw'])} for the {self.word()} box)", [v]),
+            lambda: (f"# {r.choice(['creds', 'access', 'login', 'account', 'logs in as'])}: {self.word()} / {v}", [v]), lambda: (f"# {v} ({r.choice(['token', 'password', 'passwd', 'pass', 'login pw'])} for the {self.word()} box)", [v]),
             lambda: (f"# {r.choice(['TODO', 'FIXME'])} {r.choice(['password', 'pass', 'pwd', 'pw', 'token'])}={v} until {self.word()} is ready", [v]), lambda: (f"# {r.choice(['old', 'staging', 'root'])} {r.choice(['password', 'pass', 'pwd'])} is {v}", [v]),
             lambda: (f"{self.plain()} = {q * 3}{marker}", [marker]), lambda: (marker, [marker]), lambda: (f"  {marker}", [marker]), lambda: (f"{self.plain()} = {q}{marker}\\n{body}\\n{body[:40]}\\n-----END {key}-----\\n{q}", [marker]),
             lambda: (f"    {q}{v}{q}", [v], True), lambda: (f"  {v}", [v], True),
@@ -272,6 +273,7 @@ class _Writer:
         b64 = self.chars(an + "+/", 60, 90)
         public = r.choice(["PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE"])
         host = f"{r.choice(['auth', 'api'])}.{self.word()}.example"
+        version = f"{r.randint(0, 12)}.{r.randint(0, 30)}.{r.randint(0, 9)}"
         return r.choice([
             lambda: f"{n} = {q}{none}{q}", lambda: f"    {q}{n}{q}: {q}{none}{q},", lambda: f"{n.upper()}={none}", lambda: f"  {n}: {none}", lambda: f"const {n} = {q}{none}{q}", lambda: f"{self.plain()} = {q}{none}{q}", lambda: f"    {q}integrity{q}: {q}{none}{q},",
             lambda: f"{n} = os.environ[{q}{n.upper()}{q}]", lambda: f"const {n} = process.env.{n.upper()}", lambda: f"{n} = get_{n}({self.plain()})", lambda: f"{n} = config[{q}{n}{q}]",
@@ -284,6 +286,10 @@ class _Writer:
             lambda: f"def check_{n}({self.word()}, {self.word()}=None):", lambda: f"    if not {n}:", lambda: f"    raise ValueError({q}missing {n}{q})", lambda: f"    return self.{n}", lambda: f"headers = {{{q}Authorization{q}: {q}Bearer {q} + {n}}}",
             lambda: f"parser.add_argument({q}--{r.choice(['token', 'password'])}{q}, default=None)", lambda: f"parser.add_argument({q}--{r.choice(['token', 'password'])}{q}, help={q}{self.word()} {self.word()}{q})", lambda: f"const {self.plain()} = {q}{b64}{q}",
             lambda: f"{self.plain()} = {q}{self.chars(hexa, 40)}{q}", lambda: f"    {q}{b64}{q}", lambda: b64, lambda: f"{self.plain()} = {self.word()}.{self.word()}({self.word()}, key=lambda z: z.{self.word()}_{self.word()})", lambda: f"# the {r.choice(['token', 'password', 'key'])} is read from the {self.word()} vault",
+            lambda: f"# -*- {r.choice(['coding: utf-8', 'coding: latin-1', 'coding:utf-8', 'mode: python; coding: ascii', 'generated: ' + self.word() + '-codegen ' + version])} -*-", lambda: r.choice(["#!/usr/bin/env python3.11", "#!/bin/sh -e2", f"# {self.word()} {version}", f"from {self.word()} import {self.word()}2to3"]),
+            lambda: self.chars(an + "+/", 6, 20) + r.choice(["", "=", "=="]), lambda: f"    {q}{b64}{q}" + r.choice(["", ")", ","]), lambda: f"# see https://{host}/{self.word()}/{self.chars(hexa, 12)}#L{r.randint(2, 900)}", lambda: f"{self.plain()} = {self.word()}*{r.randint(2, 99)}+{self.word()}%{r.randint(2, 9)}",
+            lambda: f"{self.word()}_version = {q}{version}{r.choice(['', '-rc' + str(r.randint(1, 9)), '.dev0', 'b2', '+build' + str(r.randint(1, 99))])}{q}", lambda: f"{q}{r.choice(['md5', 'sha1', 'sha256', 'etag'])}{q}: {q}{self.chars(hexa, r.choice([32, 40, 64]))}{q}",
+            lambda: f"{n} = {self.word()}.{r.choice(['headers', 'args', 'cookies'])}.get({q}{r.choice(['X-Auth', 'Authorization', self.word().capitalize() + '-Token', self.word()])}{q})",
             lambda: f"{self.plain()} = {q}{self.word()} {self.word()}{q}", lambda: f"{self.plain().upper()}=/var/{self.word()}/{self.word()}", lambda: f"  {self.plain()}: {r.choice(['true', 'false', str(r.randint(1, 9999)), self.word()])}", lambda: f"curl -H {q}Authorization: Bearer ${{TOKEN}}{q} https://{host}/{self.word()}",
         ])(), False
 
@@ -329,7 +335,7 @@ def trained_field() -> ChainField:
 
 
 @lru_cache(maxsize=1)
-def _gate():
+def _gate() -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
     for word in (*_GATE_WORDS, *TOKEN_PREFIXES, "://"):
         machine.add_word(word, word)
@@ -340,8 +346,36 @@ def _gate():
 _OPENS = re.compile(r"[=:]\s*(?:\(|\[|\||>-?|\\|\|-|bytes\.fromhex\(|b64decode\(|\"\"\"|''')?\s*$|[=:].*\\\s*$|[=:].*\+\s*$")
 
 
-def candidate_lines(text: str) -> dict[int, tuple[int, int]]:
-    """Start and end of each line that shows evidence of a credential, by line number."""
+# runs of at least six characters with a digit or sign that a chosen or issued value may have
+_SHAPES = re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9+/=_.~&^%#!?*$\-]{6})[A-Za-z_.\-]*+[0-9+/~&^%#!?*$][A-Za-z0-9+/=_.~&^%#!?*$\-]*+")
+_SIGN_INSIDE = re.compile(r"[A-Za-z0-9][~&^%#!?*$][A-Za-z0-9]")
+_VALUE_KINDS = {"issued", "random", "mixed", "hex", "phrase"}
+
+
+@lru_cache(maxsize=200_000)
+def value_shaped(run: str) -> bool:
+    """Whether a run of characters has the shape of a key, a token or a chosen password."""
+    return literal_class(run)[0] in _VALUE_KINDS or len(run) >= 8 and _SIGN_INSIDE.search(run) is not None
+
+
+def shaped_lines(text: str) -> dict[int, tuple[int, int]]:
+    """Start and end of each line with a literal of such a shape, by line number."""
+    out: dict[int, tuple[int, int]] = {}
+    line, seen, end = 1, 0, -1
+    for hit in _SHAPES.finditer(text):
+        at = hit.start()
+        if at < end or not value_shaped(hit.group()):
+            continue
+        line += text.count("\n", seen, at)
+        seen, start = at, text.rfind("\n", 0, at) + 1
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        out[line] = (start, end)
+    return out
+
+
+def named_lines(text: str) -> dict[int, tuple[int, int]]:
+    """Start and end of each line that names a credential or shows its form, by line number."""
     low = text.lower()
     if len(low) != len(text):  # a character whose lower case is longer
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -374,6 +408,24 @@ def candidate_lines(text: str) -> dict[int, tuple[int, int]]:
     return out
 
 
+def candidate_lines(text: str) -> dict[int, tuple[int, int]]:
+    return named_lines(text) | shaped_lines(text)
+
+
+# what stands between the lines of a key's body, in files and in strings, and the lines
+_BETWEEN = r"(?:\\[nrt]|[\s\"'`+,\\]|(?:Proc-Type|DEK-Info):[^\n\\]*+)*+"
+_BODY = re.compile(rf"(?:{_BETWEEN}[A-Za-z0-9+/=]{{24,}}+)*+(?:{_BETWEEN}[A-Za-z0-9+/]{{1,}}+={{0,2}}(?=[\"'`\\]|\s*(?:$|\n)))?")
+
+
+def key_body_end(text: str, at: int) -> int:
+    """End of the body of a key block whose opening marker ends at ``at``: its closing marker,
+    however far away; without one the end of the lines that look like a key's."""
+    closing, opening = text.find("-----END", at), text.find("-----BEGIN", at)
+    if closing >= 0 and not 0 <= opening < closing:
+        return closing
+    return _BODY.match(text, at).end()
+
+
 def find_spans(text: str, field: ChainField, cache: dict[str, int]) -> list[tuple[int, int, int, bool]]:
     """(line, start, end, begins) of each credential's characters; ``begins`` is false for
     the further pieces of a value that started on an earlier line."""
@@ -399,9 +451,8 @@ def find_spans(text: str, field: ChainField, cache: dict[str, int]) -> list[tupl
             if not label or literal_class(token)[0] == "punct":
                 continue
             if token.startswith("-----BEGIN"):
-                # the body of the block up to its end marker; the markers stay
-                stop = text.find("-----END", start + e)
-                stop = end if stop < 0 or stop - start > 20_000 else stop
+                # the body of the block; the markers stay
+                stop = key_body_end(text, start + e)
                 spans.append((number, start + e, stop, True))
                 skip_to = stop
                 hit = True

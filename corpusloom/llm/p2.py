@@ -16,7 +16,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_redact(spark: SparkSession, d: str) -> DataFrame:
-    """Every file once, with its credential values masked; files without any are unchanged."""
+    """Every row of the table with its credential values masked and their number added.
+
+    Rows stay what they are, repeated deliveries included, so no content is shuffled.
+    """
     model = trained_field()
     shared = spark.sparkContext.broadcast((model.weights, model.moves))
 
@@ -29,8 +32,8 @@ def p2_redact(spark: SparkSession, d: str) -> DataFrame:
             rows.append((redact(text, [(s, e) for _, s, e, _ in spans]) if spans else text, len(spans)))
         return pd.DataFrame(rows, columns=["content", "n_spans"])
 
-    files = table(spark, d, "stack_file").where("file_id is not null").select("file_id", masked("content").alias("m"))
-    return files.select("file_id", "m.content", "m.n_spans").dropDuplicates(["file_id"])
+    files = table(spark, d, "stack_file")
+    return files.withColumn("_m", masked("content")).withColumn("content", F.col("_m.content")).withColumn("n_spans", F.col("_m.n_spans")).drop("_m")
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
