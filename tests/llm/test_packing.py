@@ -24,11 +24,35 @@ def test_packs_are_full_whole_and_reproducible(spark):
 
 
 def test_bm25_prefers_shared_rare_terms():
-    index = packing.Bm25Index([["x", "rare"], ["x"], ["x", "rare"], ["y"]])
-    used = np.zeros(4, dtype=bool)
-    used[0] = True
-    assert index.neighbours(["x", "rare"], used, 9).tolist() == [2, 1]
-    assert index.neighbours([], used, 9).tolist() == [] and not index.scores.any()
+    index = packing.Bm25Index([[1, 7], [1], [1, 7, 7], [4], []])
+    scores = index.scores(0)
+    assert scores[2] > scores[1] > 0 and scores[3] == scores[4] == 0
+    assert index.scores(3) is None and index.scores(4) is None
+
+
+def test_lengths_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        lengths = [rng.randrange(1, 40) for _ in range(rng.randrange(1, 9))]
+        free = packing.Lengths(dict(enumerate(lengths)), 64)
+        for gone in rng.sample(range(len(lengths)), rng.randrange(len(lengths))):
+            free.remove(gone)
+            lengths[gone] = None
+        left = [n for n in lengths if n]
+        sums = set(left) | {a + b for i, a in enumerate(left) for b in left[:i]}
+        for room in range(1, 65):
+            best = max((s for s in sums if s <= room), default=0)
+            longest = max((n for n in left if n <= room), default=0)
+            wide = room > 2 * max(left)  # more than two items have to go in
+            assert sum(free.closing(room)) == (longest if room >= 2 * longest + 2 else best)
+            assert free.closes(room) == (room in sums or wide)
+
+
+def test_neighbours_fill_the_window():
+    # the seed's three neighbours fill it; the item of the same length without its terms stays out
+    lengths = np.array([50, 20, 20, 10, 20])
+    packs = packing.fill(lengths, packing.Bm25Index([[1, 2], [1, 2], [1], [2], [9]]), 100)
+    assert sorted(i for i, _, _ in packs[0]) == [0, 1, 2, 3] and {h for _, h, _ in packs[0][1:3]} == {packing.RETRIEVED}
 
 
 def test_empty(spark):
