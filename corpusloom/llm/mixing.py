@@ -30,10 +30,11 @@ from corpusloom.operators.joins import bounded
 MAX_SOURCES = 100_000
 
 
-def source_path(source: str) -> tuple[str, str, str]:
-    """(domain, language, source): the parts of ``domain_language``, or the name alone."""
-    domain, _, language = source.partition("_")
-    return domain, language or "any", source
+def source_path(source: str, language: str | None = None) -> tuple[str, str, str]:
+    """(domain, language, source): the domain is the name's part before the first ``_``; the
+    language is that of most of its tokens, or else the name's other part."""
+    domain, _, rest = source.partition("_")
+    return domain, language or rest or "any", source
 
 
 @dataclass
@@ -109,16 +110,22 @@ def plan_budgets(sources: list[tuple[str, float, int, int]], total: float | None
 def mix(counted: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """The chosen (doc_id, source, epoch, n_tokens) and the budget table.
 
-    ``counted``: doc_id, source (cleaned), n_tokens; ``targets``: source, target_share, max_repeat.
+    ``counted``: doc_id, source (cleaned), n_tokens and, if there, lang; ``targets``: source,
+    target_share, max_repeat.
     """
     spark = counted.sparkSession
     used = counted.select("doc_id", "source", "n_tokens").where("doc_id is not null and source is not null and n_tokens > 0").dropDuplicates(["doc_id"])
+    spoken: dict[str, str] = {}
+    if "lang" in counted.columns:
+        by = counted.where("source is not null and lang is not null and n_tokens > 0").groupBy("source", "lang").agg(F.sum("n_tokens").alias("n"))
+        most = by.join(bounded(targets.select("source").distinct(), MAX_SOURCES), "source", "left_semi").groupBy("source").agg(F.max(F.struct("n", "lang")).alias("m"))
+        spoken = {r["source"]: r["m"]["lang"] for r in most.limit(MAX_SOURCES).collect()}
     have = used.groupBy("source").agg(F.sum("n_tokens").alias("available"), F.count("*").alias("n_docs"))
     table = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeat").alias("repeat"))
     rows = table.join(have, "source", "left").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    plan = plan_budgets([(r["source"], r["share"] or 0.0, r["repeat"] or 0, r["available"] or 0) for r in rows], total)
+    plan = plan_budgets([(r["source"], r["share"] or 0.0, r["repeat"] or 0, r["available"] or 0) for r in rows], total, lambda s: source_path(s, spoken.get(s)))
     budget = spark.createDataFrame(
         [(r["source"], float(r["share"] or 0), int(r["repeat"] or 0), int(r["available"] or 0), float(plan.get(r["source"], 0.0))) for r in rows],
         "source string, target_share double, max_repeat int, available_tokens bigint, budget_tokens double",

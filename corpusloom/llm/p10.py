@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.spans import shared_alignments, text_key
-from corpusloom.session import materialize
+from corpusloom.llm.spans import shared_alignments, shared_cover, text_classes
 from corpusloom.tables import table
 
 SPAN = 400
 
 
-def _shared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").where(F.length("text") >= SPAN).select("doc_id", "text", text_key("text").alias("tid"))
-    members = docs.select("tid", "doc_id", F.length("text").alias("n")).distinct()
-    return members, shared_alignments(docs.select("tid", "text"), SPAN)
+def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return text_classes(table(spark, d, "documents").where(F.length("text") >= SPAN).select("doc_id", "text"), "doc_id")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    members, spans = _shared(spark, d)
-    classes = materialize(members.select("tid", "doc_id"), "text-members")
-    a = classes.select(F.col("tid").alias("tid_a"), F.col("doc_id").alias("x"))
-    b = classes.select(F.col("tid").alias("tid_b"), F.col("doc_id").alias("y"))
+    texts, members = _classes(spark, d)
+    spans = shared_alignments(texts, SPAN)
+    a = members.select(F.col("tid").alias("tid_a"), F.col("doc_id").alias("x"))
+    b = members.select(F.col("tid").alias("tid_b"), F.col("doc_id").alias("y"))
     across = spans.select("tid_a", "tid_b").distinct().join(a, "tid_a").join(b, "tid_b").select("x", "y")
     within = a.join(b, F.col("tid_a") == F.col("tid_b")).where("x < y").select("x", "y")
     both = across.unionByName(within).where("x <> y")
@@ -31,18 +28,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_report(spark: SparkSession, d: str) -> DataFrame:
     """Per document with shared text: its length and how many characters stand elsewhere."""
-    members, spans = _shared(spark, d)
-    members = materialize(members, "text-members")
-    sides = spans.select("tid_a", "start_a", "length").toDF("tid", "lo", "n").unionByName(spans.select("tid_b", "start_b", "length").toDF("tid", "lo", "n"))
-    # of spans that start alike the longest covers the rest
-    longest = sides.groupBy("tid", "lo").agg(F.max(F.col("lo") + F.col("n")).alias("hi"))
-    w = Window.partitionBy("tid").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = longest.withColumn("seen", F.coalesce(F.max("hi").over(w), F.lit(0)))
-    covered = fresh.groupBy("tid").agg(F.sum(F.greatest(F.col("hi") - F.greatest("lo", "seen"), F.lit(0))).alias("covered"))
+    texts, members = _classes(spark, d)
     copies = members.groupBy("tid").agg(F.count("*").alias("copies"))
-    out = members.join(copies, "tid").join(covered, "tid", "left")
-    shared = F.when(F.col("copies") > 1, F.col("n")).otherwise(F.coalesce("covered", F.lit(0))).cast("bigint")
-    return out.select("doc_id", F.col("n").alias("n_chars"), shared.alias("shared_chars")).where("shared_chars > 0")
+    out = members.join(copies, "tid").join(shared_cover(texts, SPAN), "tid", "left")
+    shared = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).cast("bigint")
+    return out.select("doc_id", "n_chars", shared.alias("shared_chars")).where("shared_chars > 0")
 
 
 QUERIES = {f.__name__: f for f in (p10_found, p10_report)}

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import textkernels as tk
 from corpusloom.operators.joins import bounded
-from corpusloom.session import materialize
+from corpusloom.session import discard, materialize
 
 GRAM = 100
 STEP = 50
@@ -39,9 +39,25 @@ SHARD_PASSAGES = 20_000
 CALL_CHARS = 8_000_000
 
 
-def text_key(text: Column | str) -> Column:
+def text_key(text: Column | str, salt: int = 17) -> Column:
     """64-bit class key of a text."""
-    return F.xxhash64(F.lit(17), text, F.length(text))
+    return F.xxhash64(F.lit(salt), text, F.length(text))
+
+
+def text_classes(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(tid, text) of all rows, and the table of (tid, n_chars and the wanted columns).
+
+    Texts of one class are equal: the 128-bit digests of every class are compared, and where two
+    differ under one key all keys are made anew with another salt.
+    """
+    salt = 17
+    while True:
+        keyed = docs.withColumn("tid", text_key("text", salt))
+        members = materialize(keyed.select("tid", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), *columns).distinct(), "text-members")
+        if members.groupBy("tid").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").isEmpty():
+            return keyed.select("tid", "text"), members.drop("digest")
+        discard(members)
+        salt += 1
 
 
 def _anchors(docs: DataFrame, gram: int, span: int) -> DataFrame:
@@ -61,9 +77,9 @@ def _anchors(docs: DataFrame, gram: int, span: int) -> DataFrame:
     return docs.select("tid", "text").mapInPandas(run, "h bigint, tid bigint, pos int")
 
 
-def shared_alignments(docs: DataFrame, span: int = 400, gram: int = GRAM, step: int = STEP) -> DataFrame:
-    """(tid_a, tid_b, start_a, start_b, length): maximal common runs of at least ``span``
-    characters between different texts; ``docs`` has tid and text (length >= span)."""
+def _keyed_windows(docs: DataFrame, span: int, gram: int, step: int) -> tuple[DataFrame, DataFrame]:
+    """(key, tid, pos) of windows of ``span - step`` characters around recurring passages that
+    stand in two or more texts, and the (tid, text) of texts with recurring passages."""
     anchors = _anchors(docs, gram, span)
     recurring = anchors.groupBy("h").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi"), F.min(F.struct("tid", "pos")).alias("first")).where("lo <> hi")
     recurring = materialize(recurring.select("h", F.col("first.tid").alias("tid"), F.col("first.pos").alias("pos")), "recurring")
@@ -110,7 +126,44 @@ def shared_alignments(docs: DataFrame, span: int = 400, gram: int = GRAM, step:
     grouped = copies.groupBy("shard", "salt").cogroup(salted.groupBy("shard", "salt"))
     keyed = materialize(grouped.applyInPandas(locate, "key bigint, tid bigint, pos int").distinct(), "span-keys")
     several = keyed.groupBy("key").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo <> hi").select("key")
-    keyed = keyed.join(several, "key", "left_semi")
+    return keyed.join(several, "key", "left_semi"), texts
+
+
+def shared_cover(docs: DataFrame, span: int = 400, gram: int = GRAM, step: int = STEP) -> DataFrame:
+    """(tid, covered): how many characters of a text lie in spans that stand in another text.
+
+    No pair of texts is made, so that a span may stand in any number of them: windows of
+    exactly ``span`` characters around the shared keys are hashed, and those that stand in two
+    or more texts cover their characters.
+    """
+    keyed, texts = _keyed_windows(docs, span, gram, step)
+    w = Window.partitionBy("tid").orderBy("pos")
+    fresh = F.when(F.col("pos") - F.lag("pos").over(w) <= step, 0).otherwise(1)
+    runs = keyed.select("tid", "pos").distinct().withColumn("run", F.sum(fresh).over(w)).groupBy("tid", "run").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    lists = runs.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+
+    def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for tid, found, text in zip(frame["tid"], frame["runs"], frame["text"], strict=True):
+                sums = tk.prefix_sums(tk.code_points(text))
+                starts = np.unique(np.concatenate([np.arange(max(r["lo"] - step, 0), min(r["hi"], len(text) - span) + 1) for r in found]))
+                if len(starts):
+                    yield pd.DataFrame({"h": tk.span_hashes(sums, starts, starts + span).view(np.int64), "tid": tid, "pos": starts.astype(np.int32)})
+
+    hashed = materialize(lists.join(texts, "tid").select("tid", "runs", "text").mapInPandas(windows, "h bigint, tid bigint, pos int"), "span-windows")
+    shared = hashed.groupBy("h").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo <> hi").select("h")
+    starts = hashed.join(shared, "h", "left_semi").select("tid", "pos").distinct()
+    gap = F.coalesce(F.col("pos") - F.lag("pos").over(w), F.lit(span))
+    return starts.withColumn("gap", gap).groupBy("tid").agg(F.sum(F.least("gap", F.lit(span))).alias("covered"))
+
+
+def shared_alignments(docs: DataFrame, span: int = 400, gram: int = GRAM, step: int = STEP) -> DataFrame:
+    """(tid_a, tid_b, start_a, start_b, length): maximal common runs of at least ``span``
+    characters between different texts; ``docs`` has tid and text (length >= span).
+
+    The result lists pairs; ``shared_cover`` answers without any.
+    """
+    keyed, texts = _keyed_windows(docs, span, gram, step)
     a = keyed.select("key", F.col("tid").alias("tid_a"), F.col("pos").alias("pos_a"))
     b = keyed.select("key", F.col("tid").alias("tid_b"), F.col("pos").alias("pos_b"))
     diagonals = a.join(b, "key").where("tid_a < tid_b").groupBy("tid_a", "tid_b").agg(F.collect_set(F.col("pos_a") - F.col("pos_b")).alias("shifts"))

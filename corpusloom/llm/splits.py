@@ -47,16 +47,23 @@ def differencing(weights: list[tuple[int, int]], bins: int) -> list[list[tuple[i
 
     ``weights`` are (weight, item) pairs.  Each heap entry is a partial solution of
     ``bins`` subsets; the two with the largest spread are combined, largest subset of
-    one with smallest of the other, until one solution remains.
+    one with smallest of the other, until one solution remains.  An item that has not been
+    combined yet is kept as its weight alone, so memory grows with the items, not with
+    items times bins.
     """
-    heap = []
-    for tick, (weight, item) in enumerate(weights):
-        sums = [0] * (bins - 1) + [weight]
-        heapq.heappush(heap, (-weight, tick, sums, [None] * (bins - 1) + [((weight, item), None, None)]))
+
+    def subsets(entry: tuple) -> tuple[list[int], list]:
+        if len(entry) == 4:
+            return entry[2], entry[3]
+        weight, item = -entry[0], entry[2]
+        return [0] * (bins - 1) + [weight], [None] * (bins - 1) + [((weight, item), None, None)]
+
+    heap: list[tuple] = [(-weight, tick, item) for tick, (weight, item) in enumerate(weights)]
+    heapq.heapify(heap)
     tick = len(weights)
     while len(heap) > 1:
-        _, _, sums_a, sets_a = heapq.heappop(heap)
-        _, _, sums_b, sets_b = heapq.heappop(heap)
+        sums_a, sets_a = subsets(heapq.heappop(heap))
+        sums_b, sets_b = subsets(heapq.heappop(heap))
         merged = []
         for k in range(bins):
             a, b = sets_a[k], sets_b[bins - 1 - k]
@@ -67,7 +74,7 @@ def differencing(weights: list[tuple[int, int]], bins: int) -> list[list[tuple[i
         tick += 1
         heapq.heappush(heap, (-(merged[-1][0] - low), tick, [m[0] for m in merged], [m[2] for m in merged]))
     out: list[list[tuple[int, int]]] = []
-    for tree in heap[0][3] if heap else [None] * bins:
+    for tree in subsets(heap[0])[1] if heap else [None] * bins:
         items, stack = [], [tree] if tree else []
         while stack:
             leaf, a, b = stack.pop()

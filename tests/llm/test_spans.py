@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import spans
 from corpusloom.llm import textkernels as tk
@@ -35,6 +36,14 @@ def test_alignments_equal_brute_force(spark, span, gram, step):
     docs = spark.createDataFrame([(k, t, 1) for k, t in texts.items()] * 2, "tid bigint, text string, h int")
     out = spans.shared_alignments(docs, span, gram, step).collect()
     assert {(r.tid_a, r.tid_b) for r in out} == brute(texts, span)
+    got = {r.tid: r.covered for r in spans.shared_cover(docs, span, gram, step).collect()}
+    grams = {k: [t[i : i + span] for i in range(len(t) - span + 1)] for k, t in texts.items()}
+    holders = {}
+    for k, g in grams.items():
+        for x in set(g):
+            holders.setdefault(x, set()).add(k)
+    cover = {k: len({j for i, x in enumerate(g) if len(holders[x]) > 1 for j in range(i, i + span)}) for k, g in grams.items()}
+    assert got == {k: n for k, n in cover.items() if n}
     for r in out:
         a, b = texts[r.tid_a], texts[r.tid_b]
         assert r.length >= span and a[r.start_a : r.start_a + r.length] == b[r.start_b : r.start_b + r.length]
@@ -50,7 +59,16 @@ def test_small_shards_and_calls_change_nothing(spark, monkeypatch):
     assert len(want) == 190 and {(r.tid_a, r.tid_b) for r in spans.shared_alignments(docs).collect()} == want
 
 
+def test_equal_keys_of_different_texts_are_made_anew(spark, monkeypatch):
+    real = spans.text_key
+    monkeypatch.setattr(spans, "text_key", lambda text, salt=17: F.length(text).cast("bigint") if salt == 17 else real(text, salt))
+    docs = spark.createDataFrame([(1, "ab"), (2, "cd"), (3, "ab"), (4, "abc")], "doc_id bigint, text string")
+    texts, members = spans.text_classes(docs, "doc_id")
+    assert members.select("tid").distinct().count() == 3 == texts.select("tid").distinct().count() and members.count() == 4
+
+
 def test_empty(spark):
+    assert spans.shared_cover(spark.createDataFrame([], "tid bigint, text string")).count() == 0
     assert spans.shared_alignments(spark.createDataFrame([], "tid bigint, text string")).count() == 0
 
 
