@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,32 +26,3 @@ def display_links(text: Column) -> Column:
     """(label, target) of links whose label and target are at most 80 and 100 characters."""
     found = F.regexp_extract_all(text, F.lit(r"(\[[^\]]{1,80}\]\([^)]{1,100}\))"), 1)
     return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^\[([^\]]*)\]", 1).alias("label"), F.regexp_extract(x, r"\(([^)]*)\)$", 1).alias("target")))
-
-
-def hrefs(page: Column) -> Column:
-    return F.regexp_extract_all(page, F.lit('href="([^"]*)"'), 1)
-
-
-def detect_token_links(tokens: Sequence[int], decode: Callable[[Sequence[int]], str], back: int = 100, ahead: int = 50) -> list[tuple[int, str]]:
-    """(end position, target) of Markdown links in a token sequence.
-
-    A token that holds ``](`` with a ``[`` among the ``back`` tokens before it opens a
-    target, which is decoded over at most ``ahead`` tokens up to the closing parenthesis.
-    """
-    pieces = [decode([t]) for t in tokens]
-    out = []
-    for k, piece in enumerate(pieces):
-        if "](" not in piece:
-            continue
-        if not any("[" in p for p in pieces[max(0, k - back) : k]) and "[" not in piece.split("](")[0]:
-            continue
-        target = piece.split("](", 1)[1]
-        for j in range(k, min(k + ahead + 1, len(pieces))):
-            if j > k:
-                target += pieces[j]
-            if ")" in target:
-                name = target.split(")", 1)[0].strip()
-                if name:
-                    out.append((j + 1, name))
-                break
-    return out

@@ -44,11 +44,20 @@ def top_p(logits: DataFrame, p: float) -> DataFrame:
 
 
 def draw(logits: DataFrame, uniforms: DataFrame) -> DataFrame:
-    """Inverse-distribution draw of a token per row with given uniform numbers (row_id, u)."""
+    """Inverse-distribution draw of a token per row with given uniform numbers (row_id, u).
+
+    Removed tokens have a logit of minus infinity or no row.  Where a logit is NaN or infinite
+    the finite ones of the row are equally probable; a row without any gives token 0.
+    """
+    whole = Window.partitionBy("row_id")
+    odd = F.isnan("logit") | (F.col("logit") == F.lit(float("inf")))
+    finite = ~F.isnan("logit") & (F.abs("logit") < F.lit(float("inf")))
+    usable = logits.withColumn("_odd", F.max(odd).over(whole)).where(finite).withColumn("logit", F.when(F.col("_odd"), F.lit(0.0)).otherwise(F.col("logit"))).drop("_odd")
     cum = F.sum("probability").over(_by_rank().rowsBetween(Window.unboundedPreceding, 0))
-    steps = softmax(logits).withColumn("_c", cum).join(uniforms, "row_id")
+    steps = softmax(usable).withColumn("_c", cum).join(uniforms, "row_id")
     hit = steps.where(F.col("_c") >= F.col("u") * F.lit(1 - 1e-12)).groupBy("row_id").agg(F.min_by("token_id", F.struct("_c", "token_id")).alias("token_id"))
-    return hit
+    asked = logits.select("row_id").distinct().join(uniforms.select("row_id"), "row_id", "left_semi")
+    return asked.join(hit, "row_id", "left").select("row_id", F.coalesce("token_id", F.lit(0)).cast(logits.schema["token_id"].dataType).alias("token_id"))
 
 
 def repetition_penalty(logits: DataFrame, seen: DataFrame, penalty: float) -> DataFrame:

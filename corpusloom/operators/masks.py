@@ -73,6 +73,41 @@ def grants(matched: DataFrame, spans: DataFrame, length: Column) -> DataFrame:
     return cut.withColumn("grant_idx", F.row_number().over(w) - 1)
 
 
+def linked_pairs(spans: DataFrame, granted: DataFrame, length: Column) -> DataFrame:
+    """Allowed pairs per pack under the linked mask (causal, and same document or granted), in
+    closed form; ``granted`` are the rectangles of ``grants``.
+
+    Spans don't overlap, so rectangles of different documents are apart, and those of the same
+    two documents lie within that of the first link.  A grant within a document adds nothing.
+    """
+    apart = granted.where("source_id <> target_id").groupBy("pack_id", "source_id", "target_id", "q_end", "kv_start", "kv_end").agg(F.min("q_start").alias("q_start"))
+    area = apart.groupBy("pack_id").agg(F.sum((F.col("q_end") - F.col("q_start")) * (F.col("kv_end") - F.col("kv_start"))).cast("bigint").alias("granted"))
+    own = allowed_pairs(spans, length).join(area, "pack_id", "left").withColumn("granted", F.coalesce("granted", F.lit(0).cast("bigint")))
+    allowed = F.col("doc_causal") + F.col("granted")
+    return own.select("pack_id", "length", "doc_causal", "granted", allowed.alias("allowed"), (allowed / F.col("causal")).alias("share_of_causal"))
+
+
+def may_see(asked: DataFrame, spans: DataFrame, granted: DataFrame) -> DataFrame:
+    """(pack_id, q, k, allowed): whether position q may see position k of its pack: k is not
+    after q, and stands in q's document or is granted to q.
+
+    Positions outside all spans count as one document.
+    """
+    pairs = asked.select("pack_id", "q", "k").distinct()
+
+    def located(rows: DataFrame, position: str, name: str) -> DataFrame:
+        at = spans.select(F.col("pack_id").alias("_p"), "span_start", "span_end", F.col("doc_id").alias(name))
+        inside = (F.col("pack_id") == F.col("_p")) & (F.col("span_start") <= F.col(position)) & (F.col(position) < F.col("span_end"))
+        return rows.join(at, inside, "left").drop("_p", "span_start", "span_end")
+
+    placed = located(located(pairs, "q", "_q_doc"), "k", "_k_doc")
+    rectangles = granted.select(F.col("pack_id").alias("_p"), "q_start", "q_end", "kv_start", "kv_end")
+    covers = (F.col("pack_id") == F.col("_p")) & F.col("q").between(F.col("q_start"), F.col("q_end") - 1) & F.col("k").between(F.col("kv_start"), F.col("kv_end") - 1)
+    hits = pairs.join(rectangles, covers, "left_semi").withColumn("_granted", F.lit(True))
+    same = F.col("_q_doc").eqNullSafe(F.col("_k_doc"))
+    return placed.join(hits, ["pack_id", "q", "k"], "left").select("pack_id", "q", "k", ((F.col("q") >= F.col("k")) & (same | F.coalesce("_granted", F.lit(False)))).alias("allowed"))
+
+
 def grant_bitmasks(granted: DataFrame, cap: int = 256) -> DataFrame:
     """Per pack, side, position and chunk of 64 grants: the bits of the grants that hold there."""
     used = granted.where(F.col("grant_idx") < cap)

@@ -253,12 +253,16 @@ def split_nodes(nodes: DataFrame, edges: DataFrame, least: int, random_fraction:
 
 
 def split_stats(assigned: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
-    """Per split: nodes, internal edges, edges to train and induced degrees."""
+    """Per split: nodes, internal edges, edges to train, mean and least induced degree (distinct
+    neighbours within the split, oneself left out)."""
     side = lambda a, b: assigned.select(F.col(key).alias(a), F.col("split").alias(b))
     pairs = edges.select("src", "dst").distinct().join(side("src", "s"), "src").join(side("dst", "t"), "dst")
     inside = pairs.where("s = t").groupBy(F.col("s").alias("split")).agg(F.count("*").alias("internal_edges"))
     cross = pairs.where("s <> t and (s = 'train' or t = 'train')").select(F.when(F.col("s") == "train", F.col("t")).otherwise(F.col("s")).alias("split")).groupBy("split").agg(F.count("*").alias("edges_to_train"))
-    return assigned.groupBy("split").agg(F.count("*").alias("n_nodes")).join(inside, "split", "left").join(cross, "split", "left").na.fill(0, ["internal_edges", "edges_to_train"])
+    degree = undirected_edges(pairs.where("s = t")).groupBy(F.col("src").alias(key)).agg(F.count("*").alias("_d"))
+    nodes = assigned.select(key, "split").join(degree, key, "left").withColumn("_d", F.coalesce("_d", F.lit(0)))
+    sizes = nodes.groupBy("split").agg(F.count("*").alias("n_nodes"), F.avg("_d").alias("mean_induced_degree"), F.min("_d").alias("least_induced_degree"))
+    return sizes.join(inside, "split", "left").join(cross, "split", "left").na.fill(0, ["internal_edges", "edges_to_train"])
 
 
 def node_list_hash(ids: DataFrame, key: str = "id") -> DataFrame:

@@ -173,6 +173,29 @@ def collate(placed: DataFrame, tokens: str = "tokens", pack: str = "pack_id", po
     return lists.select(pack, F.flatten(F.transform("_l", lambda x: x[tokens])).alias("tokens"))
 
 
+def first_packs(packs: DataFrame, n: int, order: Sequence[str] = ("pack", "seed")) -> DataFrame:
+    """All rows of the first ``n`` packs; the same ones whenever the data is read again."""
+    chosen = packs.select(*order).distinct().orderBy(*order).limit(n)
+    return packs.join(F.broadcast(chosen), list(order), "left_semi")
+
+
+def packed_sequences(placements: DataFrame, bodies: DataFrame, layout: Layout, trim_side: str = "tail") -> DataFrame:
+    """(seed, pack, tokens, spans): the packs' token sequences with titles, bodies and marks, and
+    where each document lies; ``bodies`` has node, tokens, raw_identifier, outgoing.
+
+    Documents without tokens are left out.
+    """
+    title = char_codes(title_text(F.col("raw_identifier"))) if layout.with_title else None
+    rows = placements.join(bodies.where(F.size("tokens") > 0), "node")
+    whole = F.concat(layout.prefix(title), slice_body(F.col("tokens"), F.col("length").cast("int"), trim_side), layout.suffix())
+    sized = rows.select("seed", "pack", "pos", "node", "raw_identifier", "outgoing", "cut", whole.alias("piece")).withColumn("n", F.size("piece"))
+    end = F.sum("n").over(Window.partitionBy("seed", "pack").orderBy("pos"))
+    parts = sized.withColumn("span_end", end).withColumn("span_start", F.col("span_end") - F.col("n"))
+    fields = F.struct("pos", "piece", F.struct("node", "raw_identifier", "span_start", "span_end", "cut", "outgoing").alias("span"))
+    lists = parts.groupBy("seed", "pack").agg(F.array_sort(F.collect_list(fields)).alias("_l"))
+    return lists.select("seed", "pack", F.flatten(F.transform("_l", lambda x: x["piece"])).alias("tokens"), F.transform("_l", lambda x: x["span"]).alias("spans"))
+
+
 def assign_shards(sizes: DataFrame, capacity: int, header: int = 1024, writers: int = 1) -> DataFrame:
     """(key, writer, shard, offset): documents in key order fill shards; a new shard starts
     where the next document would pass the capacity, an oversized one still gets a shard.

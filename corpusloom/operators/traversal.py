@@ -10,6 +10,7 @@ import random
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,21 +22,23 @@ from corpusloom.operators.packs import PackSettings, targets_first
 
 @dataclass
 class Csr:
-    """Adjacency in both directions over dense ids, and document lengths."""
+    """Adjacency in both directions over dense ids, document lengths and layout tokens."""
 
     out_at: np.ndarray
     out_to: np.ndarray
     in_at: np.ndarray
     in_to: np.ndarray
     lengths: np.ndarray
+    #: Tokens that the layout puts around each document.
+    extra: np.ndarray
 
     @staticmethod
-    def build(n: int, src: np.ndarray, dst: np.ndarray, lengths: np.ndarray | None = None) -> "Csr":
+    def build(n: int, src: np.ndarray, dst: np.ndarray, lengths: np.ndarray | None = None, extra: np.ndarray | None = None) -> "Csr":
         def side(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             order = np.lexsort((b, a))
             return np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))]), b[order]
 
-        return Csr(*side(src, dst), *side(dst, src), np.ones(n, dtype=np.int64) if lengths is None else lengths)
+        return Csr(*side(src, dst), *side(dst, src), np.ones(n, dtype=np.int64) if lengths is None else lengths, np.zeros(n, dtype=np.int64) if extra is None else extra)
 
     def __len__(self) -> int:
         return len(self.lengths)
@@ -172,7 +175,7 @@ def grow_pack(graph: Csr, rng: random.Random, strategy: RandomPick, settings: Pa
             return False
         cut = budget is not None and n > budget
         pack[v] = (budget if cut else n, bool(cut))
-        total += pack[v][0]
+        total += pack[v][0] + int(graph.extra[v])
         return True
 
     for _ in range(settings.max_rejections):  # new components
@@ -189,9 +192,10 @@ def grow_pack(graph: Csr, rng: random.Random, strategy: RandomPick, settings: Pa
     return [(v, n, cut) for v, (n, cut) in pack.items()]
 
 
-def trim_pack(pack: list[tuple[int, int, bool]], budget: int, side: str) -> list[tuple[int, int, bool]]:
-    """Sequential form of the pack truncation: trim from one end until the pack fits."""
-    over = sum(n for _, n, _ in pack) - budget
+def trim_pack(pack: list[tuple[int, int, bool]], budget: int, side: str, extra: Sequence[int] | None = None) -> list[tuple[int, int, bool]]:
+    """Sequential form of the pack truncation: trim bodies from one end until the pack fits
+    together with the layout tokens of its documents."""
+    over = sum(n + (0 if extra is None else int(extra[v])) for v, n, _ in pack) - budget
     out = []
     for v, n, cut in pack if side == "head" else reversed(pack):
         taken = min(max(over, 0), n)
@@ -201,27 +205,34 @@ def trim_pack(pack: list[tuple[int, int, bool]], budget: int, side: str) -> list
     return out if side == "head" else out[::-1]
 
 
-def sample_packs(graph: Csr, seed: int, count: int, strategy: str, settings: PackSettings) -> Iterator[list[tuple[int, int, bool]]]:
-    """``count`` packs of one seed, ordered and trimmed as the settings say."""
+def endless_packs(graph: Csr, seed: int, strategy: str, settings: PackSettings) -> Iterator[list[tuple[int, int, bool]]]:
+    """The packs of one seed, ordered and trimmed as the settings say, without an end while the
+    graph gives any; take as many as wanted with ``itertools.islice``."""
     rng = random.Random(seed)
     walker = STRATEGIES[strategy](graph, rng)
-    for _ in range(count):
+    while True:
         pack = grow_pack(graph, rng, walker, settings)
         if settings.order_mode == "prefer_targets_first":
             inside = [v for v, _, _ in pack]
             edges = [(v, int(u)) for v in inside for u in graph.near(v, "out")]
             by = {p[0]: p for p in pack}
             pack = [by[v] for v in targets_first(inside, edges)]
-        pack = trim_pack(pack, settings.token_budget, settings.pack_trim_side)
+        pack = trim_pack(pack, settings.token_budget, settings.pack_trim_side, graph.extra)
         if not pack:
             return
         yield pack
 
 
+def sample_packs(graph: Csr, seed: int, count: int, strategy: str, settings: PackSettings) -> Iterator[list[tuple[int, int, bool]]]:
+    """The first ``count`` packs of one seed."""
+    return islice(endless_packs(graph, seed, strategy, settings), count)
+
+
 def sampled_packs(nodes: DataFrame, edges: DataFrame, seeds: Sequence[int], packs_per_seed: int, strategy: str, settings: PackSettings, max_nodes: int = 20_000_000) -> DataFrame:
     """(seed, pack, pos, node, length, cut) of seeded packs; one task per seed.
 
-    ``nodes``: distinct ids with lengths; ``edges``: src, dst, of which those with unknown ends
+    ``nodes``: distinct ids with lengths and, if documents have a layout, the tokens it adds
+    (``extra``), which count towards the budget; ``edges``: src, dst, of which those with unknown ends
     are left out.  Every task needs random access to the whole graph, which is broadcast as
     compressed rows (16 bytes an edge and 24 a node); more than ``max_nodes`` nodes are refused.
     """
@@ -230,12 +241,13 @@ def sampled_packs(nodes: DataFrame, edges: DataFrame, seeds: Sequence[int], pack
     n = nodes.count()
     if n > max_nodes:
         raise ValueError(f"the graph has {n} nodes; a broadcast graph may have {max_nodes}")
-    ids = nodes.select("node", "length").toPandas().sort_values("node", kind="stable")
+    extra = F.coalesce("extra", F.lit(0)) if "extra" in nodes.columns else F.lit(0)
+    ids = nodes.select("node", "length", extra.cast("bigint").alias("extra")).toPandas().sort_values("node", kind="stable")
     names = ids["node"].to_numpy(np.int64)
     pairs = edges.select("src", "dst").join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").toPandas()
     src, dst = (np.searchsorted(names, pairs[c].to_numpy(np.int64)) for c in ("src", "dst"))
     spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast((names, Csr.build(n, src, dst, ids["length"].fillna(0).to_numpy(np.int64))))
+    shared = spark.sparkContext.broadcast((names, Csr.build(n, src, dst, ids["length"].fillna(0).to_numpy(np.int64), ids["extra"].to_numpy(np.int64))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

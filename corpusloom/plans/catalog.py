@@ -17,7 +17,7 @@ from corpusloom.functions import identifiers as idn
 from corpusloom.functions import imports as imp
 from corpusloom.functions import links as lnk
 from corpusloom.functions import textclean as txt
-from corpusloom.operators import codegraph, corpus, graph, logits, masks, nodesplits, packs, traversal
+from corpusloom.operators import codegraph, corpus, detectors, graph, logits, masks, nodesplits, packs, traversal
 from corpusloom.operators.components import connected_components
 from corpusloom.session import materialize
 from corpusloom.sources import sinks
@@ -216,11 +216,12 @@ def kcore(spark: SparkSession, d: str) -> DataFrame:
     return graph.k_core(*linked(spark, d), 3)
 
 
-@query(f"""with recursive {_IE}, lv(id, level) as (select min(node_id), 0 from valid union select e.dst, l.level + 1 from lv l join idedge e on e.src = l.id where l.level < 4)
+@query(f"""with recursive {_IE}, lv(id, level) as (select node_id, 0 from valid where replace(lower(trim(split, {_T})), '-', '_') = 'val_random' union select e.dst, l.level + 1 from lv l join idedge e on e.src = l.id where l.level < 4)
  select id, min(level) as level from lv group by 1""")
 def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
-    valid = lines(spark, d, "node_id", "outgoing")
-    return graph.bfs_levels(id_edges_of(valid), valid.agg(F.min("node_id").alias("id")), 4)
+    """Steps from the nodes of val_random, up to four."""
+    valid = lines(spark, d, "node_id", "outgoing", "split")
+    return graph.bfs_levels(id_edges_of(valid), valid.where(cleaned_split("split") == "val_random").select(F.col("node_id").alias("id")), 4)
 
 
 @query(f"""with recursive {_UE}, up as (select a.node_id as a, b.node_id as b from ue join valid a on a.id = ue.a join valid b on b.id = ue.b),
@@ -451,14 +452,15 @@ def content_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {_F}, {_STATS} select count(*) as n_files, cast(sum(chars) as bigint) as total_chars, max(chars) as max_chars, cast(sum(words) as bigint) as total_words,
  round(100.0 * avg(case when chars < 200 then 1 else 0 end), 6) as tiny_pct, round(100.0 * avg(case when list_max(ll) > 1000 then 1 else 0 end), 6) as long_line_pct,
- round(100.0 * avg(case when odd > 0.35 then 1 else 0 end), 6) as odd_pct, median(chars) as median_chars from st""")
+ round(100.0 * avg(case when odd > 0.35 then 1 else 0 end), 6) as odd_pct, max(words) as max_words, round(100.0 * avg(case when words > 0 and chars / words > 12 then 1 else 0 end), 6) as dense_pct, median(chars) as median_chars from st""")
 def content_totals(spark: SparkSession, d: str) -> DataFrame:
     """Totals over the files, with the counters of suspicious ones."""
     s = code_files(spark, d, chars=F.length("content").cast("bigint"), words=cs.word_count(F.col("content")), longest=cs.length_summary(cs.line_lengths(F.col("content")))["longest"], odd=cs.non_alnum_ratio(F.col("content")))
     share = lambda c: F.round(100 * F.avg(F.coalesce(c, F.lit(False)).cast("int")), 6)
     return s.agg(
         F.count("*").alias("n_files"), F.sum("chars").alias("total_chars"), F.max("chars").alias("max_chars"), F.sum("words").alias("total_words"), share(F.col("chars") < 200).alias("tiny_pct"),
-        share(F.col("longest") > 1000).alias("long_line_pct"), share(F.col("odd") > 0.35).alias("odd_pct"), F.percentile("chars", F.lit(0.5)).alias("median_chars"),
+        share(F.col("longest") > 1000).alias("long_line_pct"), share(F.col("odd") > 0.35).alias("odd_pct"), F.max("words").cast("bigint").alias("max_words"),
+        share((F.col("words") > 0) & (F.col("chars") / F.when(F.col("words") > 0, F.col("words")) > 12)).alias("dense_pct"), F.percentile("chars", F.lit(0.5)).alias("median_chars"),
     )
 
 
@@ -529,13 +531,15 @@ def lpa_communities(spark: SparkSession, d: str) -> DataFrame:
 _SPLIT = f"sp as (select id, replace(lower(trim(split, {_T})), '-', '_') as split from valid where trim(split, {_T}) <> '')"
 
 
-@query(f"""with {_IE}, {_SPLIT}, pr as (select a.split as s, b.split as t from inner_edge e join sp a on a.id = e.src join sp b on b.id = e.dst)
+@query(f"""with {_IE}, {_SPLIT}, pr as (select a.split as s, b.split as t, e.src, e.dst from inner_edge e join sp a on a.id = e.src join sp b on b.id = e.dst),
+ dg as (select a, count(*) as n from (select src as a, dst as b from pr where s = t and src <> dst union select dst, src from pr where s = t and src <> dst) group by 1)
  select sp.split, count(*) as n_nodes, (select count(*) from pr where s = t and s = sp.split) as internal_edges,
- (select count(*) from pr where s <> t and ((s = 'train' and t = sp.split) or (t = 'train' and s = sp.split))) as edges_to_train from sp group by 1""")
+ (select count(*) from pr where s <> t and ((s = 'train' and t = sp.split) or (t = 'train' and s = sp.split))) as edges_to_train,
+ round(avg(coalesce(dg.n, 0)), 9) as mean_induced_degree, min(coalesce(dg.n, 0)) as least_induced_degree from sp left join dg on dg.a = sp.id group by 1""")
 def split_stats(spark: SparkSession, d: str) -> DataFrame:
     n, e = linked(spark, d, "split")
     assigned = n.select("id", cleaned_split("split").alias("split")).where("split is not null")
-    return nodesplits.split_stats(assigned, graph.internal_edges(n.select("id"), e))
+    return nodesplits.split_stats(assigned, graph.internal_edges(n.select("id"), e)).withColumn("mean_induced_degree", F.round("mean_induced_degree", 9))
 
 
 @query(f"with {_V}, {_SPLIT} select split, substr(sha256(string_agg(id, ',' order by id)), 1, 16) as node_list_hash from sp group by 1")
@@ -683,18 +687,31 @@ def mask_density(spark: SparkSession, d: str) -> DataFrame:
     return masks.allowed_pairs(cut, F.col("t"))
 
 
+def linked_packs(spark: SparkSession, d: str) -> DataFrame:
+    """A pack for every node that names others: their documents in list order, then its own,
+    each cut to 256 tokens."""
+    valid = lines(spark, d, "node_id", "tok_len", "raw_identifier", "outgoing").where("tok_len > 0 and node_id is not null").withColumn("length", F.least("tok_len", F.lit(256)))
+    out = valid.select("node_id", F.col("id").alias("source"), F.posexplode("outgoing").alias("k", "t")).select(F.col("node_id").alias("pack_id"), "source", "k", trimmed("t").alias("target"))
+    there = valid.select(F.col("id").alias("target"), F.col("node_id").alias("doc_id"), "length")
+    docs = out.where("target <> source").join(there, "target").groupBy("pack_id", "doc_id", F.col("target").alias("key"), "length").agg(F.min("k").alias("pos"))
+    own = valid.select(F.col("node_id").alias("pack_id"), F.col("node_id").alias("doc_id"), F.col("id").alias("key"), "length", F.lit(1 << 20).alias("pos")).join(docs.select("pack_id"), "pack_id", "left_semi")
+    return docs.unionByName(own)
+
+
 def _span_keys(spark: SparkSession, d: str) -> DataFrame:
-    return packs.spans(_ranked(spark, d), pos="k").select("pack_id", "doc_id", F.col("id").alias("key"), "span_start", "span_end")
+    return materialize(packs.spans(linked_packs(spark, d)).select("pack_id", "doc_id", "key", "span_start", "span_end"), "linked-spans")
 
 
-def _pack_links(spark: SparkSession, d: str) -> DataFrame:
+def _pack_links(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
     """Links at deterministic positions: a document's k-th outgoing link ends k tokens after its start."""
-    s = _span_keys(spark, d)
     out = nodes(spark, d).select(F.col("id").alias("key"), F.posexplode("outgoing").alias("k", "t")).select("key", "k", trimmed("t").alias("target")).where("target <> ''")
     return s.join(out, "key").select("pack_id", (F.col("span_start") + F.col("k") + 1).alias("link_end"), "target", F.col("span_end").alias("e")).where("link_end <= e").drop("e").distinct()
 
 
-_LINKED = f"""{_SPANS}, ln as (select distinct s.pack_id, s.span_end - s.length + o.k as link_end, o.target from span s join
+_LSPANS = f"""{_V}, lo as (select node_id as pack_id, id as source, k, trim(outgoing[k], {_T}) as target from (select *, unnest(range(1, len(outgoing) + 1)) as k from valid where tok_len > 0 and node_id is not null)),
+ ld as (select o.pack_id, t.node_id as doc_id, t.id, least(t.tok_len, 256) as length, min(o.k) as pos from lo o join valid t on t.id = o.target and t.tok_len > 0 and t.node_id is not null where o.target <> o.source group by all),
+ span as (select *, cast(sum(length) over (partition by pack_id order by pos) as bigint) as span_end from (select * from ld union all select node_id, node_id, id, least(tok_len, 256), 1048577 from valid where tok_len > 0 and node_id in (select pack_id from ld)))"""
+_LINKED = f"""{_LSPANS}, ln as (select distinct s.pack_id, s.span_end - s.length + o.k as link_end, o.target from span s join
    (select id, k, trim(outgoing[k], {_T}) as target from (select id, outgoing, unnest(range(1, len(outgoing) + 1)) as k from valid)) o on o.id = s.id where o.target <> '' and s.span_end - s.length + o.k <= s.span_end),
  matched as (select l.pack_id, l.link_end, l.target, t.doc_id as target_id, t.span_end - t.length as target_start, t.span_end as target_end from ln l join
    (select *, row_number() over (partition by pack_id, id order by span_end desc) as n from span) t on t.pack_id = l.pack_id and t.id = l.target and t.n = 1 where t.span_end - t.length < l.link_end)"""
@@ -702,7 +719,8 @@ _LINKED = f"""{_SPANS}, ln as (select distinct s.pack_id, s.span_end - s.length
 
 @query(f"with {_LINKED} select pack_id, link_end, target, target_id, target_start, target_end from matched")
 def link_match(spark: SparkSession, d: str) -> DataFrame:
-    return masks.match_links(_pack_links(spark, d), _span_keys(spark, d)).select("pack_id", "link_end", "target", "target_id", "target_start", "target_end")
+    s = _span_keys(spark, d)
+    return masks.match_links(_pack_links(spark, d, s), s).select("pack_id", "link_end", "target", "target_id", "target_start", "target_end")
 
 
 _GRANTS = f"""{_LINKED}, gr as (select m.pack_id, m.link_end, s.doc_id as source_id, m.target_id, m.link_end as q_start, least(s.span_end, 2047) as q_end, m.target_start as kv_start, least(m.target_end, 2047) as kv_end
@@ -711,8 +729,12 @@ _GRANTS = f"""{_LINKED}, gr as (select m.pack_id, m.link_end, s.doc_id as source
 
 
 def _grants(spark: SparkSession, d: str) -> DataFrame:
-    matched = masks.match_links(_pack_links(spark, d), _span_keys(spark, d))
-    return masks.grants(matched, _span_keys(spark, d), F.lit(2047))
+    return spans_and_grants(spark, d)[1]
+
+
+def spans_and_grants(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s = _span_keys(spark, d)
+    return s, masks.grants(masks.match_links(_pack_links(spark, d, s), s), s, F.lit(2047))
 
 
 @query(f"with {_GRANTS} select pack_id, grant_idx, source_id, target_id, q_start, q_end, kv_start, kv_end from num")
@@ -740,9 +762,10 @@ def grant_warmup(spark: SparkSession, d: str) -> DataFrame:
 def char_to_token(spark: SparkSession, d: str) -> DataFrame:
     """First token whose running length reaches a character position."""
     t = table(spark, d, "documents").where("title is not null")
-    tokens = t.select("doc_id", F.posexplode(F.split("title", " ")).alias("k", "w")).withColumn("cum", F.sum(F.length("w") + 1).over(Window.partitionBy("doc_id").orderBy("k")))
-    asked = t.select("doc_id", F.floor(F.length("title") / 2).alias("pos"))
-    return asked.join(tokens, "doc_id").where("cum >= pos").groupBy("doc_id", "pos").agg(F.min("k").cast("bigint").alias("token"))
+    tokens = t.select("doc_id", F.posexplode(F.split("title", " ")).alias("k", "w")).withColumn("n", F.length("w") + 1)
+    asked = t.select("doc_id", F.floor(F.length("title") / 2).alias("char"))
+    found = detectors.positions_of_chars(tokens, asked, "doc_id", "k", "n")
+    return found.select("doc_id", F.col("char").alias("pos"), F.col("token").cast("bigint").alias("token"))
 
 
 # ------------------------------------------------------------------------------- logits
@@ -868,27 +891,29 @@ def corpus_lookup(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------------------ context
 
 
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as contexts know them: length and links."""
+    valid = lines(spark, d, "tok_len", "outgoing").where("tok_len > 0")
+    links = F.filter(F.transform(F.coalesce("outgoing", F.array().cast("array<string>")), trimmed), lambda t: t.isNotNull() & (t != ""))
+    return valid.select(F.col("id").alias("target"), F.col("tok_len").alias("length"), links.alias("links"))
+
+
 def _sessions(spark: SparkSession, d: str) -> DataFrame:
-    """A session per pack: the links of its documents, with the documents' own links."""
-    n = nodes(spark, d).where("tok_len > 0").select("id", "node_id", "tok_len", "outgoing")
-    sizes = n.select(F.col("id").alias("target"), F.col("tok_len").alias("length"))
-    out = n.select(F.col("id").alias("source"), F.posexplode("outgoing").alias("k", "t")).select("source", "k", trimmed("t").alias("target")).where("target <> ''")
-    known = out.join(sizes, "target")
-    own = known.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "target", "length"))).alias("l")).select(F.col("source").alias("target"), F.transform("l", lambda x: F.struct(x["target"].alias("target"), x["length"].alias("length"))).alias("links"))
-    p = placed(spark, d).select("pack_id", F.col("id").alias("source"), "pos")
-    first = p.join(out, "source").join(sizes, "target", "left").join(own, "target", "left")
+    """A session per pack, with the links of its documents."""
+    out = nodes(spark, d).select(F.col("id").alias("source"), F.posexplode("outgoing").alias("k", "t")).select("source", "k", trimmed("t").alias("target")).where("target <> ''")
+    first = placed(spark, d).select("pack_id", F.col("id").alias("source"), "pos").join(out, "source")
     order = F.row_number().over(Window.partitionBy("pack_id").orderBy("pos", "k", "target"))
-    return first.select(F.col("pack_id").alias("session"), order.alias("ord"), "target", "length", "links", F.lit(100).alias("root_length"))
+    return first.select(F.col("pack_id").alias("session"), order.alias("ord"), "target", F.lit(100).alias("root_length"))
 
 
 @query()
 def context_assembly(spark: SparkSession, d: str) -> DataFrame:
-    return ctx.assemble_contexts(_sessions(spark, d), ctx.ContextSettings())
+    return ctx.assemble_contexts(_sessions(spark, d), _corpus(spark, d), ctx.ContextSettings())
 
 
 @query()
 def context_document_spans(spark: SparkSession, d: str) -> DataFrame:
-    return ctx.context_spans(ctx.assemble_contexts(_sessions(spark, d), ctx.ContextSettings())).select("session", "identifier", "span_start", "span_end")
+    return ctx.context_spans(ctx.assemble_contexts(_sessions(spark, d), _corpus(spark, d), ctx.ContextSettings())).select("session", "identifier", "span_start", "span_end")
 
 
 @query()
@@ -899,14 +924,14 @@ def context_stream(spark: SparkSession, d: str) -> DataFrame:
     from corpusloom.session import shared_dir
 
     base = f"{shared_dir(spark)}/corpusloom/stream-{uuid.uuid4().hex}"
-    events = _sessions(spark, d).select("session", "ord", F.lit("link").alias("kind"), "target", "length")
+    events = _sessions(spark, d).select("session", "ord", F.lit("link").alias("kind"), "target", F.lit(None).cast("bigint").alias("length"))
     events.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{base}/out")
 
-    run = ctx.context_stream(stream, ctx.ContextSettings()).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run = ctx.context_stream(stream, _corpus(spark, d), ctx.ContextSettings()).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     out = spark.read.parquet(f"{base}/out")
     w = Window.partitionBy("session").orderBy(F.desc("batch"))

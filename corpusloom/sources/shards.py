@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
-from pathlib import PurePosixPath
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.joins import bounded
+from corpusloom.session import materialize
+from corpusloom.sources.files import open_system, read_json, write_json
+
 # Fixed values of the format: header words, magic number and version.
 HEADER_WORDS = 256
 MAGIC = 11041999
@@ -23,10 +25,14 @@ def token_dtype(vocabulary: int) -> np.dtype:
     return np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
 
 
-def pack_shard(tokens: np.ndarray) -> bytes:
+def shard_header(count: int, item: int) -> bytes:
     header = np.zeros(HEADER_WORDS, dtype="<i4")
-    header[:4] = (MAGIC, VERSION, len(tokens), tokens.dtype.itemsize)
-    return header.tobytes() + tokens.tobytes()
+    header[:4] = (MAGIC, VERSION, count, item)
+    return header.tobytes()
+
+
+def pack_shard(tokens: np.ndarray) -> bytes:
+    return shard_header(len(tokens), tokens.dtype.itemsize) + tokens.tobytes()
 
 
 def read_header(data: bytes) -> tuple[int, int]:
@@ -70,64 +76,60 @@ def write_shards(documents: DataFrame, folder: str, dtype: str, tokenizer: str,
     names = places.select("writer", "shard").distinct().orderBy("writer", "shard").toPandas()
     names["idx"] = np.arange(len(names), dtype=np.int64)
     spark = documents.sparkSession
-    numbered = places.join(F.broadcast(spark.createDataFrame(names)), ["writer", "shard"]) if len(names) else places.withColumn("idx", F.lit(0).cast("bigint"))
+    numbered = places.join(bounded(spark.createDataFrame(names), 1_000_000), ["writer", "shard"]) if len(names) else places.withColumn("idx", F.lit(0).cast("bigint"))
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_files: dict[int, tuple] = {}
+        system, base = open_system(folder)
+        system.create_dir(base, recursive=True)
+        current, out, written = None, None, []
         for frame in frames:
-            for idx, tokens in zip(frame["idx"], frame["tokens"], strict=True):
-                if idx not in open_files:
-                    handle = open(f"{folder}/shard_{idx:06d}.bin", "wb")  # noqa: SIM115
-                    handle.write(b"\0" * HEADER_BYTES)
-                    open_files[idx] = (handle, [0])
-                handle, count = open_files[idx]
-                handle.write(np.asarray(tokens).astype(dtype).tobytes())
-                count[0] += len(tokens)
-        for idx, (handle, count) in open_files.items():
-            handle.seek(0)
-            header = np.zeros(HEADER_WORDS, dtype="<i4")
-            header[:4] = (MAGIC, VERSION, count[0], item)
-            handle.write(header.tobytes())
-            handle.close()
-            yield pd.DataFrame({"idx": [idx], "n": [count[0]]})
+            for idx, total, tokens in zip(frame["idx"], frame["total"], frame["tokens"], strict=True):
+                if idx != current:  # rows come shard by shard
+                    if out is not None:
+                        out.close()
+                    current, out = idx, system.open_output_stream(f"{base}/shard_{idx:06d}.bin")
+                    out.write(shard_header(int(total), item))
+                    written.append(idx)
+                out.write(np.asarray(tokens).astype(dtype).tobytes())
+        if out is not None:
+            out.close()
+        yield pd.DataFrame({"idx": np.array(written, dtype=np.int64)})
 
     if len(names):
-        rows = numbered.select("key", "idx", "offset").join(sized, "key").repartition(len(names), "idx").sortWithinPartitions("idx", "offset")
-        rows.select("idx", "tokens").mapInPandas(write, "idx bigint, n bigint").collect()
-    files = [f"shard_{i:06d}.bin" for i in range(len(names))]
-    with open(f"{folder}/metadata.json", "w") as meta:
-        json.dump({"tokenizer": tokenizer, "dtype_str": str(np.dtype(dtype)), "shard_filenames": files}, meta)
+        totals = numbered.groupBy("idx").agg((F.sum("n_bytes") / item).cast("bigint").alias("total"))
+        rows = numbered.select("key", "idx", "offset").join(bounded(totals, 1_000_000), "idx").join(sized, "key").repartition(len(names), "idx").sortWithinPartitions("idx", "offset")
+        rows.select("idx", "total", "tokens").mapInPandas(write, "idx bigint").count()
+    write_json(folder, "metadata.json", {"tokenizer": tokenizer, "dtype_str": str(np.dtype(dtype)), "shard_filenames": [f"shard_{i:06d}.bin" for i in range(len(names))]})
     return numbered.select(F.col("key").alias("normed_identifier"), F.col("idx").alias("tok_shard_idx"), F.col("offset").alias("tok_offset_bytes"), (F.col("n_bytes") / item).cast("bigint").alias("tok_len"))
 
 
 def read_tokens(spark: SparkSession, folder: str, nodes: DataFrame) -> DataFrame:
     """Adds ``tokens`` to nodes; a place outside its shard gives null.
 
-    Only the needed byte ranges of a shard are read, through memory maps.
+    Only the needed byte ranges of a shard are read.
     """
-    with open(f"{folder}/metadata.json") as meta:
-        info = json.load(meta)
+    info = read_json(folder, "metadata.json")
     files, dtype = info["shard_filenames"], np.dtype(info["dtype_str"])
 
     @F.pandas_udf("array<bigint>")
     def fetch(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        maps: dict[int, np.ndarray] = {}
+        system, base = open_system(folder)
+        opened: dict[int, tuple] = {}
         for shards, offsets, lengths in frames:
             out = []
             for s, o, n in zip(shards, offsets, lengths, strict=True):
-                if pd.isna(s) or not 0 <= int(s) < len(files):
+                if pd.isna(s) or pd.isna(o) or pd.isna(n) or not 0 <= int(s) < len(files):
                     out.append(None)
                     continue
-                if int(s) not in maps:
-                    name = str(PurePosixPath(folder) / files[int(s)])
-                    with open(name, "rb") as f:
-                        count, item = read_header(f.read(HEADER_BYTES))
+                if int(s) not in opened:
+                    handle = system.open_input_file(f"{base}/{files[int(s)]}")
+                    count, item = read_header(handle.read_at(HEADER_BYTES, 0))
                     if item != dtype.itemsize:
-                        raise ValueError(f"{name} has items of {item} bytes")
-                    maps[int(s)] = np.memmap(name, dtype=dtype, mode="r", offset=HEADER_BYTES, shape=(count,)) if count else np.zeros(0, dtype=dtype)
-                start = (int(o) - HEADER_BYTES) // dtype.itemsize
-                part = maps[int(s)][start : start + int(n)]
-                out.append(part.astype(np.int64) if len(part) == int(n) else None)
+                        raise ValueError(f"{files[int(s)]} has items of {item} bytes")
+                    opened[int(s)] = (handle, HEADER_BYTES + count * item)
+                handle, end = opened[int(s)]
+                inside = HEADER_BYTES <= int(o) and int(o) + int(n) * dtype.itemsize <= end
+                out.append(np.frombuffer(handle.read_at(int(n) * dtype.itemsize, int(o)), dtype=dtype).astype(np.int64) if inside else None)
             yield pd.Series(out)
 
     return nodes.withColumn("tokens", fetch("tok_shard_idx", "tok_offset_bytes", "tok_len"))
@@ -137,3 +139,17 @@ def attach_tokens(graph: DataFrame, places: DataFrame, splits: DataFrame | None
     """Graph nodes with token places (nodes without are dropped) and splits where known."""
     out = graph.join(places, "normed_identifier")
     return out.join(splits, "normed_identifier", "left") if splits is not None else out.withColumn("split", F.lit(None).cast("string"))
+
+
+def pretokenize(documents: DataFrame, graph: DataFrame, encoder: Callable[[], Callable[[str], list[int]]], folder: str, tokenizer: str, vocabulary: int, splits: DataFrame | None = None, capacity: int = 2_000_000_000, writers: int = 1) -> DataFrame:
+    """From source texts to a graph with token places: texts of graph nodes are encoded, written
+    as shards below ``folder`` with their metadata, and the nodes that got tokens are returned
+    with their places and splits.
+
+    ``documents`` has normed_identifier and content (``stack_documents``, ``read_markdown_folder``);
+    texts without a node are not encoded; of several texts of a node the first by hash is taken.
+    """
+    wanted = documents.select("normed_identifier", "content").join(graph.select("normed_identifier"), "normed_identifier", "left_semi")
+    one = wanted.groupBy("normed_identifier").agg(F.min_by("content", F.xxhash64("content")).alias("content"))
+    encoded = materialize(encode_documents(one, encoder).select("normed_identifier", "tokens"), "tokens")
+    return attach_tokens(graph, write_shards(encoded, folder, str(token_dtype(vocabulary)), tokenizer, capacity, writers), splits)

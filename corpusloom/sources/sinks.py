@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.sources.files import write_file, write_json
+
 
 def write_markdown_files(docs: DataFrame, folder: str) -> int:
     """``<LETTER>/<normed_identifier>.md`` with the body and the raw identifier as last line.
@@ -22,9 +22,7 @@ def write_markdown_files(docs: DataFrame, folder: str) -> int:
         for frame in frames:
             for name, raw, body in zip(frame["normed_identifier"], frame["raw_identifier"], frame["body"], strict=True):
                 first = name[:1].upper() if name[:1].isalnum() else "_"
-                os.makedirs(f"{folder}/{first}", exist_ok=True)
-                with open(f"{folder}/{first}/{name}.md", "w", encoding="utf-8") as out:
-                    out.write(f"{body}\n{raw}")
+                write_file(folder, f"{first}/{name}.md", f"{body}\n{raw}".encode())
                 n += 1
         yield pd.DataFrame({"n": [n]})
 
@@ -51,8 +49,8 @@ def splits_document(assigned: DataFrame, path: str, parameters: dict, key: str =
     total = assigned.count()
     rows = assigned.groupBy("split").agg(F.sort_array(F.collect_list(F.col(key).cast("string"))).alias("ids"))
     doc = {"parameters": parameters, "splits": {r["split"]: {"count": len(r["ids"]), "fraction": round(len(r["ids"]) / max(total, 1), 6), "ids": r["ids"]} for r in rows.toLocalIterator()}}
-    with open(path, "w") as out:
-        json.dump(doc, out)
+    folder, _, name = path.rpartition("/")
+    write_json(folder or ".", name, doc)
 
 
 def degree_histogram(degrees: DataFrame, column: str, bins: int = 50) -> DataFrame:

@@ -1,20 +1,29 @@
-"""Stateful multi-document context: insertion, eviction, recursive retrieval.
+"""Stateful multi-document context: insertion, eviction, recursive retrieval, writing.
 
-The state machine (``Context``) is shared by the batch kernel (``assemble_contexts``, one
-session per call) and the streaming query (``context_stream``), which keeps it between
-micro-batches with ``applyInPandasWithState``.
+The state machine (``Context``) is shared by the batch kernels (``assemble_contexts`` and
+``written_contexts``, one session per call) and the streaming query (``context_stream``),
+which keeps it between micro-batches with ``applyInPandasWithState``.
+
+Depths are those of the document that holds a link: the root has 0.  A corpus document is
+inserted whole or not at all; its own links are followed while its depth is at most
+``max_link_depth``.  Where the corpus has no such document one may be written, if the
+linking document's depth is below the limit and ``max_doc_tokens`` fit.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What the corpus knows of a document: its length, its links and, if wanted, its tokens.
+Known = tuple[int, Sequence[str], Sequence[int] | None]
+Find = Callable[[str], Known | None]
+
 
 @dataclass
 class ContextSettings:
@@ -23,6 +32,8 @@ class ContextSettings:
     max_link_depth: int = 2
     max_doc_tokens: int = 512
     allow_generation: bool = False
+    eviction_policy: str = "drop_oldest"
+    restore_evicted: bool = False
 
     def __post_init__(self) -> None:
         for name in ("max_context", "max_doc_tokens"):
@@ -31,6 +42,8 @@ class ContextSettings:
         for name in ("max_aux_docs", "max_link_depth"):
             if getattr(self, name) < 0:
                 raise ValueError(f"{name} must not be negative")
+        if self.eviction_policy not in ("drop_oldest", "stop_new"):
+            raise ValueError("eviction_policy must be drop_oldest or stop_new")
 
 
 @dataclass
@@ -43,6 +56,7 @@ class Entry:
     done: bool = True
     truncated: bool = False
     parent: str | None = None
+    tokens: list[int] | None = None
 
 
 @dataclass
@@ -54,10 +68,11 @@ class Context:
     docs: list[Entry] = field(default_factory=list)
     evicted: list[Entry] = field(default_factory=list)
 
-    def add_root(self, identifier: str, length: int) -> None:
+    def add_root(self, identifier: str, length: int, tokens: Sequence[int] | None = None) -> Entry:
         if any(d.is_root for d in self.docs):
             raise ValueError("the context has a root already")
-        self.docs.append(Entry(identifier, length, is_root=True, source="prompt", done=False))
+        self.docs.append(Entry(identifier, length, is_root=True, source="prompt", done=False, tokens=None if tokens is None else list(tokens)))
+        return self.docs[-1]
 
     def total(self) -> int:
         return sum(d.length for d in self.docs)
@@ -72,10 +87,11 @@ class Context:
         return self.total() + length <= self.settings.max_context and self.aux() < self.settings.max_aux_docs
 
     def make_room(self, length: int) -> bool:
-        """Evict the leftmost finished document that is not the root until ``length`` fits."""
+        """Whether ``length`` fits; by the policy ``drop_oldest`` the leftmost finished documents
+        but for the root are evicted until it does, by ``stop_new`` nothing is."""
         while not self.fits(length):
             k = next((i for i, d in enumerate(self.docs) if not d.is_root and d.done), None)
-            if k is None:
+            if k is None or self.settings.eviction_policy == "stop_new":
                 return False
             self.evicted.append(self.docs.pop(k))
         return True
@@ -94,23 +110,55 @@ class Context:
             if d.identifier == identifier:
                 d.done, d.truncated = True, truncated
 
-    def follow(self, target: str, writer: str, depth: int, find: Callable[[str], tuple[int, Sequence[str]] | None]) -> None:
-        """A link from ``writer`` to ``target``: nothing if empty or in the context; a corpus
-        document is inserted before the writer if room can be made, and its own links are
-        followed up to the depth limit; else a document may be generated."""
+    def follow(self, target: str | None, writer: str, depth: int, find: Find, write: Callable[[Entry], None] | None = None) -> None:
+        """A link to ``target`` in the document ``writer`` of the given depth.
+
+        Nothing happens if the target is empty or in the context.  With ``restore_evicted`` an
+        evicted document comes back as it was; else one of the corpus is inserted before the
+        writer if room can be made; else one may be written, by ``write`` where it is given.
+        """
         if not target or self.holds(target):
             return
         known = find(target)
-        if known is not None:
-            length, links = known
-            length = min(length, self.settings.max_doc_tokens)
-            if self.make_room(length):
-                self.insert(Entry(target, length, depth=depth, truncated=known[0] > length, parent=writer), writer)
-                if depth + 1 <= self.settings.max_link_depth:
-                    for link in links:
-                        self.follow(link, target, depth + 1, find)
-        elif self.settings.allow_generation and depth < self.settings.max_link_depth and self.make_room(1):
-            self.insert(Entry(target, 1, depth=depth, source="generated", done=False, parent=writer), writer)
+        again = next((d for d in self.evicted if d.identifier == target), None) if self.settings.restore_evicted else None
+        if again is not None or known is not None:
+            entry = again or Entry(target, int(known[0]), depth=depth + 1, parent=writer, tokens=None if known[2] is None else list(known[2]))
+            if not self.make_room(entry.length):
+                return
+            if again is not None:
+                self.evicted.remove(again)
+            self.insert(entry, writer)
+            if depth + 1 <= self.settings.max_link_depth and known is not None:
+                for link in known[1]:
+                    self.follow(link, target, depth + 1, find, write)
+        elif self.settings.allow_generation and depth < self.settings.max_link_depth and self.make_room(self.settings.max_doc_tokens):
+            entry = Entry(target, 0, depth=depth + 1, source="generated", done=False, parent=writer, tokens=[])
+            self.insert(entry, writer)
+            if write is not None:
+                write(entry)
+
+    def write(self, entry: Entry, replay: Callable[[Entry], Iterable[int]], settings: GenerationSettings, detect: Callable[[Sequence[int]], list[tuple[int, str]]], find: Find, closes: Callable[[int], bool] = lambda token: True) -> None:
+        """Append the tokens that ``replay`` gives for a document until it ends.
+
+        After each token, links are looked for among the last ``max_recent_link_tokens``; the
+        first that ends at the new token is followed.  The document ends with the end token,
+        after ``max_new_tokens`` tokens, or, cut, at ``max_tokens_per_document``.  ``closes``
+        tells tokens that can't end a link, for which the search is spared.
+        """
+        entry.tokens = [] if entry.tokens is None else entry.tokens
+        for made, token in enumerate(replay(entry), 1):
+            entry.tokens.append(int(token))
+            entry.length += 1
+            if closes(token):
+                recent = entry.tokens[-settings.max_recent_link_tokens :]
+                target = next((t for end, t in detect(recent) if end == len(recent)), None)
+                self.follow(target, entry.identifier, entry.depth, find, lambda e: self.write(e, replay, settings, detect, find, closes))
+            if token == settings.end_token or made >= settings.max_new_tokens:
+                break
+            if len(entry.tokens) >= settings.max_tokens_per_document:
+                entry.truncated = True
+                break
+        entry.done = True
 
     def spans(self) -> list[tuple[str, int, int]]:
         out, at = [], 0
@@ -119,6 +167,10 @@ class Context:
             at += d.length
         return out
 
+    def sequence(self) -> list[int]:
+        """The tokens of the active documents, in order."""
+        return [t for d in self.docs for t in (d.tokens or [])]
+
     def all_documents(self) -> list[Entry]:
         """Root, active documents in order, then evicted ones in the order of their eviction."""
         return [d for d in self.docs if d.is_root] + [d for d in self.docs if not d.is_root] + self.evicted
@@ -132,42 +184,100 @@ class Context:
         return cls(settings, [Entry(**d) for d in raw["docs"]], [Entry(**d) for d in raw["evicted"]])
 
 
+def closures(corpus: DataFrame, depth: int) -> DataFrame:
+    """(target, known): what may be needed after a link to a document.
+
+    ``corpus`` has target, length and links (array of strings), one row per document.  known
+    lists (target, length, links) of the document and of all that are reached from it in at
+    most ``depth`` further links.
+    """
+    links = corpus.select(F.col("target").alias("here"), F.explode("links").alias("next")).where("next <> ''").distinct()
+    reached = corpus.select(F.col("target").alias("root"), "target")
+    frontier = reached
+    for _ in range(depth):
+        frontier = frontier.join(links, F.col("target") == F.col("here")).select("root", F.col("next").alias("target")).distinct()
+        reached = reached.unionByName(frontier)
+    rows = reached.distinct().join(corpus.select("target", "length", "links"), "target")
+    return rows.groupBy(F.col("root").alias("target")).agg(F.collect_list(F.struct("target", "length", "links")).alias("known"))
+
+
+def _finder(lists: Iterable) -> Find:
+    known: dict[str, Known] = {}
+    for docs in lists:
+        for x in docs if docs is not None else []:
+            links = x["links"]
+            known.setdefault(x["target"], (int(x["length"]), list(links) if links is not None else [], x.get("tokens") if hasattr(x, "get") else None))
+    return known.get
+
+
 _RESULT = "session bigint, ord int, identifier string, length int, depth int, source string, truncated boolean, is_root boolean, active boolean"
 
 
-def assemble_contexts(sessions: DataFrame, settings: ContextSettings) -> DataFrame:
+def _result_rows(session: int, context: Context) -> list[tuple]:
+    active = len(context.docs)
+    return [(session, k, d.identifier, d.length, d.depth, d.source, d.truncated, d.is_root, k < active) for k, d in enumerate(context.all_documents())]
+
+
+_NAMES = ["session", "ord", "identifier", "length", "depth", "source", "truncated", "is_root", "active"]
+
+
+def assemble_contexts(sessions: DataFrame, corpus: DataFrame, settings: ContextSettings) -> DataFrame:
     """Documents of each session's context after its links.
 
-    ``sessions``: session, ord, target, length (null where the corpus has no such document)
-    and links (the document's own links with their lengths, as an array of structs target,
-    length, links), root_length.
+    ``sessions``: session, ord, target, root_length; ``corpus``: target, length, links.
     """
+    known = closures(corpus, settings.max_link_depth)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ord", kind="stable")
         session = int(frame["session"].iloc[0])
-        known: dict[str, tuple[int, list[str]]] = {}
-        for target, length, links in zip(frame["target"], frame["length"], frame["links"], strict=True):
-            if target is not None and not pd.isna(length):
-                known.setdefault(target, (int(length), [x["target"] for x in (links if links is not None else [])]))
-            for x in links if links is not None else []:
-                known.setdefault(x["target"], (int(x["length"]), []))
+        find = _finder(frame["known"])
         context = Context(settings)
         context.add_root(f"session {session}", int(frame["root_length"].iloc[0]))
         for target in frame["target"]:
-            context.follow(target, f"session {session}", 1, known.get)
-        active = len(context.docs)
-        rows = [(session, k, d.identifier, d.length, d.depth, d.source, d.truncated, d.is_root, k < active) for k, d in enumerate(context.all_documents())]
-        return pd.DataFrame(rows, columns=["session", "ord", "identifier", "length", "depth", "source", "truncated", "is_root", "active"])
+            context.follow(target, f"session {session}", 0, find)
+        return pd.DataFrame(_result_rows(session, context), columns=_NAMES)
+
+    return sessions.select("session", "ord", "target", "root_length").join(known, "target", "left").groupBy("session").applyInPandas(run, _RESULT)
 
-    return sessions.groupBy("session").applyInPandas(run, _RESULT)
 
+def written_contexts(sessions: DataFrame, corpus: DataFrame, context_settings: ContextSettings, settings: GenerationSettings, detect: Callable[[Sequence[int]], list[tuple[int, str]]], closes: Callable[[int], bool]) -> DataFrame:
+    """Contexts of sessions whose root is written token by token.
+
+    ``sessions``: session, identifier and tokens (array), which the root and every document
+    that is written replay; ``corpus``: target, length, links.  The links that the tokens may
+    hold are found first, so that each session gets the documents it can need.
+    """
+    known = closures(corpus, context_settings.max_link_depth)
+
+    @F.pandas_udf("array<string>")
+    def linked(tokens: pd.Series) -> pd.Series:
+        return pd.Series([sorted({t for _, t in detect(list(x))}) if x is not None else [] for x in tokens])
 
-def context_stream(events: DataFrame, settings: ContextSettings) -> DataFrame:
+    rows = sessions.select("session", "identifier", "tokens")
+    targets = rows.select("session", F.explode(linked("tokens")).alias("target")).join(known, "target").groupBy("session").agg(F.flatten(F.collect_list("known")).alias("known"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for session, identifier, tokens, docs in zip(frame["session"], frame["identifier"], frame["tokens"], frame["known"], strict=True):
+                context = Context(context_settings)
+                root = context.add_root(identifier, 0, [])
+                body = [] if tokens is None else [int(t) for t in tokens]
+                context.write(root, lambda entry, body=body: body, settings, detect, _finder([docs]), closes)
+                out += _result_rows(int(session), context)
+            yield pd.DataFrame(out, columns=_NAMES)
+
+    return rows.join(targets, "session", "left").mapInPandas(run, _RESULT)
+
+
+def context_stream(events: DataFrame, corpus: DataFrame, settings: ContextSettings) -> DataFrame:
     """Streaming form: rows (session, ord, kind, target, length) of kind ``tokens`` add to
-    the root, kind ``link`` bring a corpus document of that length (null: unknown).
+    the root, kind ``link`` name a document; ``corpus`` is a table of target, length, links.
 
-    Emits one row per session and micro-batch with the state of its context.
+    Links are joined with their closures, so that documents' own links are followed as in
+    ``assemble_contexts``.  Emits one row per session and micro-batch with the state of its
+    context.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
@@ -177,21 +287,21 @@ def context_stream(events: DataFrame, settings: ContextSettings) -> DataFrame:
         if not state.exists:
             context.add_root(root, 0)
         rows = pd.concat(list(frames)).sort_values("ord", kind="stable")
+        find = _finder(rows["known"])
         for kind, target, length in zip(rows["kind"], rows["target"], rows["length"], strict=True):
             if kind == "tokens":
                 context.append_tokens(root, 0 if pd.isna(length) else int(length))
             else:
-                context.follow(target, root, 1, lambda t, n=length: None if pd.isna(n) else (int(n), []))
+                context.follow(target, root, 0, find)
         state.update((context.dump(),))
         yield pd.DataFrame({"session": [session], "n_docs": [len(context.docs)], "n_evicted": [len(context.evicted)], "total_tokens": [context.total()]})
 
-    return events.groupBy("session").applyInPandasWithState(run, "session bigint, n_docs int, n_evicted int, total_tokens bigint", "dump string", "update", "NoTimeout")
+    joined = events.join(closures(corpus, settings.max_link_depth), "target", "left")
+    return joined.groupBy("session").applyInPandasWithState(run, "session bigint, n_docs int, n_evicted int, total_tokens bigint", "dump string", "update", "NoTimeout")
 
 
 def context_spans(docs: DataFrame) -> DataFrame:
     """Spans of the active documents in sequence order."""
-    from pyspark.sql import Window
-
     end = F.sum("length").over(Window.partitionBy("session").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
     return docs.where("active").withColumn("span_end", end).withColumn("span_start", F.col("span_end") - F.col("length"))
 
@@ -208,6 +318,8 @@ class GenerationSettings:
 
     max_new_tokens: int = 512
     max_tokens_per_document: int = 512
+    max_recent_link_tokens: int = 200
+    end_token: int | None = None
     max_context_length: int = 2048
     max_auxiliary_documents: int = 8
     max_link_depth: int = 2
@@ -218,7 +330,7 @@ class GenerationSettings:
 
     def __post_init__(self) -> None:
         wrong = [
-            ("max_new_tokens", self.max_new_tokens <= 0), ("max_tokens_per_document", self.max_tokens_per_document <= 0), ("max_context_length", self.max_context_length <= 0),
+            ("max_new_tokens", self.max_new_tokens <= 0), ("max_tokens_per_document", self.max_tokens_per_document <= 0), ("max_recent_link_tokens", self.max_recent_link_tokens <= 0), ("max_context_length", self.max_context_length <= 0),
             ("max_auxiliary_documents", self.max_auxiliary_documents < 0), ("max_link_depth", self.max_link_depth < 0), ("temperature", self.temperature < 0),
             ("top_k", self.top_k is not None and self.top_k <= 0), ("top_p", self.top_p is not None and not 0 < self.top_p <= 1), ("repetition_penalty", self.repetition_penalty <= 0),
         ]

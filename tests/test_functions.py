@@ -44,8 +44,6 @@ def test_links_and_imports(spark):
     assert set(pairs) == {"re:", "zlib:", "dock.crane:hook", "dock.crane:chain", "a.b:", "m:*"}
     assert one(spark, imp.candidate_paths(F.lit("dock.crane"), F.lit("hook")), x="") == ["dock/crane/hook.py", "dock/crane/hook/__init__.py", "dock/crane.py", "dock/crane/__init__.py"]
     assert set(one(spark, imp.file_imports(F.col("x")), x="import os\nimport mine\nfrom .rel import q\n")) == {"mine", ".rel"}
-    tokens = ["See ", "[Foo", "](", "Bar", " Baz", ")", " end"]
-    assert lnk.detect_token_links(range(7), lambda t: tokens[t[0]]) == [(6, "Bar Baz")]
 
 
 def test_content_signature(spark):
