@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 
 
 def in_one_task(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``work`` on all rows at once; the caller has checked that they are few."""
-    columns = rows.columns
+    """``work`` on all rows at once, of which the caller has checked that they are few; no rows
+    give none."""
 
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [f for f in frames if len(f)]
-        yield work(pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in columns}))
+        if parts:
+            yield work(pd.concat(parts, ignore_index=True))
 
     return rows.coalesce(1).mapInPandas(gather, schema)
 

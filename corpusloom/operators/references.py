@@ -14,13 +14,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.joins import bounded
+from corpusloom.operators.onetask import in_one_task
 from corpusloom.session import discard, materialize
 from corpusloom.tables import trimmed
 
+#: Up to so many references the cascade's rounds are walked in one task, beyond by joins.
+TASK_EDGES = 2_000_000
+
 
 def explode_references(lines: DataFrame, fields: Sequence[str], key: str = "normed_identifier") -> DataFrame:
     """One row per record, list field and distinct trimmed target."""
@@ -67,16 +73,21 @@ def orphan_references(refs: DataFrame, status: DataFrame) -> DataFrame:
     return known.withColumn("reason", reason).where("reason is not null").drop("first_loaded", "last_loaded", "has_line", "last_removed", "has_removal")
 
 
-def orphan_cascade(refs: DataFrame, direct: DataFrame, key: str = "normed_identifier") -> DataFrame:
+def orphan_cascade(refs: DataFrame, direct: DataFrame, key: str = "normed_identifier", task_edges: int = TASK_EDGES) -> DataFrame:
     """(field, key, round) of records orphaned directly (round 0) or by reference to an orphan
     (round n), each list field being followed for itself.
 
     Each round semi-joins the references with the last round's orphans and takes off those
     already found; every round is a table in the shared folder.  The loop ends when a round
-    adds nothing, however long the chains are.
+    adds nothing, however long the chains are.  Up to ``task_edges`` references the same rounds
+    are walked in one task.
     """
     edges = materialize(refs.select("field", F.col(key).alias("child"), F.col("target").alias("parent")).where("child <> parent").distinct(), "orphan-edges")
-    frontier = materialize(direct.select("field", F.col(key).alias("key")).distinct().withColumn("round", F.lit(0)), "orphans")
+    first = direct.select("field", F.col(key).alias("key")).distinct()
+    if edges.count() <= task_edges:
+        rows = edges.select("field", "child", "parent").unionByName(first.select("field", F.col("key").alias("child"), F.lit(None).cast("string").alias("parent")))
+        return in_one_task(rows, _task_cascade, "field string, key string, round int")
+    frontier = materialize(first.withColumn("round", F.lit(0)), "orphans")
     parts, number = [frontier], 0
     while True:
         number += 1
@@ -97,6 +108,27 @@ def orphan_cascade(refs: DataFrame, direct: DataFrame, key: str = "normed_identi
     return _union(parts)
 
 
+def _task_cascade(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rounds in one task; rows without a parent are the direct orphans."""
+    out = []
+    for field, part in rows.groupby("field"):
+        seed = part["parent"].isna().to_numpy()
+        codes, ids = pd.factorize(np.concatenate([part["child"].to_numpy(object), part["parent"].to_numpy(object)[~seed]]))
+        child, parent = codes[: len(part)][~seed], codes[len(part) :]
+        found = np.full(len(ids), -1)
+        fresh, number = np.unique(codes[: len(part)][seed]), 0
+        while len(fresh):
+            found[fresh] = number
+            number += 1
+            last = np.zeros(len(ids), dtype=bool)
+            last[fresh] = True
+            hit = np.unique(child[last[parent]])
+            fresh = hit[found[hit] < 0]
+        at = np.flatnonzero(found >= 0)
+        out.append(pd.DataFrame({"field": field, "key": ids[at], "round": found[at]}))
+    return pd.concat(out, ignore_index=True)
+
+
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -111,7 +143,7 @@ def orphaned_references(refs: DataFrame, direct: DataFrame, key: str = "normed_i
     that the cascade orphans in round n, and its reason is ``inherited``.
     """
     direct = materialize(direct, "direct")
-    orphans = orphan_cascade(refs, direct, key)
+    orphans = materialize(orphan_cascade(refs, direct, key), "orphans")
     names = ["node_id", key, "field", "target", "ref_period"]
     own = direct.select(*names, "reason", F.lit(0).alias("round"))
     rest = refs.select(*names).distinct().join(direct.select(key, "field", "target").distinct(), [key, "field", "target"], "left_anti")

@@ -16,7 +16,7 @@ from corpusloom.functions import imports as imp
 from corpusloom.operators import corpus, detectors, logits, masks, nodesplits, packs, traversal
 from corpusloom.plans import catalog
 from corpusloom.session import materialize, shared_dir
-from corpusloom.sources import shards
+from corpusloom.sources import shards, sinks
 from corpusloom.sources import text as src
 from corpusloom.streaming import context as ctx
 from corpusloom.tables import cleaned_split, table, trimmed
@@ -283,3 +283,79 @@ ORACLES["shard_assignment"] = f"""with recursive {catalog._V}, s as (select id a
  walk(k, shard, nxt) as (select 0::bigint, -1, 0::bigint union all select s.k, case when w.shard < 0 or w.nxt + s.n_bytes > 1000000 then w.shard + 1 else w.shard end, (case when w.shard < 0 or w.nxt + s.n_bytes > 1000000 then 1024 else w.nxt end) + s.n_bytes
   from walk w join s on s.k = w.k + 1)
  select s.key, 0 as writer, w.shard, w.nxt - s.n_bytes as "offset", s.n_bytes from walk w join s using (k)"""
+
+
+# ------------------------------------------------------------------- readers and writers
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+
+
+@query("select title, text as source_text, doc_id as page_id from documents where title is not null and text is not null and lang = 'en'")
+def articles_read(spark: SparkSession, d: str) -> DataFrame:
+    """Articles written as a dump (the main namespace holds the English ones) and read back."""
+    folder = _folder(spark, "dump")
+    namespace = F.when(F.col("lang") == "en", 0).otherwise(1).alias("namespace")
+    docs = table(spark, d, "documents").select(namespace, "title", F.col("text").alias("source_text"), F.col("doc_id").alias("page_id"))
+    docs.write.option("compression", "gzip").json(folder)
+    return src.read_articles(spark, folder).where("title is not null").select("title", "source_text", "page_id")
+
+
+@query("""with n as (select max_stars_repo_path as p, content from stack_file where max_stars_repo_name <> '' and max_stars_repo_path <> '' and content <> '')
+ select p as max_stars_repo_path, count(*) as n_rows, cast(sum(length(content)) as bigint) as n_chars from n group by 1""")
+def stack_rows_read(spark: SparkSession, d: str) -> DataFrame:
+    """Code rows written as JSON lines and read back with the reader's schema."""
+    folder = _folder(spark, "rows")
+    table(spark, d, "stack_file").select("max_stars_repo_name", "max_stars_repo_path", "content").write.json(folder)
+    rows = src.read_stack_rows(spark, folder).where("max_stars_repo_name <> '' and max_stars_repo_path <> '' and content <> ''")
+    return rows.groupBy("max_stars_repo_path").agg(F.count("*").alias("n_rows"), F.sum(F.length("content")).alias("n_chars"))
+
+
+@query("select 'item_' || item_id as normed_identifier, benchmark_name as raw_identifier, md5(passage) as digest from eval_item where passage is not null and benchmark_name is not null")
+def markdown_folder_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as a folder of Markdown files and read back."""
+    folder = _folder(spark, "markdown")
+    items = table(spark, d, "eval_item").where("passage is not null and benchmark_name is not null").dropDuplicates(["item_id"])
+    sinks.write_markdown_files(items.select(F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("normed_identifier"), F.col("benchmark_name").alias("raw_identifier"), F.col("passage").alias("body")), folder)
+    return src.read_markdown_folder(spark, folder).select("normed_identifier", "raw_identifier", F.md5("content").alias("digest"))
+
+
+@query(f"with {catalog._V} select id as normed_identifier, raw_identifier, char_count, tok_len, tok_shard_idx, tok_offset_bytes from valid where tok_len > 0 and tok_shard_idx is not null and tok_offset_bytes is not null")
+def graph_file_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Graph nodes written as sorted JSON lines and read back; nodes without tokens are left out."""
+    folder = _folder(spark, "graph")
+    valid = catalog.nodes(spark, d).where("tok_len > 0 and tok_shard_idx is not null and tok_offset_bytes is not null").withColumnRenamed("id", "normed_identifier")
+    sinks.write_graph(valid.select("normed_identifier", "raw_identifier", "char_count", "outgoing", "incoming", "tok_shard_idx", "tok_offset_bytes", "tok_len"), folder)
+    return src.checked_nodes(src.read_graph(spark, folder)).select("normed_identifier", "raw_identifier", "char_count", "tok_len", "tok_shard_idx", "tok_offset_bytes")
+
+
+@query(f"with {catalog._V}, {catalog._SPLIT} select id as normed_identifier, split from sp")
+def splits_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Splits written as their document and looked up again."""
+    folder = _folder(spark, "splits")
+    assigned = materialize(catalog.nodes(spark, d).select("id", cleaned_split("split").alias("split")).where("split is not null"), "splits")
+    sinks.splits_document(assigned, f"{folder}/splits.json", {"seed": 7})
+    return src.split_lookup(spark, f"{folder}/splits.json").select("normed_identifier", "split")
+
+
+@query("select upper(substr(title, 1, 1)) as letter, count(*) as n from (select title from documents where regexp_matches(title, '^[A-Za-z0-9]')) group by 1")
+def articles_by_letter(spark: SparkSession, d: str) -> DataFrame:
+    """Articles written in folders by first letter."""
+    folder = _folder(spark, "letters")
+    docs = table(spark, d, "documents").where(F.regexp_like("title", F.lit("^[A-Za-z0-9]"))).select(F.col("title").alias("normed_identifier"), F.col("text").alias("body"))
+    sinks.write_articles(docs, folder)
+    return spark.read.parquet(folder).groupBy(F.col("letter").cast("string").alias("letter")).agg(F.count("*").alias("n"))
+
+
+@query()
+def code_with_import_links(spark: SparkSession, d: str) -> DataFrame:
+    """Code files whose imported modules are written as links."""
+    return catalog.code_files(spark, d, linked=imp.import_links(F.col("content"))).select("file_id", F.md5("linked").alias("digest"))
+
+
+@query()
+def document_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Unified differences between the two deliveries of a text in which line ends differ."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    return docs.select("doc_id", corpus.unified_diff(F.col("text"), F.regexp_replace("text", r"\r\n?", "\n")).alias("diff")).where("diff <> ''")

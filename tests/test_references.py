@@ -30,6 +30,7 @@ def test_cascade_reaches_the_fixpoint(spark):
     refs = spark.createDataFrame([("o", *p) for p in pairs] + [("i", "z", "a")], "field string, normed_identifier string, target string")
     direct = spark.createDataFrame([("o", "a"), ("o", "a")], "field string, normed_identifier string")
     got = {(r.field, r.key): r["round"] for r in ref.orphan_cascade(refs, direct).collect()}
+    assert {(r.field, r.key): r["round"] for r in ref.orphan_cascade(refs, direct, task_edges=0).collect()} == got
     assert got == {("o", "a"): 0, ("o", "b"): 1, ("o", "c"): 2, ("o", "d"): 3}
 
 
