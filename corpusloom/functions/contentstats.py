@@ -10,17 +10,26 @@ def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"(\S+)"), 1))
 
 
+def _without_last_end(text: Column) -> Column:
+    """The text with line feeds as its only line ends and no final one."""
+    return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n\z", "")
+
+
 def line_lengths(text: Column) -> Column:
     """Lengths of the lines; a final line end opens no line, an empty text has none."""
-    lines = F.split(F.regexp_replace(text, r"\r\n|\r", "\n"), "\n")
-    kept = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
-    return F.transform(kept, F.length)
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(_without_last_end(text), "\n"), F.length))
+
+
+def longest_line(text: Column) -> Column:
+    return F.coalesce(F.array_max(line_lengths(text)), F.lit(0))
 
 
-def length_summary(lengths: Column) -> Column:
-    """(n, total, longest) of an array of lengths, in one pass over it."""
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("longest"))
-    return F.aggregate(lengths, start, lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["total"] + x).alias("total"), F.greatest(a["longest"], x.cast("bigint")).alias("longest")))
+def line_summary(text: Column) -> Column:
+    """(n, total, longest) of the lines: their number, all their characters, the longest."""
+    bare = _without_last_end(text)
+    ends = F.length(bare) - F.length(F.replace(bare, F.lit("\n"), F.lit("")))
+    n = F.when(text == "", 0).otherwise(ends + 1).cast("bigint")
+    return F.struct(n.alias("n"), (F.length(bare) - ends).cast("bigint").alias("total"), longest_line(text).cast("bigint").alias("longest"))
 
 
 def non_alnum_ratio(text: Column) -> Column:

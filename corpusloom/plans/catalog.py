@@ -89,7 +89,7 @@ def placed(spark: SparkSession, d: str) -> DataFrame:
 def code_files(spark: SparkSession, d: str, **derived: Column) -> DataFrame:
     """One row per file with text: repository, path and what is derived from its ``content``."""
     rows = latest_files(
-        table(spark, d, "stack_file"), repo=F.lower(F.trim("max_stars_repo_name")), path=F.col("max_stars_repo_path"), ord=F.col("file_id"),
+        table(spark, d, "stack_file", "file_id") if derived else table(spark, d, "stack_file"), repo=F.lower(F.trim("max_stars_repo_name")), path=F.col("max_stars_repo_path"), ord=F.col("file_id"),
         _text=F.coalesce(F.col("content") != "", F.lit(False)), **derived,
     )
     return rows.where("repo <> '' and path <> '' and _text").drop("_text")
@@ -320,7 +320,7 @@ _LINKS = r"""select doc_id, unnest(regexp_extract_all(text, '\[[^!\]]*?\]\((.*?)
 
 @query(f"select doc_id, string_agg(i, '|' order by i) as links from (select distinct doc_id, {_norm('t')} as i from ({_LINKS})) group by 1")
 def md_links(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", lnk.link_identifiers(F.col("text")).alias("l"))
+    rows = table(spark, d, "documents", "doc_id").select("doc_id", lnk.link_identifiers(F.col("text")).alias("l"))
     return rows.where(F.size("l") > 0).select("doc_id", F.array_join("l", "|").alias("links"))
 
 
@@ -442,9 +442,8 @@ _STATS = """st as (select file_id, length(content) as chars, len(regexp_extract_
 
 @query(f"with {_F}, {_STATS} select file_id, chars, words, len(ll) as n_lines, coalesce(list_max(ll), 0) as longest_line, round(coalesce(list_avg(ll), 0), 6) as mean_line, round(odd, 6) as odd_share from st")
 def content_stats(spark: SparkSession, d: str) -> DataFrame:
-    lengths = cs.line_lengths(F.col("content"))
     rows = code_files(
-        spark, d, chars=F.length("content").cast("bigint"), words=cs.word_count(F.col("content")).cast("bigint"), lines=cs.length_summary(lengths), odd=cs.non_alnum_ratio(F.col("content"))
+        spark, d, chars=F.length("content").cast("bigint"), words=cs.word_count(F.col("content")).cast("bigint"), lines=cs.line_summary(F.col("content")), odd=cs.non_alnum_ratio(F.col("content"))
     )
     mean = F.when(F.col("lines.n") > 0, F.col("lines.total") / F.col("lines.n")).otherwise(0.0)
     return rows.select("file_id", "chars", "words", F.col("lines.n").alias("n_lines"), F.col("lines.longest").alias("longest_line"), F.round(mean, 6).alias("mean_line"), F.round("odd", 6).alias("odd_share"))
@@ -455,7 +454,7 @@ def content_stats(spark: SparkSession, d: str) -> DataFrame:
  round(100.0 * avg(case when odd > 0.35 then 1 else 0 end), 6) as odd_pct, max(words) as max_words, round(100.0 * avg(case when words > 0 and chars / words > 12 then 1 else 0 end), 6) as dense_pct, median(chars) as median_chars from st""")
 def content_totals(spark: SparkSession, d: str) -> DataFrame:
     """Totals over the files, with the counters of suspicious ones."""
-    s = code_files(spark, d, chars=F.length("content").cast("bigint"), words=cs.word_count(F.col("content")), longest=cs.length_summary(cs.line_lengths(F.col("content")))["longest"], odd=cs.non_alnum_ratio(F.col("content")))
+    s = code_files(spark, d, chars=F.length("content").cast("bigint"), words=cs.word_count(F.col("content")), longest=cs.longest_line(F.col("content")), odd=cs.non_alnum_ratio(F.col("content")))
     share = lambda c: F.round(100 * F.avg(F.coalesce(c, F.lit(False)).cast("int")), 6)
     return s.agg(
         F.count("*").alias("n_files"), F.sum("chars").alias("total_chars"), F.max("chars").alias("max_chars"), F.sum("words").alias("total_words"), share(F.col("chars") < 200).alias("tiny_pct"),
@@ -830,7 +829,7 @@ _WIKI = """(select doc_id, '<!-- ' || title || ' -->''''''' || title || '''''''
 def _wiki(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("title")
     parts = [F.lit("<!-- "), t, F.lit(" -->'''"), t, F.lit("''' is [["), t, F.lit("|"), F.lower(t), F.lit("]]s.<ref name=\"a\">x</ref> ''italic'' (18081877) {{val|"), F.col("doc_id").cast("string"), F.lit("|u}}\n* one\n** two\n: quote\n;Term\n[http://a.example/x "), t, F.lit("] <math>a=b</math> H<sub>2</sub>O<br/>end\nFile:x.png|y")]
-    return table(spark, d, "documents").where("title is not null").select("doc_id", F.concat(*parts).alias("t"))
+    return table(spark, d, "documents", "doc_id").where("title is not null").select("doc_id", F.concat(*parts).alias("t"))
 
 
 _RX = {

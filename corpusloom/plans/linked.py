@@ -88,7 +88,7 @@ def _char_tokens(texts: pd.Series) -> pd.Series:
  from w where contains(before, '[') and contains(ahead, ')') and regexp_replace(substr(ahead, 1, strpos(ahead, ')') - 1), '\\s', '', 'g') <> ''""")
 def md_token_links(spark: SparkSession, d: str) -> DataFrame:
     """Markdown links in the articles' character tokens, ``](`` being one token."""
-    rows = table(spark, d, "documents").where(~F.contains("text", F.lit("\x01"))).select("doc_id", _char_tokens("text").alias("tokens"))
+    rows = table(spark, d, "documents", "doc_id").where(~F.contains("text", F.lit("\x01"))).select("doc_id", _char_tokens("text").alias("tokens"))
     return detectors.detected_links(rows, detectors.char_markdown_links, "doc_id")
 
 
@@ -121,7 +121,7 @@ def py_token_imports(spark: SparkSession, d: str) -> DataFrame:
     """Files that imports may stand for, in the character tokens of the code files, each with
     the position at which its statement ends."""
     kept = catalog.code_files(spark, d).select("file_id")
-    files = table(spark, d, "stack_file").where("content <> '' and file_id is not null").select("file_id", _char_tokens("content").alias("tokens"))
+    files = table(spark, d, "stack_file", "file_id").where("content <> '' and file_id is not null").select("file_id", _char_tokens("content").alias("tokens"))
     found = detectors.detected_links(files, detectors.char_import_links, "file_id").distinct()
     return found.join(kept, "file_id", "left_semi")
 
@@ -139,7 +139,7 @@ def _closes(token: int) -> bool:
 @query()
 def context_generation(spark: SparkSession, d: str) -> DataFrame:
     """Every article written anew as the root of a context, its links followed while it is written."""
-    docs = materialize(table(spark, d, "documents").where("doc_id is not null").select("doc_id", "title", _char_tokens("text").alias("tokens")), "article-tokens")
+    docs = materialize(table(spark, d, "documents", "doc_id").where("doc_id is not null").select("doc_id", "title", _char_tokens("text").alias("tokens")), "article-tokens")
     found = detectors.detected_links(docs, detectors.char_markdown_links, "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_set("target")).alias("links"))
     titled = docs.where("title <> ''").groupBy(F.col("title").alias("target")).agg(F.min("doc_id").alias("doc_id"))
     known = titled.join(docs.select("doc_id", F.size("tokens").cast("bigint").alias("length")), "doc_id").where("length > 0").join(found, "doc_id", "left").dropDuplicates(["target"])

@@ -2,15 +2,46 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.files import open_system
+
 #: Blanks and tabs, the characters that "trimmed" removes in this project's data.
 TRIM_CHARS = " \t"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """A table; with ``spread_by`` for work that is heavy per row (see ``spread``)."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows if spread_by is None else spread(rows, spread_by)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a file table dealt out over the cores, if the scan can't occupy them.
+
+    A row group is read by one task.  Where a table has fewer row groups than there are cores,
+    most cores would idle through work that is heavy per row, and moving the (few) rows is
+    cheap against it; a table with more row groups is left alone, so large texts aren't shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    files = rows.inputFiles()
+    if len(files) >= cores:
+        return rows
+    try:
+        groups = sum(_row_groups(f) for f in files)
+    except Exception:  # noqa: BLE001 - a file system that only the JVM reads
+        return rows
+    return rows if groups >= cores else rows.repartition(cores, key)
+
+
+def _row_groups(file: str) -> int:
+    system, path = open_system(unquote(file))
+    with system.open_input_file(path) as found:
+        return pq.ParquetFile(found).num_row_groups
 
 
 def trimmed(col: Column | str) -> Column:
