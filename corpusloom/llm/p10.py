@@ -12,7 +12,7 @@ SPAN = 400
 
 
 def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return text_classes(table(spark, d, "documents").where(F.length("text") >= SPAN).select("doc_id", "text"), "doc_id")
+    return text_classes(table(spark, d, "documents", "doc_id").where(F.length("text") >= SPAN).select("doc_id", "text"), "doc_id")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

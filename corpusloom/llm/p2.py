@@ -12,7 +12,7 @@ from corpusloom.tables import table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return credential_spans(table(spark, d, "stack_file")).where("begins").select("file_id", "line_no").distinct()
+    return credential_spans(table(spark, d, "stack_file", "file_id")).where("begins").select("file_id", "line_no").distinct()
 
 
 def p2_redact(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +32,7 @@ def p2_redact(spark: SparkSession, d: str) -> DataFrame:
             rows.append((redact(text, [(s, e) for _, s, e, _ in spans]) if spans else text, len(spans)))
         return pd.DataFrame(rows, columns=["content", "n_spans"])
 
-    files = table(spark, d, "stack_file")
+    files = table(spark, d, "stack_file", "file_id")
     return files.withColumn("_m", masked("content")).withColumn("content", F.col("_m.content")).withColumn("n_spans", F.col("_m.n_spans")).drop("_m")
 
 

@@ -10,7 +10,7 @@ from corpusloom.tables import table
 
 
 def _kinds(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "stack_file").select("file_id", F.col("max_stars_repo_name").alias("repo"), "content")
+    files = table(spark, d, "stack_file", "file_id").select("file_id", F.col("max_stars_repo_name").alias("repo"), "content")
     return kinds(files, table(spark, d, "upstream_file").select("home_repo", "content"))
 
 

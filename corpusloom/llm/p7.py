@@ -16,7 +16,7 @@ def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     split = cleaned_split("split")
     nodes = valid_lines(table(spark, d, "tokenized_graph"), "node_id", "split").select(F.col("normed_identifier").alias("key"), "node_id", split.alias("split"))
     nodes = nodes.where(F.col("split").isin("train", "val_community", "val_random"))
-    files = table(spark, d, "stack_file").select(trimmed("normed_identifier").alias("key"), F.col("content").alias("text")).where("key is not null")
+    files = table(spark, d, "stack_file", "file_id").select(trimmed("normed_identifier").alias("key"), F.col("content").alias("text")).where("key is not null")
     prints = fingerprints(files)
     side = F.when(F.col("split") == "train", "train").otherwise("eval")
     tagged = materialize(prints.join(nodes, "key").select("key", "node_id", "split", side.alias("side"), "set_id", "n_shingles", "code").dropDuplicates(["node_id", "set_id"]), "fp-nodes")

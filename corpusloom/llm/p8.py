@@ -13,7 +13,7 @@ PARAPHRASE_COSINE = 0.6
 
 
 def _leaks(spark: SparkSession, d: str, paraphrase: float | None) -> DataFrame:
-    return find_leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_item").select("item_id", "passage"), RUN_WORDS, paraphrase_cosine=paraphrase)
+    return find_leaks(table(spark, d, "documents", "doc_id").select("doc_id", "text"), table(spark, d, "eval_item").select("item_id", "passage"), RUN_WORDS, paraphrase_cosine=paraphrase)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ from corpusloom.tables import cleaned_split, table
 
 def _mixed(spark: SparkSession, d: str, total_factor: float | None = None) -> tuple[DataFrame, DataFrame]:
     # a source is cleaned as a split is: trimmed, lower case, "-" read as "_"
-    docs = table(spark, d, "documents").select("doc_id", cleaned_split("source").alias("source"), F.lower(F.trim("lang")).alias("lang"), "text").where("source is not null and text <> ''")
+    docs = table(spark, d, "documents", "doc_id").select("doc_id", cleaned_split("source").alias("source"), F.lower(F.trim("lang")).alias("lang"), "text").where("source is not null and text <> ''")
     targets = table(spark, d, "mix_target").select(cleaned_split("source").alias("source"), "target_share", "max_repeat")
     counted = with_token_counts(docs).select("doc_id", "source", "lang", "n_tokens")
     counted = materialize(counted, "token-counts")
