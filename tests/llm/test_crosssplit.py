@@ -34,6 +34,27 @@ def test_pairs_equal_brute_force(spark):
     assert len(want) > 50 and got == want
 
 
+def test_recall_just_above_the_threshold(spark):
+    """Pairs of a similarity between 0.70 and 0.74 are found by segments and radius."""
+    rng = random.Random(21)
+    texts, want = [], set()
+    while len(want) < 400:
+        base = [f"w{rng.randrange(50_000)}" for _ in range(rng.randrange(60, 160))]
+        other = list(base)
+        for at in rng.sample(range(len(base)), max(1, round(len(base) * 0.057))):
+            other[at] = f"v{rng.randrange(50_000)}"
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        if 0.70 <= len(a & b) / len(a | b) < 0.74:
+            k = len(want)
+            texts += [(f"t{k}", " ".join(base), "train"), (f"e{k}", " ".join(other), "eval")]
+            want.add((f"t{k}", f"e{k}"))
+    df = spark.createDataFrame(texts, "key string, text string, side string")
+    tagged = cs.fingerprints(df).join(df.select("key", "side"), "key")
+    names = {r.set_id: r.key for r in tagged.select("set_id", "key").collect()}
+    got = {(names[r.set_a], names[r.set_b]) for r in cs.cross_pairs(tagged, df, 0.7).collect()}
+    assert len(got & want) >= 0.995 * len(want)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "key string, text string")
     tagged = cs.fingerprints(none).join(spark.createDataFrame([], "key string, side string"), "key")
