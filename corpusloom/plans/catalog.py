@@ -823,12 +823,12 @@ def lm_shift(spark: SparkSession, d: str) -> DataFrame:
 
 # wikitext assembled from titles, the same on both engines
 _WIKI = """(select doc_id, '<!-- ' || title || ' -->''''''' || title || ''''''' is [[' || title || '|' || lower(title) || ']]s.<ref name="a">x</ref> ''''italic'''' (18081877) {{val|' || doc_id || '|u}}' || chr(10) ||
- '* one' || chr(10) || '** two' || chr(10) || ': quote' || chr(10) || ';Term' || chr(10) || '[http://a.example/x ' || title || '] <math>a=b</math> H<sub>2</sub>O<br/>end' || chr(10) || 'File:x.png|y' as t from documents where title is not null)"""
+ '* one' || chr(10) || '** two' || chr(10) || ': quote' || chr(10) || ';Term' || chr(10) || '[http://a.example/x ' || title || '] <math>a=b</math> H<sub>2</sub>O<br/>end' || chr(10) || 'File:x.png|y' || chr(10) || '{{ship-stub}}' || chr(10) || '{{-}}' || chr(10) || chr(10) || ' ' || chr(10) || chr(10) || chr(9) || chr(10) || 'tail' || chr(10) || chr(10) as t from documents where title is not null)"""
 
 
 def _wiki(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("title")
-    parts = [F.lit("<!-- "), t, F.lit(" -->'''"), t, F.lit("''' is [["), t, F.lit("|"), F.lower(t), F.lit("]]s.<ref name=\"a\">x</ref> ''italic'' (18081877) {{val|"), F.col("doc_id").cast("string"), F.lit("|u}}\n* one\n** two\n: quote\n;Term\n[http://a.example/x "), t, F.lit("] <math>a=b</math> H<sub>2</sub>O<br/>end\nFile:x.png|y")]
+    parts = [F.lit("<!-- "), t, F.lit(" -->'''"), t, F.lit("''' is [["), t, F.lit("|"), F.lower(t), F.lit("]]s.<ref name=\"a\">x</ref> ''italic'' (18081877) {{val|"), F.col("doc_id").cast("string"), F.lit("|u}}\n* one\n** two\n: quote\n;Term\n[http://a.example/x "), t, F.lit("] <math>a=b</math> H<sub>2</sub>O<br/>end\nFile:x.png|y\n{{ship-stub}}\n{{-}}\n\n \n\n\t\ntail\n\n")]
     return table(spark, d, "documents", "doc_id").where("title is not null").select("doc_id", F.concat(*parts).alias("t"))
 
 
@@ -845,6 +845,8 @@ _RX = {
     "file_references": "regexp_replace(t, '(?mi)^File:[^\\n]*$', '', 'g')",
     "scripts": "regexp_replace(t, '(?si)<sub.*?>(.*?)</sub>', '_\\1', 'g')",
     "plain_tags": "regexp_replace(t, '(?i)<br\\s*/?>', chr(10), 'g')",
+    "stub_templates": "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?mi)^\\s*\\{\\{[^}]*stub[^}]*\\}\\}\\s*$', '', 'g'), '(?mi)^\\s*\\{\\{-\\}\\}\\s*$', '', 'g'), '(?mi)^\\s*\\{\\{clear\\}\\}\\s*$', '', 'g'), '(?mi)^\\s*\\{\\{shapes\\}\\}\\s*$', '', 'g'), '(?mi)^\\s*\\{\\{[^}]*nav[^}]*\\}\\}\\s*$', '', 'g'), '(?mi)^\\s*\\{\\{[a-zA-Z-]{1,20}\\}\\}\\s*$', '', 'g')",
+    "blank_lines": "regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\A\\s*\\z', ''), '\\A(?:[^\\S\\n]*\\n)+', ''), '(?:\\n[^\\S\\n]*)+\\z', ''), '(?m)(^(?:[^\\S\\n]*\\n){2})(?:[^\\S\\n]*\\n)+', '\\1', 'g')",
     "leftover_links": "replace(replace(t, '[[', ''), ']]', '')",
 }
 

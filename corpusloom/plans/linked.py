@@ -4,7 +4,7 @@ packed datasets, with SQL where SQL can say the same."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from corpusloom.functions import imports as imp
 from corpusloom.operators import corpus, detectors, logits, masks, nodesplits, packs, traversal
 from corpusloom.plans import catalog
 from corpusloom.session import materialize, shared_dir
-from corpusloom.sources import shards, sinks
+from corpusloom.sources import shards, sinks, vocabularies
 from corpusloom.sources import text as src
 from corpusloom.streaming import context as ctx
 from corpusloom.tables import cleaned_split, table, trimmed
@@ -359,3 +359,42 @@ def document_diffs(spark: SparkSession, d: str) -> DataFrame:
     """Unified differences between the two deliveries of a text in which line ends differ."""
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
     return docs.select("doc_id", corpus.unified_diff(F.col("text"), F.regexp_replace("text", r"\r\n?", "\n")).alias("diff")).where("diff <> ''")
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query("select doc_id, length(text) as n_chars, true as same from documents where text <> ''")
+def tokenizer_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Articles by way of a public byte-level vocabulary and back, compared with the text."""
+    docs = table(spark, d, "documents", "doc_id").where("text <> ''").select("doc_id", "text")
+    encoded = shards.encode_documents(docs, vocabularies.load(VOCABULARY), "text")
+
+    @F.pandas_udf("string")
+    def decoded(tokens: pd.Series) -> pd.Series:
+        vocabulary = vocabularies.open_vocabulary(VOCABULARY)
+        return tokens.map(lambda t: vocabulary.decode([int(x) for x in t]), na_action="ignore")
+
+    return encoded.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), (decoded("tokens") == F.col("text")).alias("same"))
+
+
+@query()
+def bpe_token_links(spark: SparkSession, d: str) -> DataFrame:
+    """Markdown links in the articles' tokens of a byte-level vocabulary, with token positions."""
+    vocabulary = vocabularies.open_vocabulary(VOCABULARY)
+    middles = tuple(k for k in range(vocabulary.size) if "](" in vocabulary.decode([k]))
+    openers = tuple(k for k in range(vocabulary.size) if vocabulary.decode([k]).endswith("["))
+    docs = table(spark, d, "documents", "doc_id").where("text <> ''").select("doc_id", "text")
+    tokens = shards.encode_documents(docs, vocabularies.load(VOCABULARY), "text").select("doc_id", "tokens")
+    return detectors.detected_links(tokens, _BpeLinks(VOCABULARY, middles, openers), "doc_id")
+
+
+class _BpeLinks:
+    """A detector that opens its vocabulary where it runs."""
+
+    def __init__(self, path: str, middles: tuple[int, ...], openers: tuple[int, ...]) -> None:
+        self.path, self.middles, self.openers = path, middles, openers
+
+    def __call__(self, tokens: Sequence[int]) -> list[tuple[int, str]]:
+        decode = vocabularies.open_vocabulary(self.path).decode
+        return detectors.markdown_links(tokens, lambda ids: decode([int(i) for i in ids]), self.middles, self.openers)

@@ -7,6 +7,7 @@ import gzip
 import re
 import shutil
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,12 @@ CUT_MARK = "...[truncated]"
 def read_articles(spark: SparkSession, path: str | Sequence[str], limit: int | None = None) -> DataFrame:
     """Articles of the main namespace with a source text; rows that don't parse are left out.
 
-    Folders are searched for ``*.json.gz`` at any depth.
+    Folders are searched for ``*.json.gz`` at any depth.  ``limit`` is the number of articles
+    taken from each of the paths.
     """
+    if limit is not None and not isinstance(path, str):
+        parts = [read_articles(spark, one, limit) for one in path]
+        return reduce(DataFrame.unionByName, parts)
     rows = spark.read.schema(schemas.ARTICLE).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").json(path)
     kept = rows.where("namespace = 0 and source_text is not null").withColumn("page_id", F.coalesce("page_id", F.lit(0)))
     return kept.limit(limit) if limit is not None else kept

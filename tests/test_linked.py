@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ from corpusloom import session
 from corpusloom.functions import imports as imp
 from corpusloom.operators import detectors as det
 from corpusloom.operators import joins, logits, masks, packs, traversal
-from corpusloom.sources import shards
+from corpusloom.sources import shards, vocabularies
 from corpusloom.streaming import context as ctx
 
 OPEN, MIDDLE, CLOSE = 1, 2, 3
@@ -127,6 +128,18 @@ def test_pretokenized_graph_reads_back(spark, tmp_path):
         assert got == {"a": ("pier", "train"), "c": ("quay é", None)}
 
 
+@pytest.mark.skipif(not os.path.isdir("/opt/tokenizers"), reason="no vocabulary files")
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"])
+def test_vocabulary_files(spark, name):
+    text = "North pier, 12 quays; naïve <|endoftext|>"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, content string")
+    got = {r.k: r.tokens for r in shards.encode_documents(docs, vocabularies.load(f"/opt/tokenizers/{name}")).collect()}
+    vocabulary = vocabularies.open_vocabulary(f"/opt/tokenizers/{name}")
+    assert vocabulary.decode(got[1]) == text and got[2] is None and got[3] == [] and max(got[1]) < vocabulary.size
+    with pytest.raises(ValueError):
+        vocabularies.open_vocabulary("x.txt")
+
+
 def test_broadcast_side_is_checked_in_rows_and_bytes(spark):
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() or "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
     df = spark.createDataFrame([(k, "x" * 1000, [1]) for k in range(20)], "k int, t string, a array<int>")

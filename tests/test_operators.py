@@ -236,6 +236,9 @@ def test_readers(spark, tmp_path):
     (tmp_path / "w").mkdir()
     (tmp_path / "w" / "x.json").write_text('{"namespace":0,"title":"T","source_text":"s","page_id":1}\n{"namespace":1,"title":"U","source_text":"s"}\nnot json\n{"namespace":0,"title":"V"}\n')
     assert [r.title for r in src.read_articles(spark, str(tmp_path / "w")).collect()] == ["T"]
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "y.json").write_text("\n".join(json.dumps({"namespace": 0, "title": f"Y{k}", "source_text": "s"}) for k in range(3)))
+    assert src.read_articles(spark, [str(tmp_path / "w"), str(tmp_path / "v")], 2).count() == 3
     docs = spark.createDataFrame([("doc_a", "Doc A", "first\nbody"), ("1x", "1x", "")], "normed_identifier string, raw_identifier string, body string")
     assert sinks.write_markdown_files(docs, str(tmp_path / "md")) == 2
     got = {r.normed_identifier: (r.raw_identifier, r.content) for r in src.read_markdown_folder(spark, str(tmp_path / "md")).collect()}
