@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,3 +63,13 @@ def edge_bucket(value: Column, edges: list[int]) -> Column:
     for k in range(len(edges) - 1, -1, -1):
         out = F.when(value < edges[k], k).otherwise(out)
     return out
+
+
+def histogram_quantiles(histogram: DataFrame, quantiles: Sequence[float], low: str = "low", n: str = "n") -> DataFrame:
+    """(q, low): the first bucket at which the running share reaches each quantile.
+
+    The histogram has one row per bucket, so the running sum is over a small table.
+    """
+    running = histogram.select(F.col(low).alias("low"), F.sum(n).over(Window.orderBy(low)).alias("_cum"), F.sum(n).over(Window.partitionBy()).alias("_total"))
+    asked = F.explode(F.array(*[F.lit(q).cast("double") for q in quantiles])).alias("q")
+    return running.select("low", "_cum", "_total", asked).where(F.col("_cum") >= F.col("_total") * F.col("q")).groupBy("q").agg(F.min("low").alias("low"))

@@ -108,6 +108,18 @@ def may_see(asked: DataFrame, spans: DataFrame, granted: DataFrame) -> DataFrame
     return placed.join(hits, ["pack_id", "q", "k"], "left").select("pack_id", "q", "k", ((F.col("q") >= F.col("k")) & (same | F.coalesce("_granted", F.lit(False)))).alias("allowed"))
 
 
+def visible_ranges(spans: DataFrame, granted: DataFrame) -> DataFrame:
+    """(pack_id, q, k_start, k_end): the rows of the dense mask as half-open ranges of keys, one
+    for the query's own document and one for each other document granted to it.
+
+    This has a row per token and granted document: take the packs that are to be looked at.
+    """
+    own = spans.select("pack_id", F.explode(F.sequence("span_start", F.col("span_end") - 1)).alias("q"), F.col("span_start").alias("k_start")).withColumn("k_end", F.col("q") + 1)
+    apart = granted.where("source_id <> target_id").groupBy("pack_id", "source_id", "target_id", "q_end", "kv_start", "kv_end").agg(F.min("q_start").alias("q_start"))
+    more = apart.select("pack_id", F.explode(F.sequence("q_start", F.col("q_end") - 1)).alias("q"), F.col("kv_start").alias("k_start"), F.col("kv_end").alias("k_end"))
+    return own.unionByName(more)
+
+
 def grant_bitmasks(granted: DataFrame, cap: int = 256) -> DataFrame:
     """Per pack, side, position and chunk of 64 grants: the bits of the grants that hold there."""
     used = granted.where(F.col("grant_idx") < cap)

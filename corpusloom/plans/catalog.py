@@ -473,11 +473,9 @@ def content_hist_pow2(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{_HIST}, c as (select low, sum(n) over (order by low) as cum, sum(n) over () as total from h)
- select q, min(low) as low from c, (select unnest([0.5, 0.9, 0.99]) as q) where cum >= total * q group by 1""")
+ select q, min(low) as low from c, (select unnest([0.5, 0.9, 0.99]::double[]) as q) where cum >= total * q group by 1""")
 def hist_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    h = content_hist_pow2(spark, d)
-    c = h.withColumn("cum", F.sum("n").over(Window.orderBy("low"))).withColumn("total", F.sum("n").over(Window.partitionBy()))  # at most 64 buckets
-    return c.select("low", "cum", "total", F.explode(F.array(*[F.lit(q).cast("double") for q in (0.5, 0.9, 0.99)])).alias("q")).where("cum >= total * q").groupBy("q").agg(F.min("low").alias("low"))
+    return cs.histogram_quantiles(content_hist_pow2(spark, d), (0.5, 0.9, 0.99))
 
 
 @query(f"""with {_F}, s as (select md5(trim(regexp_replace(substr(content, 1, 4096), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+', ' ', 'g'))) as sig, count(*) as n from files group by 1)

@@ -56,6 +56,17 @@ def linked_mask_density(spark: SparkSession, d: str) -> DataFrame:
     return masks.linked_pairs(cut.join(lengths, "pack_id"), granted, length).withColumn("share_of_causal", F.round("share_of_causal", 9))
 
 
+@query(f"""with {_SEEN}, o as (select pack_id, unnest(range(a, b)) as q, a from cutspan),
+ t as (select pack_id, q, sum(n) as n from (select pack_id, q, q - a + 1 as n from o union all select pack_id, q, n from (select distinct pack_id, q, target_id, n from q)) group by 1, 2)
+ select pack_id, count(*) as n_queries, cast(sum(n) as bigint) as n_pairs, cast(max(n) as bigint) as most_keys from t group by 1""")
+def dense_mask_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the dense linked mask, counted per pack."""
+    spans, granted = catalog.spans_and_grants(spark, d)
+    cut = spans.where("span_start < 2047").withColumn("span_end", F.least("span_end", F.lit(2047)))
+    rows = masks.visible_ranges(cut, granted).groupBy("pack_id", "q").agg(F.sum(F.col("k_end") - F.col("k_start")).alias("n"))
+    return rows.groupBy("pack_id").agg(F.count("*").alias("n_queries"), F.sum("n").alias("n_pairs"), F.max("n").alias("most_keys"))
+
+
 @query(f"""with {catalog._GRANTS}, ends as (select pack_id, least(max(span_end), 2047) - 1 as q from span group by 1),
  asked as (select s.pack_id, e.q, s.span_end - s.length as k from span s join ends e using (pack_id) union select pack_id, span_end - length, span_end - length - 1 from span where span_end > length
    union select pack_id, span_end - length, span_end - 1 from span),

@@ -83,6 +83,8 @@ def test_linked_mask_by_brute_force(spark, seed):
         if doc(p, q) == doc(p, k) or linked:
             want.add((p, q, k))
     assert got == want
+    dense = {(r.pack_id, r.q, k) for r in masks.visible_ranges(s, granted).collect() for k in range(r.k_start, r.k_end)}
+    assert dense == {x for x in want if x[1] < total[x[0]] and x[2] < total[x[0]]}
     lengths = spark.createDataFrame(list(total.items()), "pack_id bigint, t bigint")
     pairs = {r.pack_id: r.allowed for r in masks.linked_pairs(s.join(lengths, "pack_id"), granted, F.col("t")).collect()}
     assert pairs == {p: sum(x[0] == p and x[1] < total[p] and x[2] < total[p] for x in want) for p in range(4)}
