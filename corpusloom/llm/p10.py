@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.spans import shared_alignments, shared_cover, text_classes
+from corpusloom.llm.spans import shared_cover, shared_groups, text_classes
+from corpusloom.session import materialize
 from corpusloom.tables import table
 
 SPAN = 400
@@ -17,13 +18,11 @@ def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     texts, members = _classes(spark, d)
-    spans = shared_alignments(texts, SPAN)
-    a = members.select(F.col("tid").alias("tid_a"), F.col("doc_id").alias("x"))
-    b = members.select(F.col("tid").alias("tid_b"), F.col("doc_id").alias("y"))
-    across = spans.select("tid_a", "tid_b").distinct().join(a, "tid_a").join(b, "tid_b").select("x", "y")
-    within = a.join(b, F.col("tid_a") == F.col("tid_b")).where("x < y").select("x", "y")
-    both = across.unionByName(within).where("x <> y")
-    return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
+    copies = members.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select(F.concat(F.lit("="), F.col("tid").cast("string")).alias("window"), "tid")
+    groups = shared_groups(texts, SPAN).unionByName(copies).join(members.select("tid", "doc_id"), "tid")
+    groups = materialize(groups.select("window", "doc_id").distinct(), "span-groups")
+    other = groups.select("window", F.col("doc_id").alias("doc_id_b"))
+    return groups.withColumnRenamed("doc_id", "doc_id_a").join(other, "window").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
 
 
 def p10_report(spark: SparkSession, d: str) -> DataFrame:

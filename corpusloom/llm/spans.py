@@ -5,12 +5,13 @@
 2. Passages that occur in two or more different texts are confirmed as recurring.
 3. Recurring passages are compiled into sharded Aho-Corasick automata and all texts that
    hold any of them are streamed through the shards that hold their passages.
-4. Every occurrence is keyed by the texts' longer surroundings, texts that share such a
-   key are aligned, and the alignments are verified on the whole texts.
+4. Every occurrence is keyed by the texts' longer surroundings; around keys that two or more
+   texts hold, all windows of ``span`` characters are hashed, and those in two or more texts
+   are what is shared.
 
 Equal texts form one class, of which one text is searched.  Every number of occurrences
-is handled: a shard's stretches are salted by their size, and aligned pairs come from an
-equi-join on keys of ``span - step`` characters.
+is handled: a shard's stretches are salted by their size, and results are memberships of
+windows, from which pairs are made only where pairs are asked for.
 
 Defined results: null and short texts (under ``span`` characters) share nothing; repeated
 rows of one document count once; characters are code points and nothing is normalised;
@@ -129,12 +130,12 @@ def _keyed_windows(docs: DataFrame, span: int, gram: int, step: int) -> tuple[Da
     return keyed.join(several, "key", "left_semi"), texts
 
 
-def shared_cover(docs: DataFrame, span: int = 400, gram: int = GRAM, step: int = STEP) -> DataFrame:
-    """(tid, covered): how many characters of a text lie in spans that stand in another text.
+def shared_windows(docs: DataFrame, span: int = 400, gram: int = GRAM, step: int = STEP) -> tuple[DataFrame, DataFrame]:
+    """(h, tid, pos) of windows of exactly ``span`` characters that stand in two or more texts,
+    and the (tid, text) of texts with recurring passages; ``docs`` has tid and text.
 
-    No pair of texts is made, so that a span may stand in any number of them: windows of
-    exactly ``span`` characters around the shared keys are hashed, and those that stand in two
-    or more texts cover their characters.
+    Every span of that length which two texts share is among them: it holds a recurring passage
+    and with it a shared key, and all windows of the span's length around a key are looked at.
     """
     keyed, texts = _keyed_windows(docs, span, gram, step)
     w = Window.partitionBy("tid").orderBy("pos")
@@ -152,37 +153,29 @@ def shared_cover(docs: DataFrame, span: int = 400, gram: int = GRAM, step: int =
 
     hashed = materialize(lists.join(texts, "tid").select("tid", "runs", "text").mapInPandas(windows, "h bigint, tid bigint, pos int"), "span-windows")
     shared = hashed.groupBy("h").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo <> hi").select("h")
-    starts = hashed.join(shared, "h", "left_semi").select("tid", "pos").distinct()
-    gap = F.coalesce(F.col("pos") - F.lag("pos").over(w), F.lit(span))
-    return starts.withColumn("gap", gap).groupBy("tid").agg(F.sum(F.least("gap", F.lit(span))).alias("covered"))
+    return hashed.join(shared, "h", "left_semi"), texts
 
 
-def shared_alignments(docs: DataFrame, span: int = 400, gram: int = GRAM, step: int = STEP) -> DataFrame:
-    """(tid_a, tid_b, start_a, start_b, length): maximal common runs of at least ``span``
-    characters between different texts; ``docs`` has tid and text (length >= span).
+def shared_cover(docs: DataFrame, span: int = 400, gram: int = GRAM, step: int = STEP) -> DataFrame:
+    """(tid, covered): how many characters of a text lie in spans that stand in another text.
 
-    The result lists pairs; ``shared_cover`` answers without any.
+    No pair of texts is made, so that a span may stand in any number of them.
     """
-    keyed, texts = _keyed_windows(docs, span, gram, step)
-    a = keyed.select("key", F.col("tid").alias("tid_a"), F.col("pos").alias("pos_a"))
-    b = keyed.select("key", F.col("tid").alias("tid_b"), F.col("pos").alias("pos_b"))
-    diagonals = a.join(b, "key").where("tid_a < tid_b").groupBy("tid_a", "tid_b").agg(F.collect_set(F.col("pos_a") - F.col("pos_b")).alias("shifts"))
-    aligned = diagonals.join(texts.select(F.col("tid").alias("tid_a"), F.col("text").alias("text_a")), "tid_a").join(texts.select(F.col("tid").alias("tid_b"), F.col("text").alias("text_b")), "tid_b")
+    starts = shared_windows(docs, span, gram, step)[0].select("tid", "pos").distinct()
+    gap = F.coalesce(F.col("pos") - F.lag("pos").over(Window.partitionBy("tid").orderBy("pos")), F.lit(span))
+    return starts.withColumn("gap", gap).groupBy("tid").agg(F.sum(F.least("gap", F.lit(span))).alias("covered"))
 
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for ta, tb, shifts, xa, xb in zip(frame["tid_a"], frame["tid_b"], frame["shifts"], frame["text_a"], frame["text_b"], strict=True):
-                ca, cb = tk.code_points(xa), tk.code_points(xb)
-                for shift in shifts:
-                    a0, b0 = max(shift, 0), max(-shift, 0)
-                    n = min(len(ca) - a0, len(cb) - b0)
-                    same = np.zeros(n + 2, dtype=np.int8)
-                    same[1:-1] = ca[a0 : a0 + n] == cb[b0 : b0 + n]
-                    turn = np.diff(same)
-                    for s, e in zip(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1), strict=True):
-                        if e - s >= span:
-                            out.append((ta, tb, int(a0 + s), int(b0 + s), int(e - s)))
-            yield pd.DataFrame(out, columns=["tid_a", "tid_b", "start_a", "start_b", "length"])
-
-    return materialize(aligned.mapInPandas(verify, "tid_a bigint, tid_b bigint, start_a int, start_b int, length int"), "alignments")
+
+def shared_groups(docs: DataFrame, span: int = 400, gram: int = GRAM, step: int = STEP) -> DataFrame:
+    """(window, tid): membership of texts in groups that share a span; two texts share one
+    exactly if they are together in a group.
+
+    A span in m texts gives m rows here.  Of all windows that stand in the same texts one is
+    kept, and its characters are compared: ``window`` is their digest.
+    """
+    found, texts = shared_windows(docs, span, gram, step)
+    holders = materialize(found.groupBy("h", "tid").agg(F.min("pos").alias("pos")), "span-holders")
+    sets = holders.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("tid")).alias("x"), F.bit_xor(F.xxhash64("tid", F.lit(1))).alias("y"))
+    kept = sets.groupBy("n", "x", "y").agg(F.min("h").alias("h")).select("h")
+    rows = holders.join(kept, "h").join(texts, "tid")
+    return rows.select(F.md5(F.expr(f"substring(text, pos + 1, {span})")).alias("window"), "tid").distinct()
