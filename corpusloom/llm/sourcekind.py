@@ -52,7 +52,7 @@ VENDORED_SHARE = 0.5
 #: Files with fewer tokens in rules must share all of them, as must the package's file.
 SMALL_TOKENS = 16
 #: Characters of one batch of texts, which bounds the kernels' memory.
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 500_000
 #: Bits of the filter that lets through rules which may occur in a package.
 FILTER_BITS = 1 << 22
 
@@ -233,7 +233,8 @@ def kinds(files: DataFrame, packages: DataFrame) -> DataFrame:
     source = files.where("file_id is not null and content is not null and trim(content) <> ''").select("file_id", F.lower(F.trim("repo")).alias("repo"), "content")
     looked = materialize(source.mapInPandas(look, "file_id bigint, kind string, repo string, rule bigint, width bigint, total bigint"), "file-rules")
     own = looked.where("kind is not null").select("file_id", "kind").distinct()
-    theirs = looked.where("kind is null").select("file_id", "repo", "rule", "width", "total").distinct()
+    # by file, so that neither the repeated deliveries nor the sums per package shuffle again
+    theirs = looked.where("kind is null").select("file_id", "repo", "rule", "width", "total").repartition("file_id").distinct()
     pairs = theirs.join(package_rules.select("rule", "digest", "size").distinct(), "rule").groupBy("file_id", "repo", "total", "digest", "size").agg(F.sum("width").alias("common"))
     small = F.col("total") < SMALL_TOKENS
     close = F.when(small, (F.col("common") == F.col("total")) & (F.col("common") >= F.col("size"))).otherwise(F.greatest(F.col("common") / F.col("total"), F.col("common") / F.col("size")) >= VENDORED_SHARE)
