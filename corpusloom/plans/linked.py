@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from corpusloom.functions import identifiers as idn
 from corpusloom.functions import imports as imp
-from corpusloom.operators import corpus, detectors, logits, masks, nodesplits, packs, traversal
+from corpusloom.operators import corpus, detectors, graph, logits, masks, nodesplits, packs, traversal
 from corpusloom.plans import catalog
 from corpusloom.session import materialize, shared_dir
 from corpusloom.sources import shards, sinks, vocabularies
@@ -409,3 +409,76 @@ class _BpeLinks:
     def __call__(self, tokens: Sequence[int]) -> list[tuple[int, str]]:
         decode = vocabularies.open_vocabulary(self.path).decode
         return detectors.markdown_links(tokens, lambda ids: decode([int(i) for i in ids]), self.middles, self.openers)
+
+
+# ------------------------------------- what every right answer of a query without SQL has in common
+
+
+@query(f"with {catalog._V} select count(*) as n_nodes, 0 as n_unsettled from valid")
+def lpa_settled(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes whose community isn't the most frequent, smallest one among their neighbours."""
+    n, e = catalog.linked(spark, d)
+    labels = nodesplits.label_communities(n, e)
+    near = graph.undirected_edges(graph.internal_edges(n, e)).join(labels.select(F.col("id").alias("dst"), "community"), "dst")
+    votes = near.groupBy("src", "community").agg(F.count("*").alias("n"))
+    best = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("b")).select(F.col("src").alias("id"), F.col("b.community").alias("best"))
+    return labels.join(best, "id", "left").agg(F.count("*").alias("n_nodes"), F.sum(F.coalesce((F.col("best") != F.col("community")).cast("bigint"), F.lit(0))).alias("n_unsettled"))
+
+
+@query(f"""with {catalog._UE}, u as (select v.id, count(ue.b) as degree from valid v left join ue on ue.a = v.id group by 1), n as (select count(*) as n from u where degree >= 2)
+ select n as n_nodes, cast(round_even(0.05 * n, 0) as bigint) as n_random, 0 as n_thin, true as near_fraction from n""")
+def split_assignment_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Eligible nodes, those of val_random, nodes of val_community with fewer than two neighbours
+    in it, and whether val_community has two to seven of the five percent asked for."""
+    n, e = catalog.linked(spark, d, "char_count")
+    done = materialize(nodesplits.split_nodes(n, e, 2, 0.05, 0.05, seed=7), "assigned")
+    held = done.where("split = 'val_community'").select("id")
+    thin = graph.undirected_degrees(held, e).where("degree < 2").count()
+    share = F.sum((F.col("split") == "val_community").cast("int")) / F.count("*")
+    return done.agg(F.count("*").alias("n_nodes"), F.sum((F.col("split") == "val_random").cast("bigint")).alias("n_random"), F.lit(thin).cast("bigint").alias("n_thin"), share.between(0.02, 0.07).alias("near_fraction"))
+
+
+@query("select unnest(['random', 'random_walk', 'bfs', 'dfs', 'bfs_then_random']) as strategy, 32 as n_packs, 0 as n_wrong_packs, 0 as n_wrong_lengths")
+def sampled_pack_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Per strategy the packs of eight seeds, those over the budget or with a document twice, and
+    documents longer than they are or than the document budget."""
+    valid = catalog.lines(spark, d, "node_id", "tok_len", "outgoing").where("node_id is not null")
+    nodes = valid.select(F.col("node_id").alias("node"), F.col("tok_len").alias("whole"))
+    edges = materialize(catalog.id_edges_of(valid), "id-edges")
+    out = None
+    for strategy in ("random", "random_walk", "bfs", "dfs", "bfs_then_random"):
+        packed = traversal.sampled_packs(nodes.withColumnRenamed("whole", "length"), edges, list(range(8)), 4, strategy, packs.PackSettings(2048, 1024, order_mode="prefer_targets_first"))
+        rows = packed.join(nodes, "node").withColumn("bad", (F.col("length") > F.least("whole", F.lit(1024))) | (F.col("length") <= 0))
+        per = rows.groupBy("seed", "pack").agg(F.sum("length").alias("n"), F.count("*").alias("docs"), F.countDistinct("node").alias("different"), F.sum(F.col("bad").cast("bigint")).alias("bad"))
+        wrong = (F.col("n") > 2048) | (F.col("docs") != F.col("different"))
+        one = per.agg(F.lit(strategy).alias("strategy"), F.count("*").alias("n_packs"), F.sum(wrong.cast("bigint")).alias("n_wrong_packs"), F.sum("bad").alias("n_wrong_lengths"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""with {catalog._P}, l as (select p.pack_id from placed p join (select id, trim(unnest(outgoing), {catalog._T}) as t from valid) o on o.id = p.id where o.t <> '')
+ select count(distinct pack_id) as n_sessions, 0 as n_wrong_sessions, 0 as n_wrong_documents from l""")
+def context_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions, those over the limits of the context or without just one root, and documents
+    whose length isn't that of the corpus or whose depth is beyond the limit."""
+    settings = ctx.ContextSettings()
+    known = materialize(catalog._corpus(spark, d), "corpus")
+    rows = ctx.assemble_contexts(catalog._sessions(spark, d), known, settings).join(known.select(F.col("target").alias("identifier"), F.col("length").alias("whole")), "identifier", "left")
+    bad = ~F.col("is_root") & ((F.col("length") != F.coalesce("whole", F.lit(-1))) | ~F.col("depth").between(1, settings.max_link_depth + 1))
+    size = F.sum(F.when(F.col("active"), F.col("length")).otherwise(0))
+    per = rows.groupBy("session").agg(
+        size.alias("size"), F.sum((F.col("active") & ~F.col("is_root")).cast("int")).alias("aux"), F.sum(F.col("is_root").cast("int")).alias("roots"), F.sum(bad.cast("bigint")).alias("bad"),
+        (F.count(F.when(F.col("active"), 1)) - F.countDistinct(F.when(F.col("active"), F.col("identifier")))).alias("twice"),
+    )
+    wrong = (F.col("size") > settings.max_context) | (F.col("aux") > settings.max_aux_docs) | (F.col("roots") != 1) | (F.col("twice") > 0)
+    return per.agg(F.count("*").alias("n_sessions"), F.sum(wrong.cast("bigint")).alias("n_wrong_sessions"), F.sum("bad").alias("n_wrong_documents"))
+
+
+@query(f"""with {catalog._P}, l as (select p.pack_id from placed p join (select id, trim(unnest(outgoing), {catalog._T}) as t from valid) o on o.id = p.id where o.t <> '') select count(distinct pack_id) as n_sessions, 0 as n_different from l""")
+def context_stream_agrees(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions whose streamed context differs from the one assembled in a batch."""
+    streamed = catalog.context_stream(spark, d)
+    batch = ctx.assemble_contexts(catalog._sessions(spark, d).withColumn("root_length", F.lit(0)), catalog._corpus(spark, d), ctx.ContextSettings())
+    per = batch.groupBy("session").agg(F.sum(F.col("active").cast("int")).alias("docs"), F.sum((~F.col("active")).cast("int")).alias("gone"), F.sum(F.when(F.col("active"), F.col("length")).otherwise(0)).alias("size"))
+    same = (F.col("docs") == F.col("n_docs")) & (F.col("gone") == F.col("n_evicted")) & (F.col("size") == F.col("total_tokens"))
+    return per.join(streamed, "session", "full").agg(F.count("*").alias("n_sessions"), F.sum((~F.coalesce(same, F.lit(False))).cast("bigint")).alias("n_different"))
