@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.credentials import credential_spans, find_spans, redact, trained_field
+from corpusloom.llm.credentials import MASK, credential_spans, find_spans, redact, trained_field
 from corpusloom.llm.crf import ChainField
+from corpusloom.session import materialize
 from corpusloom.tables import table
 
 
@@ -42,5 +43,26 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return p2_found(spark, d).join(files, "file_id", "left").groupBy("extension").agg(F.countDistinct("file_id").alias("n_files"), F.count("*").alias("n_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redact, p2_report)}
-ORACLES: dict[str, str] = {}
+def p2_redacted_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What any right redaction has in common: all rows, rows without a credential unchanged,
+    changed ones with as many lines and quotes as before, and none left in what comes out."""
+    raw = table(spark, d, "stack_file").select("file_id", "loaded_at", F.col("content").alias("raw")).withColumn("k", F.xxhash64("file_id", "loaded_at", "raw"))
+    done = materialize(p2_redact(spark, d).select("file_id", "loaded_at", "content", "n_spans", "max_stars_repo_path"), "redacted")
+    # a key block is still seen by its marker; between the markers nothing but masks may be left
+    spans = credential_spans(done.where("n_spans > 0")).join(done.select("file_id", "content").distinct(), "file_id")
+    text = F.expr("substring(content, start + 1, end - start)")
+    left = spans.where(F.regexp_like(F.regexp_replace(F.replace(text, F.lit(MASK), F.lit("")), r"\\[nrt]", ""), F.lit("[A-Za-z0-9]"))).select("file_id").distinct()
+    lines = lambda c: F.length(c) - F.length(F.translate(c, "\n\r\"'", ""))
+    changed = done.where("n_spans > 0").select("file_id", "loaded_at", "content").distinct().join(raw.drop("k").distinct(), ["file_id", "loaded_at"])
+    same = done.where("n_spans = 0").select(F.xxhash64("file_id", "loaded_at", "content").alias("k")).join(raw.select("k").distinct(), "k", "left_semi").count()
+    torn = changed.where(lines("content") != lines("raw")).count()
+    again = done.where("n_spans > 0").join(left, "file_id", "left_semi").count()
+    return done.agg(F.count("*").alias("n_rows"), (F.sum((F.col("n_spans") == 0).cast("bigint")) - F.lit(same)).alias("n_changed_without_need")).select(
+        "n_rows", "n_changed_without_need", F.lit(torn).cast("bigint").alias("n_torn"), F.lit(again).cast("bigint").alias("n_still_found")
+    )
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_redact, p2_redacted_rows, p2_report)}
+ORACLES: dict[str, str] = {
+    "p2_redacted_rows": "select count(*) as n_rows, 0 as n_changed_without_need, 0 as n_torn, 0 as n_still_found from stack_file",
+}
