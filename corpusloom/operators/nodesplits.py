@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.contentstats import edge_bucket
 from corpusloom.operators.graph import internal_edges, k_core, undirected_degrees, undirected_edges
+from corpusloom.operators.joins import bounded
+from corpusloom.operators.onetask import in_one_task
+from corpusloom.operators.ranking import running_totals
 from corpusloom.session import discard, materialize
 
 # Bucket edges of degrees and of characters.
@@ -65,10 +69,10 @@ def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10, key:
     labels or, at the same number, a label smaller: the loop ends on any graph.  A node is asked
     again only when a neighbour has moved or its own move was put off.
     """
-    both = materialize(undirected_edges(internal_edges(nodes, edges, key)).withColumn("part", F.lit(0)), "lpa-edges")
+    both = materialize(undirected_edges(internal_edges(nodes, edges, key)), "lpa-edges")
     if both.count() <= TASK_EDGES:
         kind = both.schema["src"].dataType.simpleString()
-        found = both.withColumn("hash", F.xxhash64("src")).groupBy("part").applyInPandas(lambda rows: _task_labels(rows, rounds), f"id {kind}, community {kind}")
+        found = in_one_task(both.withColumn("hash", F.xxhash64("src")), lambda rows: _task_labels(rows, rounds), f"id {kind}, community {kind}")
         return materialize(nodes.select(F.col(key).alias("id")).join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community")), "lpa")
     return _label_rounds(nodes, both, rounds, key)
 
@@ -190,22 +194,46 @@ def choose_profiles(kinds: np.ndarray, sizes: np.ndarray, free: np.ndarray, held
     return taken
 
 
-def _task_core(rows: pd.DataFrame, least: int, key: str) -> pd.DataFrame:
-    ids, start, dst, _ = _csr(rows)
-    alive, degree = np.ones(len(ids), dtype=bool), np.diff(start)
-    while len(drop := np.flatnonzero(alive & (degree < least))):
-        alive[drop] = False
-        degree = degree - np.bincount(_around(start, dst, drop)[1], minlength=len(ids))
-    return pd.DataFrame({key: ids[alive]})
-
-
-def _prune(picked: DataFrame, pool: DataFrame, least: int, key: str, in_task: bool) -> DataFrame:
-    if not in_task:
-        return materialize(k_core(picked, pool, least, key), "val-community")
-    # the rows' one group is a stored column, as constants can't be grouped by
-    both = undirected_edges(internal_edges(picked, pool, key)).join(F.broadcast(pool.select("part").limit(1)))
-    kind = both.schema["src"].dataType.simpleString()
-    return materialize(both.groupBy("part").applyInPandas(lambda rows: _task_core(rows, least, key), f"{key} {kind}"), "val-community")
+@dataclass(frozen=True)
+class _Refill:
+    """What the choice of communities needs, but for the nodes: communities by profile, and the
+    aim."""
+
+    kinds: np.ndarray
+    sizes: np.ndarray
+    free: np.ndarray
+    whole: np.ndarray
+    everyone: int
+    fraction: float
+
+    def next(self, done: np.ndarray, held: np.ndarray, total: int) -> np.ndarray | None:
+        """Communities to take next per kind; none when the aim is reached or nothing is left."""
+        if total >= (self.fraction - TOLERANCE) * self.everyone and done.any():
+            return None
+        taken = choose_profiles(self.kinds, self.sizes, self.free - done, held, total, self.everyone, self.whole, self.fraction)
+        return taken if taken.any() else None
+
+
+def _task_refill(rows: pd.DataFrame, plan: _Refill, least: int, key: str) -> pd.DataFrame:
+    """Select, prune and refill in one task; rows are nodes (kind, rank, buckets) and pool edges
+    (dst is not null)."""
+    is_edge = rows["dst"].notna().to_numpy()
+    nodes, pairs = rows[~is_edge], rows[is_edge]
+    ids = pd.Index(nodes["src"])
+    a, b = ids.get_indexer(pairs["src"]), ids.get_indexer(pairs["dst"])
+    inside = (a >= 0) & (b >= 0) & (a != b)
+    both = np.unique(np.concatenate([a[inside] * len(ids) + b[inside], b[inside] * len(ids) + a[inside]]))
+    a, b = both // max(len(ids), 1), both % max(len(ids), 1)
+    kind, rank, degree, chars = (nodes[c].to_numpy(np.int64) for c in ("kind", "rank", "degree", "chars"))
+    alive, done = np.zeros(len(ids), dtype=bool), np.zeros(len(plan.kinds), dtype=np.int64)
+    held, total = np.zeros(9, dtype=np.int64), 0
+    while (taken := plan.next(done, held, total)) is not None:
+        alive |= (rank > done[kind]) & (rank <= done[kind] + taken[kind])
+        while (drop := alive & (np.bincount(a[alive[a] & alive[b]], minlength=len(ids)) < least)).any():
+            alive &= ~drop
+        held = np.concatenate([np.bincount(degree[alive], minlength=5), np.bincount(chars[alive], minlength=4)])
+        total, done = int(alive.sum()), done + taken
+    return pd.DataFrame({key: ids.to_numpy(object)[alive]})
 
 
 def split_nodes(nodes: DataFrame, edges: DataFrame, least: int, random_fraction: float, community_fraction: float, seed: int = 0, key: str = "id") -> DataFrame:
@@ -220,34 +248,38 @@ def split_nodes(nodes: DataFrame, edges: DataFrame, least: int, random_fraction:
     n = ok.count()
     rand = materialize(random_split(ok, random_fraction, seed, key), "val-random")
     left = materialize(ok.join(rand, key, "left_anti"), "left")
-    pool = materialize(internal_edges(left, edges, key).withColumn("part", F.lit(0)), "pool-edges")
-    in_task = 2 * pool.count() <= TASK_EDGES
+    pool = materialize(internal_edges(left, edges, key), "pool-edges")
     labels = label_communities(left, pool, key=key).withColumnRenamed("id", key)
     profiles = bucket_profiles(left.join(labels, key), "community")
     names = [c for c in profiles.columns if c.startswith(("degree_", "chars_"))]
     profiles = materialize(profiles.na.fill(0, names), "profiles")
-    rank = F.row_number().over(Window.partitionBy(*names).orderBy("community"))
-    members = materialize(labels.join(profiles.withColumn("_rank", rank), "community").select(key, *names, "_rank"), "members")
     rows = profiles.groupBy("n_nodes", *names).agg(F.count("*").alias("n")).orderBy(*names).collect()
     kinds = np.array([[r[c] for c in names] for r in rows], dtype=np.int64).reshape(-1, len(names))
     sizes, free = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("n_nodes", "n"))
+    numbered = ok.sparkSession.createDataFrame([(k, *map(int, kind)) for k, kind in enumerate(kinds)], ", ".join(f"{c} bigint" for c in ["kind", *names]))
+    hashed = profiles.join(bounded(numbered, 1_000_000), names).select("community", "kind", F.xxhash64("community", F.lit(seed)).alias("h"))
+    ranked = running_totals(hashed, ["kind"], "h", ["community"]).select("community", "kind", (F.col("rank") + 1).alias("rank"))
+    buckets = [edge_bucket(F.col("degree"), DEGREE_EDGES).cast("bigint").alias("degree"), edge_bucket(F.col("char_count"), CHAR_EDGES).cast("bigint").alias("chars")]
+    members = materialize(left.join(labels, key).join(ranked, "community").select(key, "kind", "rank", *buckets), "members")
 
     def profile(part: DataFrame) -> tuple[int, np.ndarray]:
         row = bucket_profiles(part.withColumn("g", F.lit(1)), "g").first()
         return (row["n_nodes"], np.array([row[c] or 0 for c in names])) if row else (0, np.zeros(len(names), dtype=np.int64))
 
-    whole, core = profile(ok)[1], labels.limit(0).select(key)
-    total, held, done = 0, np.zeros(len(names), dtype=np.int64), np.zeros(len(kinds), dtype=np.int64)
-    while total < (community_fraction - TOLERANCE) * n or not done.any():
-        taken = choose_profiles(kinds, sizes, free - done, held, total, n, whole, community_fraction)
-        if not taken.any():
-            break
-        wanted = [(*map(int, kinds[k]), int(done[k]), int(done[k] + taken[k])) for k in np.flatnonzero(taken)]
-        chosen = ok.sparkSession.createDataFrame(wanted, ", ".join(f"{c} bigint" for c in [*names, "_low", "_high"]))
-        fresh = members.join(F.broadcast(chosen), names).where("_rank > _low and _rank <= _high").select(key)
-        core = _prune(core.unionByName(fresh), pool, least, key, in_task)
-        total, held = profile(left.join(core, key))
-        done = done + taken
+    plan = _Refill(kinds, sizes, free, profile(ok)[1], n, community_fraction)
+    if 2 * pool.count() <= TASK_EDGES:
+        both = members.select(F.col(key).alias("src"), F.lit(None).cast(pool.schema["dst"].dataType).alias("dst"), "kind", "rank", "degree", "chars")
+        both = both.unionByName(pool.select("src", "dst"), allowMissingColumns=True)
+        core = in_one_task(both, lambda rows: _task_refill(rows, plan, least, key), f"{key} {pool.schema['src'].dataType.simpleString()}")
+    else:
+        core, done, held, total = members.limit(0).select(key), np.zeros(len(kinds), dtype=np.int64), np.zeros(len(names), dtype=np.int64), 0
+        while (taken := plan.next(done, held, total)) is not None:
+            wanted = [(int(k), int(done[k]), int(done[k] + taken[k])) for k in np.flatnonzero(taken)]
+            chosen = ok.sparkSession.createDataFrame(wanted, "kind bigint, _low bigint, _high bigint")
+            fresh = members.join(bounded(chosen, 1_000_000), "kind").where("rank > _low and rank <= _high").select(key)
+            core = materialize(k_core(core.unionByName(fresh), pool, least, key), "val-community")
+            total, held = profile(left.join(core, key))
+            done = done + taken
     tagged = ok.select(key).join(rand.withColumn("_r", F.lit(True)), key, "left").join(core.withColumn("_c", F.lit(True)), key, "left")
     return tagged.select(key, F.when(F.col("_r"), "val_random").when(F.col("_c"), "val_community").otherwise("train").alias("split"))
 
