@@ -38,6 +38,10 @@ SHINGLE = 3
 SLACK_LANES = 26
 
 
+def _set_id(items: np.ndarray) -> str:
+    return hashlib.blake2b(items.tobytes(), digest_size=12).hexdigest()
+
+
 def fingerprints(texts: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
     """(key, set_id, n_shingles, code) per row with at least one shingle; no shuffle."""
 
@@ -48,7 +52,7 @@ def fingerprints(texts: DataFrame, key: str = "key", text: str = "text") -> Data
             for k, t in zip(frame["key"], frame["text"], strict=True):
                 items = tk.shingle_set(t, SHINGLE)
                 if len(items):
-                    rows.append((k, hashlib.blake2b(items.tobytes(), digest_size=12).hexdigest(), len(items), coder.code(items).tobytes()))
+                    rows.append((k, _set_id(items), len(items), coder.code(items).tobytes()))
             yield pd.DataFrame(rows, columns=["key", "set_id", "n_shingles", "code"])
 
     source = texts.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
@@ -94,29 +98,25 @@ def cross_pairs(tagged: DataFrame, texts: DataFrame, threshold: float, key: str
     near = hits.join(side_a, "cid").join(side_b, "cid_b").where(agreeing("code_a", "code_b") >= int(threshold * LANES) - SLACK_LANES)
     near = materialize(near.select("set_a", "rep_a", "set_b", "rep_b"), "fp-near")
 
-    @F.pandas_udf("array<bigint>")
-    def shingles(t: pd.Series) -> pd.Series:
-        return pd.Series([tk.shingle_set(x, SHINGLE).view(np.int64) for x in t])
-
-    @F.pandas_udf("struct<set_id: string, items: array<bigint>>")
-    def content(t: pd.Series) -> pd.DataFrame:
-        sets = [tk.shingle_set(x, SHINGLE) for x in t]
-        return pd.DataFrame({"set_id": [hashlib.blake2b(s.tobytes(), digest_size=12).hexdigest() for s in sets], "items": [s.view(np.int64) for s in sets]})
+    def contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for lo in range(0, len(frame), 256):  # small frames bound the memory of the sets
+                part = frame.iloc[lo : lo + 256]
+                sets = [tk.shingle_set(x, SHINGLE) for x in part["_text"]]
+                yield pd.DataFrame({"rep": part["rep"], "set_id": [_set_id(x) for x in sets], "items": [x.view(np.int64) for x in sets]})
 
     wanted = near.select(F.explode(F.array(F.struct(F.col("rep_a").alias("rep"), F.col("set_a").alias("set_id")), F.struct(F.col("rep_b").alias("rep"), F.col("set_b").alias("set_id")))).alias("w")).select("w.*").distinct()
     source = texts.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("rep"), F.col(text).alias("_text"))
     picked = source.join(bounded(wanted.select("rep").distinct(), 300_000), "rep", "left_semi")
-    sets = picked.select("rep", content("_text").alias("c")).select("rep", "c.*").join(wanted, ["rep", "set_id"], "left_semi").dropDuplicates(["set_id"]).select("set_id", "items")
+    sets = picked.select("rep", "_text").mapInPandas(contents, "rep string, set_id string, items array<bigint>").join(wanted, ["rep", "set_id"], "left_semi").dropDuplicates(["set_id"]).select("set_id", "items")
     sets = materialize(sets, "fp-sets")
 
-    @F.pandas_udf("double")
-    def exact(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([tk.similarity(np.asarray(x, dtype=np.int64).view(np.uint64), np.asarray(y, dtype=np.int64).view(np.uint64)) for x, y in zip(a, b, strict=True)], dtype="float64")
-
+    common = F.size(F.array_intersect("items_a", "items_b"))
+    similarity = common / (F.size("items_a") + F.size("items_b") - common)
     scored = (
         near.join(sets.select(F.col("set_id").alias("set_a"), F.col("items").alias("items_a")), "set_a")
         .join(sets.select(F.col("set_id").alias("set_b"), F.col("items").alias("items_b")), "set_b")
-        .select("set_a", "set_b", exact("items_a", "items_b").alias("similarity"))
+        .select("set_a", "set_b", similarity.alias("similarity"))
         .where(F.col("similarity") >= threshold)
     )
     same = classes.where("in_train and in_eval").select(F.col("set_id").alias("set_a"), F.col("set_id").alias("set_b"), F.lit(1.0).alias("similarity"))

@@ -159,11 +159,3 @@ class BitFingerprint:
     @staticmethod
     def segments(code: np.ndarray) -> np.ndarray:
         return code.view(np.uint32).astype(np.int64)
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted distinct arrays; two empty sets have none."""
-    if not len(a) or not len(b):
-        return 0.0
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / (len(a) + len(b) - common)
