@@ -902,7 +902,7 @@ def _sessions(spark: SparkSession, d: str) -> DataFrame:
     out = nodes(spark, d).select(F.col("id").alias("source"), F.posexplode("outgoing").alias("k", "t")).select("source", "k", trimmed("t").alias("target")).where("target <> ''")
     first = placed(spark, d).select("pack_id", F.col("id").alias("source"), "pos").join(out, "source")
     order = F.row_number().over(Window.partitionBy("pack_id").orderBy("pos", "k", "target"))
-    return first.select(F.col("pack_id").alias("session"), order.alias("ord"), "target", F.lit(100).alias("root_length"))
+    return materialize(first.select(F.col("pack_id").alias("session"), order.alias("ord"), "target", F.lit(100).alias("root_length")), "sessions")
 
 
 @query()

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import materialize
+
 #: What the corpus knows of a document: its length, its links and, if wanted, its tokens.
 Known = tuple[int, Sequence[str], Sequence[int] | None]
 Find = Callable[[str], Known | None]
@@ -184,29 +186,45 @@ class Context:
         return cls(settings, [Entry(**d) for d in raw["docs"]], [Entry(**d) for d in raw["evicted"]])
 
 
-def closures(corpus: DataFrame, depth: int) -> DataFrame:
-    """(target, known): what may be needed after a link to a document.
+def closures(corpus: DataFrame, depth: int, roots: DataFrame | None = None) -> DataFrame:
+    """(target, known): what may be needed after a link to a document, for all documents or for
+    the targets in ``roots``.
 
     ``corpus`` has target, length and links (array of strings), one row per document.  known
-    lists (target, length, links) of the document and of all that are reached from it in at
-    most ``depth`` further links.
+    holds the targets, lengths and links of the document and of all that are reached from it in
+    at most ``depth`` further links, as parallel arrays (``sizes`` links of each, one after the
+    other); those that are only reached by the last link have size -1, as nothing follows theirs.
     """
     links = corpus.select(F.col("target").alias("here"), F.explode("links").alias("next")).where("next <> ''").distinct()
-    reached = corpus.select(F.col("target").alias("root"), "target")
+    reached = corpus.select(F.col("target").alias("root"), "target", F.lit(0).alias("level"))
+    if roots is not None:
+        reached = reached.join(roots.select("target").distinct(), "target", "left_semi").select("root", "target", "level")
     frontier = reached
-    for _ in range(depth):
-        frontier = frontier.join(links, F.col("target") == F.col("here")).select("root", F.col("next").alias("target")).distinct()
+    for level in range(1, depth + 1):
+        frontier = frontier.join(links, F.col("target") == F.col("here")).select("root", F.col("next").alias("target")).distinct().withColumn("level", F.lit(level))
         reached = reached.unionByName(frontier)
-    rows = reached.distinct().join(corpus.select("target", "length", "links"), "target")
-    return rows.groupBy(F.col("root").alias("target")).agg(F.collect_list(F.struct("target", "length", "links")).alias("known"))
+    first = reached.groupBy("root", "target").agg(F.min("level").alias("level"))
+    rows = first.join(corpus.select("target", "length", "links"), "target").withColumn("links", F.when(F.col("level") < depth, F.col("links")))
+    lists = rows.groupBy(F.col("root").alias("target")).agg(F.collect_list(F.struct("target", "length", "links")).alias("k"))
+    none = F.array().cast("array<string>")
+    # parallel arrays, which Python reads much faster than an array of structs
+    known = F.struct(
+        F.col("k.target").alias("targets"), F.col("k.length").cast("array<bigint>").alias("lengths"),
+        F.transform("k.links", lambda x: F.coalesce(F.size(x), F.lit(-1))).alias("sizes"), F.flatten(F.transform("k.links", lambda x: F.coalesce(x, none))).alias("links"),
+    )
+    return lists.select("target", known.alias("known"))
 
 
 def _finder(lists: Iterable) -> Find:
     known: dict[str, Known] = {}
     for docs in lists:
-        for x in docs if docs is not None else []:
-            links = x["links"]
-            known.setdefault(x["target"], (int(x["length"]), list(links) if links is not None else [], x.get("tokens") if hasattr(x, "get") else None))
+        if docs is None:
+            continue
+        at, links = 0, docs["links"]
+        for target, length, size in zip(docs["targets"], docs["lengths"], docs["sizes"], strict=True):
+            if target not in known or size > 0 and not len(known[target][1]):
+                known[target] = (int(length), links[at : at + max(size, 0)], None)
+            at += max(size, 0)
     return known.get
 
 
@@ -226,7 +244,7 @@ def assemble_contexts(sessions: DataFrame, corpus: DataFrame, settings: ContextS
 
     ``sessions``: session, ord, target, root_length; ``corpus``: target, length, links.
     """
-    known = closures(corpus, settings.max_link_depth)
+    known = closures(corpus, settings.max_link_depth, sessions)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ord", kind="stable")
@@ -248,14 +266,14 @@ def written_contexts(sessions: DataFrame, corpus: DataFrame, context_settings: C
     that is written replay; ``corpus``: target, length, links.  The links that the tokens may
     hold are found first, so that each session gets the documents it can need.
     """
-    known = closures(corpus, context_settings.max_link_depth)
-
     @F.pandas_udf("array<string>")
     def linked(tokens: pd.Series) -> pd.Series:
         return pd.Series([sorted({t for _, t in detect(list(x))}) if x is not None else [] for x in tokens])
 
     rows = sessions.select("session", "identifier", "tokens")
-    targets = rows.select("session", F.explode(linked("tokens")).alias("target")).join(known, "target").groupBy("session").agg(F.flatten(F.collect_list("known")).alias("known"))
+    asked = materialize(rows.select("session", F.explode(linked("tokens")).alias("target")), "linked-targets")
+    known = closures(corpus, context_settings.max_link_depth, asked)
+    targets = asked.join(known, "target").groupBy("session").agg(F.collect_list("known").alias("known"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -264,7 +282,7 @@ def written_contexts(sessions: DataFrame, corpus: DataFrame, context_settings: C
                 context = Context(context_settings)
                 root = context.add_root(identifier, 0, [])
                 body = [] if tokens is None else [int(t) for t in tokens]
-                context.write(root, lambda entry, body=body: body, settings, detect, _finder([docs]), closes)
+                context.write(root, lambda entry, body=body: body, settings, detect, _finder(docs if docs is not None else []), closes)
                 out += _result_rows(int(session), context)
             yield pd.DataFrame(out, columns=_NAMES)
 

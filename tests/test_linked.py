@@ -230,7 +230,7 @@ def test_documents_written_token_by_token():
 def test_batch_contexts_read_closures(spark):
     rows = [("a", 4, ["b", None, ""]), ("b", 4, ["c", "a"]), ("c", 4, ["zz"]), ("d", 4, None)]
     documents = spark.createDataFrame(rows, "target string, length bigint, links array<string>")
-    known = {r.target: {x.target for x in r.known} for r in ctx.closures(documents, 1).collect()}
+    known = {r.target: set(r.known.targets) for r in ctx.closures(documents, 1).collect()}
     assert known == {"a": {"a", "b"}, "b": {"b", "c", "a"}, "c": {"c"}, "d": {"d"}}
     sessions = spark.createDataFrame([(1, 1, "a", 5), (1, 2, "nope", 5), (1, 3, None, 5), (2, 1, "d", 5)], "session bigint, ord int, target string, root_length int")
     out = ctx.assemble_contexts(sessions, documents, ctx.ContextSettings(max_link_depth=1)).where("active").collect()
