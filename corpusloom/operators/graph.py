@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -91,23 +93,31 @@ def k_core(nodes: DataFrame, edges: DataFrame, least: int, key: str = "id", roun
 
 
 def bfs_levels(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
-    """(id, level): least number of steps from any seed; frontier joins without revisits."""
+    """(id, level): least number of steps from any seed; frontier joins without revisits.
+
+    Each level is a table of its own; the levels before are only read to leave out what they
+    hold, and merged now and then to keep plans short.
+    """
     steps = materialize(edges.select("src", "dst").distinct(), "bfs-edges")
-    seen = materialize(seeds.select("id").distinct().withColumn("level", F.lit(0)), "bfs-0")
-    level = 0
+    frontier = materialize(seeds.select("id").distinct().withColumn("level", F.lit(0)), "bfs")
+    parts, level = [frontier], 0
     while depth is None or level < depth:
         level += 1
-        frontier = seen.where(F.col("level") == level - 1).select(F.col("id").alias("src"))
-        fresh = steps.join(frontier, "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level))
-        fresh = materialize(fresh, "bfs-new")
-        if fresh.isEmpty():
+        fresh = steps.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        for part in parts:
+            fresh = fresh.join(part.select("id"), "id", "left_anti")
+        frontier = materialize(fresh.withColumn("level", F.lit(level)), "bfs")
+        if frontier.isEmpty():
+            discard(frontier)
             break
-        both = materialize(seen.unionByName(fresh), f"bfs-{level}")
-        discard(fresh)
-        discard(seen)
-        seen = both
+        parts.append(frontier)
+        if len(parts) > 6:
+            merged = materialize(reduce(DataFrame.unionByName, parts[:-1]), "bfs")
+            for part in parts[:-1]:
+                discard(part)
+            parts = [merged, frontier]
     discard(steps)
-    return seen
+    return reduce(DataFrame.unionByName, parts)
 
 
 def strong_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
