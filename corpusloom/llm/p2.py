@@ -46,16 +46,19 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 def p2_redacted_rows(spark: SparkSession, d: str) -> DataFrame:
     """What any right redaction has in common: all rows, rows without a credential unchanged,
     changed ones with as many lines and quotes as before, and none left in what comes out."""
-    raw = table(spark, d, "stack_file").select("file_id", "loaded_at", F.col("content").alias("raw")).withColumn("k", F.xxhash64("file_id", "loaded_at", "raw"))
-    done = materialize(p2_redact(spark, d).select("file_id", "loaded_at", "content", "n_spans", "max_stars_repo_path"), "redacted")
+    marks = (F.length("content") - F.length(F.translate("content", "\n\r\"'", ""))).alias("marks")
+    whole = F.xxhash64("content").alias("h")
+    keys = [F.coalesce("file_id", F.lit(-1)).alias("file_id"), F.coalesce("loaded_at", F.lit("1970-01-01").cast("timestamp")).alias("loaded_at")]
+    raw = table(spark, d, "stack_file").select(*keys, marks, whole).distinct()
+    # only what is compared is kept: texts of changed rows, numbers of the others
+    kept = F.when(F.col("n_spans") > 0, F.col("content")).alias("content")
+    done = materialize(p2_redact(spark, d).select(*keys, "n_spans", marks, whole, kept), "redacted")
     # a key block is still seen by its marker; between the markers nothing but masks may be left
     spans = credential_spans(done.where("n_spans > 0")).join(done.select("file_id", "content").distinct(), "file_id")
     text = F.expr("substring(content, start + 1, end - start)")
     left = spans.where(F.regexp_like(F.regexp_replace(F.replace(text, F.lit(MASK), F.lit("")), r"\\[nrt]", ""), F.lit("[A-Za-z0-9]"))).select("file_id").distinct()
-    lines = lambda c: F.length(c) - F.length(F.translate(c, "\n\r\"'", ""))
-    changed = done.where("n_spans > 0").select("file_id", "loaded_at", "content").distinct().join(raw.drop("k").distinct(), ["file_id", "loaded_at"])
-    same = done.where("n_spans = 0").select(F.xxhash64("file_id", "loaded_at", "content").alias("k")).join(raw.select("k").distinct(), "k", "left_semi").count()
-    torn = changed.where(lines("content") != lines("raw")).count()
+    same = done.where("n_spans = 0").join(raw, ["file_id", "loaded_at", "h"], "left_semi").count()
+    torn = done.where("n_spans > 0").join(raw, ["file_id", "loaded_at", "marks"], "left_anti").count()
     again = done.where("n_spans > 0").join(left, "file_id", "left_semi").count()
     return done.agg(F.count("*").alias("n_rows"), (F.sum((F.col("n_spans") == 0).cast("bigint")) - F.lit(same)).alias("n_changed_without_need")).select(
         "n_rows", "n_changed_without_need", F.lit(torn).cast("bigint").alias("n_torn"), F.lit(again).cast("bigint").alias("n_still_found")
