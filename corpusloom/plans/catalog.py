@@ -148,7 +148,7 @@ def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
 def graph_density(spark: SparkSession, d: str) -> DataFrame:
     n, e = linked(spark, d)
     return graph.internal_edges(n, e).agg(F.count("*").alias("n_edges")).withColumn("n_nodes", F.lit(n.count()).cast("bigint")).select(
-        "n_nodes", "n_edges", F.round(F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1)), 12).alias("density")
+        "n_nodes", "n_edges", F.round(F.when(F.col("n_nodes") > 1, F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1))), 12).alias("density")
     )
 
 
@@ -551,10 +551,10 @@ def node_list_hash(spark: SparkSession, d: str) -> DataFrame:
  from valid v, pack_config c where v.tok_len is not null""")
 def budgeted_lengths(spark: SparkSession, d: str) -> DataFrame:
     docs = nodes(spark, d).where("tok_len is not null").select("node_id", "tok_len")
-    parts = None
+    parts = docs.limit(0).select(F.lit(0).alias("config_id"), "node_id", F.col("tok_len").cast("bigint").alias("budgeted"))
     for c in table(spark, d, "pack_config").collect():
         part = docs.select(F.lit(c["config_id"]).alias("config_id"), "node_id", packs.budgeted_length(F.col("tok_len"), c["doc_budget"], c["overflow_policy"]).cast("bigint").alias("budgeted"))
-        parts = part if parts is None else parts.unionByName(part)
+        parts = parts.unionByName(part)
     return parts
 
 

@@ -236,6 +236,7 @@ def split_profile_distance(spark: SparkSession, d: str) -> DataFrame:
     per = nodesplits.bucket_profiles(n, "split")
     whole = nodesplits.bucket_profiles(n.withColumn("g", F.lit(1)), "g").first()
     names = [f"chars_{k}" for k in range(4)]
+    whole = whole.asDict() if whole else dict.fromkeys(names, 0)
     return per.select("split", F.round(nodesplits.profile_distance([F.col(c) for c in names], [F.lit(whole[c]) for c in names]), 9).alias("distance"))
 
 
@@ -356,7 +357,7 @@ def articles_by_letter(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark, "letters")
     docs = table(spark, d, "documents").where(F.regexp_like("title", F.lit("^[A-Za-z0-9]"))).select(F.col("title").alias("normed_identifier"), F.col("text").alias("body"))
     sinks.write_articles(docs, folder)
-    return spark.read.parquet(folder).groupBy(F.col("letter").cast("string").alias("letter")).agg(F.count("*").alias("n"))
+    return spark.read.schema("normed_identifier string, body string, letter string").parquet(folder).groupBy(F.col("letter").cast("string").alias("letter")).agg(F.count("*").alias("n"))
 
 
 @query()

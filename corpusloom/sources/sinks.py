@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.sources.files import write_file, write_json
+from corpusloom.sources.files import open_system, write_file, write_json
 
 
 def write_markdown_files(docs: DataFrame, folder: str) -> int:
@@ -26,6 +26,8 @@ def write_markdown_files(docs: DataFrame, folder: str) -> int:
                 n += 1
         yield pd.DataFrame({"n": [n]})
 
+    system, base = open_system(folder)
+    system.create_dir(base, recursive=True)
     rows = docs.select("normed_identifier", "raw_identifier", "body").mapInPandas(write, "n bigint")
     return int(rows.agg(F.sum("n")).first()[0] or 0)
 
