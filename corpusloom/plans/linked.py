@@ -6,6 +6,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,8 +170,12 @@ def context_documents_rendered(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------------ stored tokens
 
 
-def _code_points() -> Callable[[str], list[int]]:
-    return lambda text: [ord(c) for c in text]
+def _code_points() -> Callable[[str], np.ndarray]:
+    return lambda text: np.frombuffer(text.encode("utf-32-le"), dtype="<i4")
+
+
+def _from_code_points() -> Callable[[np.ndarray], str]:
+    return lambda tokens: tokens.astype("<u4").tobytes().decode("utf-32-le")
 
 
 @query("""with f as (select trim(max_stars_repo_name) as r, * from stack_file where max_stars_repo_name <> '' and max_stars_repo_path <> '' and content <> ''),
@@ -180,17 +185,14 @@ def _code_points() -> Callable[[str], list[int]]:
 def token_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Code files by way of the reader, the tokenizer, the shards and the graph, and back: the
     text that is read from the shards (identifiers with one content)."""
-    docs = materialize(src.stack_documents(table(spark, d, "stack_file")), "stack-documents")
-    one = docs.groupBy("normed_identifier").agg(F.countDistinct(F.md5("content")).alias("n")).where("n = 1").select("normed_identifier")
-    folder = f"{shared_dir(spark)}/corpusloom/shards-{uuid.uuid4().hex}"
-    placed = shards.pretokenize(docs, one, _code_points, folder, "code points", 0x110000, capacity=8_000_000)
-    read = shards.read_tokens(spark, folder, placed)
+    docs = src.stack_documents(table(spark, d, "stack_file"))
+    counts = docs.groupBy("normed_identifier").agg(F.countDistinct(F.md5("content")).alias("n"), F.max(F.length("content")).cast("bigint").alias("n_tokens"))
+    one = counts.where("n = 1").select("normed_identifier", "n_tokens")
 
-    @F.pandas_udf("string")
-    def decoded(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: "".join(map(chr, t)), na_action="ignore")
+    def digests(read: DataFrame) -> DataFrame:
+        return read.select("normed_identifier", "tok_len", F.md5("text").alias("digest"), (F.col("tok_offset_bytes") >= 1024).alias("placed"))
 
-    return read.select("normed_identifier", "tok_len", F.md5(decoded("tokens")).alias("digest"), (F.col("tok_offset_bytes") >= 1024).alias("placed"))
+    return shards.through_shards(docs, one, _code_points, _from_code_points, "code points", 0x110000, digests, capacity=8_000_000)
 
 
 @query()

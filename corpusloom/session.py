@@ -99,6 +99,29 @@ def scratch() -> Iterator[None]:
         _TABLES[:] = [t for t in _TABLES if t[1] in before]
 
 
+@contextmanager
+def shared_folder(spark: SparkSession, label: str) -> Iterator[str]:
+    """The path of a new folder in the shared folder, deleted at the end with what is in it."""
+    path = f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        _delete(spark, path)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written or collected inside go as soon as it is, not when the
+    driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _TABLES:

@@ -1,7 +1,10 @@
+import hashlib
 import os
+import pathlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from corpusloom import session
 from corpusloom.functions import imports as imp
 from corpusloom.operators import detectors as det
 from corpusloom.operators import joins, logits, masks, packs, traversal
+from corpusloom.plans import linked
 from corpusloom.sources import shards, vocabularies
 from corpusloom.streaming import context as ctx
 
@@ -130,6 +134,41 @@ def test_pretokenized_graph_reads_back(spark, tmp_path):
         assert got == {"a": ("pier", "train"), "c": ("quay é", None)}
 
 
+def test_token_round_trip_keeps_a_part_of_its_shards_at_a_time(spark, tmp_path, monkeypatch):
+    rows = [(f"org/r{k % 7}", f"f{k}.py", "x = 'naïve 🜁'\n" * (k % 9 + 1)) for k in range(200)]
+    rows += [rows[3], ("org/r1", "two.py", "a"), ("org/r1", "two.py", "b"), ("org/r1", "none.py", "")]
+    spark.createDataFrame(rows, "max_stars_repo_name string, max_stars_repo_path string, content string").write.parquet(str(tmp_path / "stack_file.parquet"))
+    wanted = {(len(c), hashlib.md5(c.encode()).hexdigest(), True) for _, _, c in rows[:200]}
+    whole = sum(len(c) * 4 for _, _, c in rows[:200])
+    monkeypatch.setattr(shards, "PART_BYTES", whole // 8, raising=False)
+    seen, info = [], shards.read_json
+
+    def sized(folder, name):  # is called when the shards are written and about to be read
+        files = [f for f in pathlib.Path(session.shared_dir(spark).removeprefix("file:"), "corpusloom").rglob("shard_*.bin")]
+        seen.append(sum(f.stat().st_size for f in files) - before)
+        return info(folder, name)
+
+    before = sum(f.stat().st_size for f in pathlib.Path(session.shared_dir(spark).removeprefix("file:"), "corpusloom").rglob("shard_*.bin"))
+    monkeypatch.setattr(shards, "read_json", sized)
+    got = linked.token_round_trip(spark, str(tmp_path)).collect()
+    assert len(got) == 200 and {tuple(r)[1:] for r in got} == wanted
+    assert len(seen) >= 8 and max(seen) < whole / 3 and sum(seen) > whole
+    folders = pathlib.Path(session.shared_dir(spark).removeprefix("file:"), "corpusloom")
+    assert sum(f.stat().st_size for f in folders.rglob("shard_*.bin")) == before
+
+
+def test_batches_of_encoded_and_read_documents_keep_their_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "BATCH_TOKENS", 5)  # the workers of this session see the module's own
+    kind = pa.list_(pa.int32())
+    assert [a.to_pylist() for a in shards._batches(iter([[1, 2], None, np.array([3, 4, 5]), [], [6], None]), kind)] == [[[1, 2], None, [3, 4, 5]], [[], [6], None]]
+    assert not list(shards._batches(iter([]), kind)) and [a.to_pylist() for a in shards._batches(iter([None]), kind)] == [[None]]
+    docs = spark.createDataFrame([("a", "pier"), ("b", None), ("c", "é🜁")], "normed_identifier string, content string").coalesce(1)
+    places = shards.write_shards(shards.encode_documents(docs, lambda: lambda t: np.array([ord(c) for c in t], dtype="<i4")), str(tmp_path), "uint32", "code points")
+    more = places.unionByName(spark.createDataFrame([("x", 0, 1024, 999), ("y", None, None, None)], "normed_identifier string, tok_shard_idx bigint, tok_offset_bytes bigint, tok_len bigint"))
+    texts = shards.read_texts(spark, str(tmp_path), more, lambda: lambda t: "".join(map(chr, t)))
+    assert {r.normed_identifier: r.text for r in texts.collect()} == {"a": "pier", "c": "é🜁", "x": None, "y": None}
+
+
 @pytest.mark.skipif(not os.path.isdir("/opt/tokenizers"), reason="no vocabulary files")
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"])
 def test_vocabulary_files(spark, name):
